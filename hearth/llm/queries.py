@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, sentencepiece_bpe, simhash
+from . import decontaminate, hmm_lm, html_extract, line_dedup, quality, sentencepiece_bpe, simhash, substring_dedup, token_counts, warc
 from .shared import table
 
 
@@ -20,6 +21,10 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -36,11 +41,33 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return hmm_lm.hmm_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_text(table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality, op8_simhash)
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality, op6_token_counts, op7_hmm_lm, op8_simhash, op9_html_text, op10_warc)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
