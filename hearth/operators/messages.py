@@ -90,3 +90,19 @@ def bundle(resources: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def authorship(resources: DataFrame) -> DataFrame:
     return resources.groupBy("resource_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+def person(found: DataFrame, as_of: Column, id_col: str = "doc_id") -> DataFrame:
+    """One person for each document from its first age and first gender (entities of kind age and gender, in text order)."""
+    order = F.struct("char_start", "char_end")
+
+    def first(kind: str, value: Column) -> Column:
+        return F.min_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, order))
+
+    firsts = found.groupBy(id_col).agg(first("age", F.col("attributes")["value"].try_cast("int")).alias("age"), first("gender", F.lower("text")).alias("gender"))
+    return firsts.withColumn("birth_date", F.add_months(as_of, -12 * F.col("age"))).where("age IS NOT NULL OR gender IS NOT NULL")
+
+
+def provenance(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A provenance record for each document: a digest of the whole source text and its length."""
+    return docs.select(id_col, F.to_json(F.struct(F.lit("Provenance").alias("resourceType"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sourceDigest"), F.length(F.coalesce(text, F.lit(""))).alias("sourceLength"))).alias("provenance"))

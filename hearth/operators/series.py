@@ -31,3 +31,15 @@ def latest_by_key(rows: DataFrame, key: str, period: str, value: str) -> DataFra
 def air_quality(rows: DataFrame, value: str) -> DataFrame:
     """Stations by index, highest first (none counts as zero), with their bands."""
     return rows.withColumn("category", banded(F.col(value), AQI_BOUNDS, AQI_LABELS)).orderBy(F.desc(F.coalesce(F.col(value), F.lit(0))))
+
+
+def last_sum(rows: DataFrame, keys: list[str], period: str, value: str, n: int = 8) -> DataFrame:
+    """The sum over the last n rows of each key; the limit also holds before the shuffle."""
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(period)))
+    return rows.withColumn("_rn", rn).where(F.col("_rn") <= n).groupBy(*keys).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+
+
+def region_series(rows: DataFrame, region: str, name: str, period: str, least: int = 2) -> DataFrame:
+    """One region's series in order; no rows if it has fewer points than a line needs."""
+    own = rows.where(F.col(region) == name)
+    return own.withColumn("_n", F.count("*").over(Window.partitionBy(region))).where(F.col("_n") >= least).drop("_n").orderBy(period)

@@ -178,3 +178,30 @@ def handed_back(found: DataFrame, decisions: DataFrame, threshold: float = 0.75,
     """Entities below the threshold with a reviewer's decision, or pending."""
     on = [id_col, "char_start", "char_end", "kind"]
     return found.where(F.col("confidence") < threshold).join(decisions.select(*on, "decision"), on, "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+
+
+def annotate(text: str, lexicons: dict[str, dict[str, str]], negations: tuple[str, ...], hedges: tuple[str, ...], negation_chars: int = 30, hedge_chars: int = 50) -> list[dict]:
+    """A simple gold annotation to score extractors against: longest phrases first, at bounds of letters and digits, cues within so many characters before."""
+    low, taken, found = text.lower(), [], []
+    for phrase, kind, code in sorted(((p, k, c) for k, lex in lexicons.items() for p, c in lex.items()), key=lambda x: (-len(x[0]), x)):
+        at = low.find(phrase.lower())
+        while at >= 0:
+            end = at + len(phrase)
+            bounded = (at == 0 or not low[at - 1].isalnum()) and (end == len(low) or not low[end].isalnum())
+            if bounded and not any(a < end and at < b for a, b in taken):
+                taken.append((at, end))
+                found.append({"kind": kind, "code": code, "char_start": at, "char_end": end, "negated": any(c in low[max(0, at - negation_chars) : at] for c in negations), "uncertain": any(c in low[max(0, at - hedge_chars) : at] for c in hedges)})
+            at = low.find(phrase.lower(), at + 1)
+    return sorted(found, key=lambda e: (e["char_start"], -e["char_end"]))
+
+
+def gold(docs: DataFrame, lexicons: dict[str, dict[str, str]], negations: tuple[str, ...], hedges: tuple[str, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """`annotate` over documents."""
+    columns = ["kind", "code", "char_start", "char_end", "negated", "uncertain"]
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([(i, *[e[c] for c in columns]) for i, t in zip(frame["id"], frame["text"]) for e in annotate(t, lexicons, negations, hedges)], columns=["id", *columns])
+
+    kind = dict(docs.dtypes)[id_col]
+    return normalised(docs, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, kind string, code string, char_start int, char_end int, negated boolean, uncertain boolean").withColumnRenamed("id", id_col)

@@ -161,3 +161,40 @@ def test_generators_do_not_depend_on_partitions(spark):
     picks = generate.weighted_pick(spark.range(400), "id", spark.createDataFrame([("x", 3.0), ("y", 1.0)], "v string, w double"), "v", "w")
     share = picks.where("v = 'x'").count() / 400
     assert 0.65 < share < 0.85 and picks.where("v IS NULL").count() == 0
+
+
+def test_first_match_takes_the_first_lookup(spark):
+    rows = spark.createDataFrame([("1", "A", "fever, valley"), ("2", "B", "rabies in bat"), ("3", "C", "none")], "id string, code string, label string")
+    by_code = spark.createDataFrame([("A", "first", 1), ("A", "second", 0)], "c string, name string, ordinal int")
+    by_text = spark.createDataFrame([("rabies", "R", 0), ("fever", "F", 1)], "p string, name string, ordinal int")
+    got = members.first_match(rows, "id", [(by_code, rows.code == by_code.c), (by_text, rows.label.contains(by_text.p))], "name")
+    assert {r.id: r.name for r in got.collect()} == {"1": "second", "2": "R", "3": None}
+
+
+def test_chart_and_listing(spark):
+    who = spark.createDataFrame([("a", "g"), ("b", "h")], "ref string, group_id string")
+    conditions = spark.createDataFrame([("a", "X", "2024", True), ("a", "Y", "2023", False)], "ref string, code string, onset string, active boolean")
+    events = spark.createDataFrame([("a", i, f"2024-01-{i:02d}", ["m1", "m2"] if i % 2 else ["m1"]) for i in range(1, 16)], "ref string, event_id int, date string, medications array<string>")
+    row = members.chart(who, conditions, events).where("ref = 'a'").first()
+    assert [c.code for c in row.conditions] == ["X"] and row.medications == ["m1", "m2"] and len(row.recent) == 12 and row.recent[0].event_id == 15
+    assert [r.ref for r in members.listing(who, who.where("ref = 'b'"), "group_id", "ref").collect()] == ["b", "a"]
+    assert [r.ref for r in members.search(who, "H", ["group_id"]).collect()] == ["b"]
+
+
+def test_gold_and_person(spark):
+    got = text.annotate("No valley fever. Possible fever; feverish.", {"condition": {"fever": "1", "valley fever": "2"}}, ("no ",), ("possible",))
+    assert [(e["code"], e["negated"], e["uncertain"]) for e in got] == [("2", True, False), ("1", True, True)]
+    how = text.Extraction(patterns=(("age", r"(?P<value>\d+) year old", 0.9), ("gender", r"\b(?:man|woman)\b", 0.9)))
+    found = text.entities(spark.createDataFrame([(1, "A 40 year old woman met a 20 year old man.")], "doc_id long, text string"), how)
+    row = messages.person(found, F.lit("2024-03-01").cast("date")).first()
+    assert (row.age, row.gender, str(row.birth_date)) == (40, "woman", "1984-03-01")
+
+
+def test_series(spark):
+    from hearth.operators import series
+
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(30)] + [("b", 1, 1.0)], "k string, t int, v double")
+    assert {r.k: r.total for r in series.last_sum(rows, ["k"], "t", "v", 3).collect()} == {"a": 84.0, "b": 1.0}
+    assert series.region_series(rows, "k", "b", "t").count() == 0 and series.region_series(rows, "k", "a", "t").count() == 30
+    assert {r.k: r.trend for r in series.trend(rows, "k", "t", "v").collect()}["a"] == "rising"
+    assert series.air_quality(spark.createDataFrame([(40,), (None,), (400,)], "aqi int"), "aqi").first().category == "Hazardous"
