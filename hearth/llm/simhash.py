@@ -100,12 +100,14 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
     nodes = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    variants = nodes.select("fp", F.explode(variant_keys(F.col("fp"), distance)).alias("key"))
+    keys = F.explode(variant_keys(F.col("fp"), distance)).alias("key")
+    variants = nodes.select("fp", keys)
     groups = variants.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
-    shared = written(variants.join(groups, "key"), "variants")
-    stars = shared.where(close("fp", "first")).selectExpr("fp a", "first b").union(shared.where(close("fp", "last")).selectExpr("fp a", "last b")).where("a != b").distinct()
+    near = close("fp", "first") & (F.col("fp") != F.col("first")) | close("fp", "last") & (F.col("fp") != F.col("last"))
+    ends = variants.join(groups.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near).select("fp", F.when(close("fp", "first"), F.col("first")).alias("b1"), F.when(close("fp", "last"), F.col("last")).alias("b2"))
+    stars = ends.select(F.col("fp").alias("a"), F.explode(F.array("b1", "b2")).alias("b")).where("a != b").distinct()
     first = written(components(stars), "components")
-    labelled = shared.join(first, shared.fp == first.id, "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
+    labelled = nodes.select("fp").join(first, F.col("fp") == first.id, "left").select("fp", F.coalesce("component", "fp").alias("c")).select("fp", "c", keys)
     a, b = labelled.selectExpr("key", "fp fp1", "c c1"), labelled.selectExpr("key", "fp fp2", "c c2")
     rest = a.join(b, (a.key == b.key) & (F.col("c1") < F.col("c2")) & close("fp1", "fp2")).selectExpr("c1 a", "c2 b").distinct()
     second = components(rest).withColumnRenamed("component", "c2").withColumnRenamed("id", "c1")
