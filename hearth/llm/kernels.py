@@ -28,7 +28,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Bytes of text that a kernel takes at a time; it bounds the temporary arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

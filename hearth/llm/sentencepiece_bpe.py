@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 300_000
 
 
 class Bpe:
@@ -62,6 +62,8 @@ class Bpe:
             if len(self.texts[i]) > 1:
                 shared.setdefault(self.rank[i], []).append(i)
         self.tied = any(self.texts[i].strip(MARK) for k in shared.values() if len(k) > 1 for i in k)
+        #: A line feed has no piece, so that no merge reaches across it.
+        self.cuts_lines = not any("\n" in t for t in self.ids)
         self.crosses = any(MARK in t.lstrip(MARK) for t in self.ids)
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
@@ -72,8 +74,8 @@ class Bpe:
         self.shorter: dict[int, int] = {}
         for i in sorted(pieces, key=lambda i: (len(self.texts[i]) > 1, self.rank[i])):
             self._split(i)
+        self.plain = {str(i): self.texts[i].replace(MARK, " ") for i in pieces} | {str(i): chr(c) for c, i in enumerate(self.bytes[:128])} | {str(self.eos): ""}
         self.memo = _Memo(self.encode_chunk)
-        self.undo = _Memo(self._decode_body)
 
     def _split(self, i: int) -> None:
         """The last merge that makes the piece, None for one character; a piece that no merge makes is left out."""
@@ -120,7 +122,9 @@ class Bpe:
         return p
 
     def encode_chunk(self, chunk: str) -> str:
-        """The ids of one chunk, each after a space."""
+        """The ids of one chunk, each after a space; a chunk without a word mark is a word after one space, or begins a line."""
+        if MARK not in chunk and not chunk.startswith("\n"):
+            chunk = MARK + chunk
         if self.tied or MARK * 2 in chunk or self.crosses:
             ids = self.merged(chunk)
         else:
@@ -217,28 +221,36 @@ class Bpe:
         """The ids of each chunk of a text, each id after a space; without the end id."""
         if not text:
             return []
-        self.memo.trim()
+        self.trim()
         memo = self.memo.__getitem__
         if self.crosses:
             return [memo(MARK + text.replace(" ", MARK))]
-        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return [memo(MARK + w) for w in text.split(" ")]
+        if MARK not in text and "  " not in text and text[0] not in " \n" and text[-1] != " " and " \n" not in text:
+            if self.cuts_lines:
+                text = text.replace("\n", " \n")
+            return [memo(w) for w in text.split(" ")]
         return [memo(c) for c in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))]
 
-    def joined(self, parts: list[str]) -> str:
-        """The text of chunks' ids; the mark before the first word goes."""
-        self.undo.trim()
-        undo = self.undo.__getitem__
-        text = "".join([undo(p) for p in parts])
-        return text[1:] if text.startswith(" ") else text
+    def trim(self, limit: int = MEMO_CHUNKS) -> None:
+        """Empties what is remembered once it exceeds the limit."""
+        if len(self.memo) > limit:
+            self.memo.clear()
+        if len(self.pairs) > limit:
+            self.pairs.clear()
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in "".join(self.parts(text)).split()] + [self.eos]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.joined([" ".join(map(str, ids))])
+    def decode(self, ids: list[str]) -> str:
+        """The text of ids given as decimal strings; the mark before the first word goes."""
+        plain = self.plain
+        try:
+            text = "".join([plain[i] for i in ids])
+        except KeyError:  # bytes of longer characters, control ids
+            text = self._decode_bytes(ids)
+        return text[1:] if text.startswith(" ") else text
 
-    def _decode_body(self, ids: str) -> str:
+    def _decode_bytes(self, ids: list[str]) -> str:
         out: list[str] = []
         pending = bytearray()
 
@@ -257,7 +269,7 @@ class Bpe:
                     at += 1
             pending.clear()
 
-        for i in map(int, ids.split()):
+        for i in map(int, ids):
             kind = self.kinds[i]
             if kind == "byte":
                 pending.append(int(self.texts[i][3:5], 16))
@@ -282,10 +294,6 @@ class _Memo(dict):
         value = self[key] = self.make(key)
         return value
 
-    def trim(self) -> None:
-        if len(self) > MEMO_CHUNKS:
-            self.clear()
-
 
 _models: dict[str, Bpe] = {}
 
@@ -324,8 +332,9 @@ def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text")
                     ids = f"{''.join(parts)} {bpe.eos}"
                     n.append(ids.count(" "))
                     coded.append(hashlib.sha256(ids[1:].encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.joined(parts).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(ids.split()).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in keep] + [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.trim(0)  # an idle worker holds no memory for it
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _declared(docs, keep) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -339,6 +348,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", o
         for batch in batches:
             for at, texts in _rows(batch, text):
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in keep] + [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=[*keep, out])
+        bpe.trim(0)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _declared(docs, keep) + f"`{out}` array<int>")
 
@@ -350,6 +360,6 @@ def decode(tokens: DataFrame, model: bytes, keep: list[str], ids: str = "token_i
     def run(batches):
         bpe = loaded(shipped.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([bpe.decode([str(i) for i in x or []]) for x in batch.column(ids).to_pylist()], pa.string())], names=[*keep, out])
 
     return tokens.select(*keep, ids).mapInArrow(run, _declared(tokens, keep) + f"`{out}` string")
