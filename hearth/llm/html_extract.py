@@ -29,7 +29,6 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -45,6 +44,7 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 CLOSES_P = BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 OUT_TAGS = frozenset("nav footer aside form button select input label dialog menu search fieldset".split())
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adbox adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer footers footnav comment comments commentlist reply replies respond disqus discussion feedback share sharing social related recommended recommendations pagination pager paging widget widgets skip copyright disclaimer legal form search".split()
@@ -53,7 +53,9 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Names that say what a box goes with, or lacks: "with-sidebar" is no sidebar.
+BESIDE = re.compile(r"(?<![A-Za-z])(?:with|has|no|without|show|hide)[-_]?[A-Za-z]+", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -61,7 +63,7 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Page:
     #: Occurrences of each tag path.
     tags: Counter = field(default_factory=Counter)
-    #: (path of the enclosing tag, taken out?, text), in page order.
+    #: (path of the enclosing tag, why it is taken out or empty, text), in page order.
     blocks: list = field(default_factory=list)
 
 
@@ -76,13 +78,15 @@ def _takes_out(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
         for m in ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind in ("class", "id"):
-                if kind == "class" and value:
-                    name = f"{tag}.{value.split()[0]}" if value.split() else tag
-                parts = {p.lower() for p in NAME_PARTS.findall(value)}
+                if (first := value.split()[:1]) and not re.search(r"[\d/]", first[0]):  # numbered names differ from page to page
+                    name += ("." if kind == "class" else "#") + first[0]
+                parts = {p.lower() for p in NAME_PARTS.findall(BESIDE.sub(" ", value))}
                 if tag not in ("html", "body", "main") and parts & COMMENT_NAMES:
                     reason = "comment"
                 elif tag not in ("html", "body", "main", "article") and (parts & OUT_NAMES or "header" in parts and not in_article and not parts & {"article", "post", "entry", "content"}):
                     reason = reason or "name"
+            elif kind == "role" and value.lower() == "main" or kind == "itemprop" and value == "articleBody":
+                name = "main" if kind == "role" else "article"
             elif kind == "role" and value.lower() in OUT_ROLES or kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 reason = reason or "name"
     return reason, name
@@ -99,7 +103,7 @@ def parse(html: str) -> Page:
             text = " ".join(entities.unescape("".join(waiting)).split())
             waiting.clear()
             if text:
-                page.blocks.append((stack[-1][1], bool(stack[-1][2]), text))
+                page.blocks.append((stack[-1][1], stack[-1][2], text))
 
     def close(depth: int) -> None:
         if any(s[0] in BLOCK or s[2] for s in stack[depth:]):
@@ -143,9 +147,10 @@ def parse(html: str) -> Page:
             continue
         top = stack[-1]
         reason, name = _takes_out(tag, m["attributes"], top[3])
-        inside = top[3] or tag in ("article", "main")
+        holds = _tag(name) in ("article", "main")
+        inside = top[3] or holds
         # an article inside something taken out by its name only (a page-wide wrapper) is none the less an article
-        if tag in ("article", "main") and not reason and top[2] == "name":
+        if holds and not reason and top[2] == "name":
             kept = ""
         else:
             kept = reason if reason == "comment" else top[2] or reason
@@ -169,6 +174,10 @@ class Template:
     words: set
 
 
+def _tag(path: str) -> str:
+    return re.split(r"[.#]", path.rpartition("/")[2])[0]
+
+
 def deduce(pages: list[Page]) -> Template:
     """The template of a group of pages."""
     n = len(pages)
@@ -200,12 +209,11 @@ def deduce(pages: list[Page]) -> Template:
     root = ""
     total = sum(len(text) for page in pages for path, out, text in page.blocks if not out and (path, text) not in words)
     for path in once:  # outermost first: go down while one tag holds most of what varies
-        if path.startswith(root) and mass[path] >= 0.6 * total:
+        if _tag(path) in CONTAINERS and path.startswith(root) and mass[path] >= 0.6 * total:
             root = path
-    named = [p for p in once if re.split(r"[/.]", p.rpartition("/")[2])[0] in ("article", "main") and mass[p] >= 0.3 * total and total]
+    named = [p for p in once if _tag(p) in ("article", "main") and mass[p] >= 0.3 * total and total]
     if named:
-        best = max(named, key=lambda p: (re.split(r"[.]", p.rpartition("/")[2])[0] == "article", mass[p]))
-        root = best
+        root = max(named, key=lambda p: (_tag(p) == "article", mass[p]))
     return Template(once, root, words)
 
 
@@ -214,9 +222,11 @@ def extract(page: Page, template: Template) -> str:
     root = template.root
     if root and page.tags[root] != 1:
         return extract(page, deduce([page]))
-    keep_words = re.split(r"[.]", root.rpartition("/")[2])[0] in ("article", "main")
+    keep_words = _tag(root) in ("article", "main")
     below = root + "/"
-    return "\n".join(text for path, out, text in page.blocks if not out and (path == root or path.startswith(below)) and (keep_words or (path, text) not in template.words))
+    there = [(path, out, text) for path, out, text in page.blocks if path == root or path.startswith(below)]
+    kept = [b for b in there if not b[1]] or [b for b in there if b[1] == "name"]  # a page cannot be chrome alone: a name misled
+    return "\n".join(text for path, _, text in kept if keep_words or (path, text) not in template.words)
 
 
 def extract_group(pages: list[str]) -> list[str]:

@@ -1,0 +1,529 @@
+"""The operators for training-data pipelines against brute force, on small fixtures and the smallest tables."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from hearth.llm import decontaminate, hmm_lm, html_extract, line_dedup, quality, queries, sentencepiece_bpe, simhash, substring_dedup, token_counts, warc
+from hearth.llm import kernels as K
+from hearth.llm.shared import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " ", "\n\n", "one", "A b\tc\x0bd\r\ne", "x " * 3000, "dup dup dup", "Ünïcödé 日本 😀\x00", "  lead and trail  ", "\nstart", "a \nb", "###$$$ %%%"]
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s" if i % 2 else None, len(t or "")) for i, t in enumerate(ODD)]
+    rows += [rows[5], (None, "no id at all", None, "s", 1), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# kernels
+
+
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_spans(rows):
+    data, offsets = K.text_buffers(pa.array(rows, pa.string()))
+    s, e, r = K.word_spans(data, offsets)
+    assert [(int(k), bytes(data[i:j])) for k, i, j in zip(r, s, e)] == [(k, w) for k, t in enumerate(rows) for w in (t or "").encode().split()]
+    h = K.spans_hash(data, s, e)
+    by = {}
+    for i, j, x in zip(s, e, h):
+        assert by.setdefault(bytes(data[i:j]), x) == x
+    assert len(set(by.values())) == len(by)
+    s, e, r = K.line_spans(data, offsets)
+    assert [(int(k), bytes(data[i:j])) for k, i, j in zip(r, s, e)] == [(k, w) for k, t in enumerate(rows) for w in (t or "").encode().split(b"\n")]
+
+
+def test_components(spark):
+    random.seed(3)
+    edges = [(random.randrange(400), random.randrange(400)) for _ in range(350)] + [(1000 + i, 1001 + i) for i in range(40)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+# 1
+
+
+def repeats(texts, n=51):
+    held = collections.defaultdict(set)
+    for k, t in texts.items():
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            held[b" ".join(w[i : i + n])].add(k)
+    return [v for v in held.values() if len(v) > 1]
+
+
+def test_compact_windows_are_the_cartesian_tree():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, t = int(rng.integers(1, 60)), int(rng.integers(1, 9))
+        v = rng.integers(0, 12, n).astype(np.uint64)
+        got = {tuple(map(int, x)) for x in zip(*substring_dedup.compact_windows(v, t))}
+        want = set()
+
+        def cut(l, r):
+            if r - l + 1 >= t:
+                c = l + int(np.argmin(v[l : r + 1]))
+                if v[c]:
+                    want.add((l, c, r))
+                cut(l, c - 1)
+                cut(c + 1, r)
+
+        cut(0, n - 1)
+        assert got == {w for w in want if (v[w[0] : w[2] + 1] > 0).all()}
+
+
+def test_substring_dedup_finds_every_repeat(spark, documents, texts):
+    rows = substring_dedup.substring_dedup(documents).collect()
+    linked = {x for r in rows for x in (r.doc_id, r.rep_doc_id)}
+    groups = repeats(texts)
+    assert groups and set().union(*groups) <= linked
+    for r in rows:
+        a, b = words(texts[r.doc_id])[r.start_word : r.end_word], words(texts[r.rep_doc_id])[r.rep_start_word : r.rep_end_word]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert len(x & y) / len(x | y) == pytest.approx(r.similarity) and r.similarity >= 0.8
+
+
+def test_substring_dedup_planted(spark, odd, empty):
+    random.seed(1)
+    def prose(n):
+        return " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(n))
+    common, phrase = prose(55), prose(12)
+    docs = [(i, f"{prose(40)} {common} {prose(30)}") for i in range(6)] + [(i, f"{prose(40)} {phrase} {prose(60)}") for i in range(10, 16)] + [(20, "p q " * 400), (21, "p q " * 300), (22, None), (None, common)]
+    rows = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x for r in rows for x in (r.doc_id, r.rep_doc_id)} == {0, 1, 2, 3, 4, 5, 20, 21}
+    assert substring_dedup.substring_dedup(empty).count() == 0
+    substring_dedup.substring_dedup(odd).collect()
+
+
+# 2
+
+
+def test_line_dedup(spark, odd, empty):
+    rows = [(i, f"unique {i}\nmenu\nfooter {i % 2}", "h") for i in range(20)] + [(50, "menu\nonly", "other"), (51, None, "h"), (52, "x\n\nmenu\n", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
+    want = {51: None, 50: "menu\nonly", 52: "x\n\n"} | {i: f"unique {i}" for i in range(20)}
+    for bound in (1000, 0):  # both ways of joining
+        got = {r.doc_id: r for r in line_dedup.line_dedup(docs, broadcast_rows=bound).collect()}
+        assert {k: r.text for k, r in got.items()} == want
+        assert (got[0].n_lines, got[0].n_dropped, got[51].n_lines) == (3, 2, 0)
+    assert line_dedup.line_dedup(empty).count() == 0
+    assert line_dedup.line_dedup(odd).count() == odd.count()
+
+
+# 3
+
+
+@pytest.fixture(scope="module")
+def piece_library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=queries.piece_model())
+
+
+def test_sentencepiece_is_exact(piece_library):
+    bpe = sentencepiece_bpe.Bpe(queries.piece_model())
+    random.seed(2)
+    for _ in range(4000):
+        t = "".join(random.choices(random.choice(["abcdefghij", "the inthereing", "  \n\t aA", "éèüñ日本▁ \x00😀ab", "aaaa  "]), k=random.randint(0, 30)))
+        ids = piece_library.encode(t)
+        assert bpe.encode(t) == [*ids, 2]
+        assert bpe.decode([*map(str, ids), "2"]) == piece_library.decode(ids)
+    assert bpe.decode(["233", "154"]) == piece_library.decode([233, 154])
+
+
+def test_sentencepiece_query(spark, sf, odd, empty, texts, piece_library):
+    def want(t):
+        ids = [*piece_library.encode(t or ""), 2]
+        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(piece_library.decode(ids).encode()).hexdigest()
+
+    for r in queries.op3_sentencepiece(spark, sf).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want(texts[r.doc_id])
+    model = queries.piece_model()
+    got = sentencepiece_bpe.digests(odd, model, ["text"]).collect()
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want(r.text) for r in got)
+    round_trip = sentencepiece_bpe.decode(sentencepiece_bpe.encode(odd.where("text IS NOT NULL"), model, ["doc_id", "text"]).withColumnRenamed("text", "t"), model, ["t"])
+    assert all(r.t == r.text for r in round_trip.collect())
+    assert sentencepiece_bpe.digests(empty, model, ["doc_id"]).count() == 0
+
+
+# 4
+
+
+def brute_tiles(item, doc, m):
+    marked_i, marked_j, out = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in marked_i and j + n not in marked_j:
+                    n += 1
+                if n >= m and (best is None or n > best[2]):
+                    best = (i, j, n)
+        if best is None:
+            return out
+        out.append(best)
+        marked_i |= set(range(best[0], best[0] + best[2]))
+        marked_j |= set(range(best[1], best[1] + best[2]))
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=18))
+@settings(max_examples=150, deadline=None)
+def test_greedy_tiles(item, doc):
+    pairs = [(i, j) for i in range(len(item) - 1) for j in range(len(doc) - 1) if item[i : i + 2] == doc[j : j + 2]]
+    i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    assert decontaminate.tile(i, j, 2) == brute_tiles(item, doc, 2)
+
+
+def test_leaks(spark, odd, empty):
+    random.seed(4)
+    w = ["".join(random.choices("abcdefgh", k=6)) for _ in range(300)]
+    item, halves = " ".join(w[:30]), " ".join(w[15:30] + ["zz"] + w[:15])
+    docs = spark.createDataFrame([(1, " ".join(w[100:150]) + " " + item.upper() + " end"), (2, halves), (3, " ".join(w[100:200])), (4, " ".join(w[:14])), (5, None), (6, "x tiny item y"), (1, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "tiny, item"), (3, None), (4, ""), (5, item)], "item_id long, text string")
+    want = {(1, 1), (1, 5), (2, 1), (2, 5), (6, 2)}
+    for block in (1 << 20, 100):  # one block and several
+        rows = decontaminate.leaks(docs, bench, block_bytes=block).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want
+        assert {r.doc_id for r in decontaminate.clean(docs, bench, block_bytes=block).collect()} == {3, 4, 5}
+    assert {r.n_tiles for r in rows if r.doc_id == 2} == {2}
+    assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
+    assert decontaminate.clean(odd, bench).count() == odd.count()
+
+
+# 5
+
+
+def brute_quality(text):
+    t = text or ""
+    w = t.encode().split()
+    lines, seen, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if x.encode().split():
+            dup += x in seen
+            seen.add(x)
+    grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    failed = len(w) < 10 or 100 * len(inside) > 20 * len(w)
+    return len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), dup, len(inside), failed
+
+
+def test_quality(spark, sf, odd, empty, texts):
+    def measures(r):
+        return r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed
+
+    for r in queries.op5_quality(spark, sf).collect():
+        assert measures(r) == brute_quality(texts[r.doc_id]) and not (r.base_failed and r.kept)
+    for r in quality.quality(odd, ["text"]).collect():
+        assert measures(r) == brute_quality(r.text)
+    assert quality.quality(empty, ["doc_id"]).count() == 0 and quality.filtered(empty).columns == empty.columns
+    kept = {r.doc_id for r in quality.filtered(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert kept == {r.doc_id for r in queries.op5_quality(spark, sf).where("kept").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(labels[k] == 1 for k in labels if k in kept and labels[k] == 1) and sum(k in kept for k in labels if labels[k] == 0) <= 0.2 * sum(1 for k in labels if labels[k] == 0)
+
+
+# 6
+
+
+def test_token_counts(spark, odd, empty, documents, texts):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    coder = token_counts.encoder(ranks, public_tokenizers.PATTERN)
+    for block in (1 << 18, 37):  # documents across many blocks
+        got = token_counts.token_counts(documents, ranks, public_tokenizers.PATTERN, block_tokens=block).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == {k: len(coder.encode_ordinary(t)) for k, t in texts.items()}
+    got = token_counts.token_counts(odd, ranks, public_tokenizers.PATTERN, block_tokens=8)
+    assert sorted(r.n_tokens for r in got.collect()) == sorted(len(coder.encode_ordinary(r.text or "")) for r in odd.collect())
+    assert token_counts.token_counts(empty, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_flat_files(spark, tmp_path):
+    ids = np.array([1, 2, 9, 9, 3, 9, 4, 4, 4, 4, 4, 9, 7], np.uint16)
+    (tmp_path / "a.bin").write_bytes(ids.tobytes())
+    for block in (2, 3, 5, 100):
+        rows = token_counts.count(token_counts.read_flat(spark, str(tmp_path), block_tokens=block), 9).orderBy("ordinal").collect()
+        assert [(r.n_tokens, r.closed) for r in rows] == [(2, True), (0, True), (1, True), (5, True), (1, False)]
+
+
+# 7
+
+
+def test_hmm_expectations_match_brute_force():
+    rng = np.random.default_rng(1)
+    k, c = 3, 7
+    start, a, b = (rng.dirichlet(np.ones(n), size=m) for n, m in ((k, 1), (k, k), (c, k)))
+    start = start[0]
+    sizes = np.array([1, 3, 150, 64, 65, 128])
+    classes = rng.integers(0, c, sizes.sum())
+    total, starts, moves, emits = hmm_lm.expected(classes, sizes, start, a, b)
+    want, s0, m0, e0, at = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), 0
+    for n in sizes:
+        x = classes[at : at + n]
+        at += n
+        f, scale = np.zeros((n, k)), np.zeros(n)
+        for t in range(n):
+            f[t] = (start if t == 0 else f[t - 1] @ a) * b[:, x[t]]
+            scale[t] = f[t].sum()
+            f[t] /= scale[t]
+        g = np.ones((n, k))
+        for t in range(n - 2, -1, -1):
+            g[t] = a @ (b[:, x[t + 1]] * g[t + 1]) / scale[t + 1]
+        want += np.log(scale).sum()
+        s0 += f[0] * g[0]
+        for t in range(n):
+            e0[:, x[t]] += f[t] * g[t]
+            if t:
+                m0 += np.outer(f[t - 1], b[:, x[t]] * g[t]) * a / scale[t]
+    assert total == pytest.approx(want) and np.allclose(starts, s0) and np.allclose(moves, m0) and np.allclose(emits, e0)
+
+
+def test_hmm_scores(spark, sf, odd, empty, texts):
+    c, toks = collections.Counter(), {}
+    for k, t in texts.items():
+        toks[k] = [*words(t), None]
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            c.update(toks[k])
+    n, v = sum(c.values()), len(c)
+    rows = queries.op7_hmm_lm(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = toks[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    for docs in (odd, empty):
+        got = hmm_lm.hmm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+        assert got.count() == docs.count() and got.where("score > 0 OR isnan(score)").count() == 0
+    assert hmm_lm.hmm_scores(odd, F.lit(True)).where("n_known > 0").count() == 0
+
+
+def test_hmm_word_shares_sum_to_one():
+    tokens, distinct = np.array([10.0, 0.0, 6.0]), np.array([2.0, 0.0, 1.0])
+    model = hmm_lm.Model(np.ones(1), np.ones((1, 1)), np.ones((1, 3)), 16, 3, tokens, distinct, 0.4, ())
+    share = 10 ** hmm_lm.word_logs(model, np.array([0, 0, 0]), np.array([7, 3, 0]))
+    assert share.sum() == pytest.approx(1.0)
+
+
+# 8
+
+
+def brute_simhash(text):
+    import xxhash
+
+    w = words(text)
+    if not w:
+        return 0
+    grams = [w[i : i + 4] for i in range(len(w) - 3)] or [w]
+    h = [xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_groups(fps):
+    ids = sorted(fps)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_query(spark, sf, texts):
+    fps = {k: brute_simhash(t) for k, t in texts.items()}
+    groups = brute_groups(fps)
+    for r in queries.op8_simhash(spark, sf).collect():
+        assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == groups[r.doc_id]
+
+
+def test_simhash_links_in_chains_and_clouds(spark):
+    random.seed(8)
+    fps = {}
+    for k in range(30):
+        centre = random.getrandbits(64)
+        for j in range(random.choice([1, 2, 12])):
+            x = centre
+            for b in random.sample(range(64), random.randint(0, 4)):
+                x ^= 1 << b
+            fps[1000 * k + j] = x
+            if j % 3 == 0:
+                centre = x  # chains wander off
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()]
+    frame = spark.createDataFrame(signed, "id long, fp long")
+    got = {r.id: r.component for r in frame.join(simhash.linked(frame), "fp").collect()}
+    assert got == brute_groups(fps)
+
+
+def test_simhash_odd_rows(spark, odd, empty):
+    got = simhash.simhash_groups(odd)
+    assert got.count() == odd.count() and got.where("fingerprint = '0000000000000000'").select("component_id").distinct().count() == 1
+    stay = simhash.one_of_each(odd)
+    assert stay.columns == odd.columns and stay.where("doc_id = 5").count() == 1 and stay.where("doc_id IS NULL").count() == 2
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+# 9
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{x}}</style><script>var a="</p><article>no";</script></head><body class="has-sidebar">
+<header><a href="/">Site</a></header><nav><ul><li>Home</li></ul></nav><div class="cookie-notice">We use cookies</div>
+<article><h1>{title}</h1><p>{first}<br>after  break &amp; more &eacute;</p><p><b>{second}<div class="ad-banner">Buy</div><ul><li>one</li><li>two</ul></article>
+<aside>side</aside><section id="comments"><article class="comment"><p>nice!</p></article></section><form><input><label>mail</label></form><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_text(spark, odd, empty):
+    pages = [(i, f"http://a.example/{i}", PAGE.format(title=f"T{i}", first=f"first &lt;{i}&gt;", second=f"second   {i}")) for i in range(7)]
+    pages += [(100, "http://b.example/", PAGE.format(title="solo", first="f", second="s")), (101, None, None), (102, "x", ""), (103, "http://c.example", "plain  text"), (104, "http://c.example/2", "<p>open <i>in</i>line<p>next <!-- <p>no</p> -->")]
+    plain = [(200 + i, f"http://d.example/{i}", f"<html><body><div id='menu'>M</div><div id='wrap'><h2>H{i}</h2><p>{'body text ' * 20}{i}</p></div><div id='x'><p>Always the same line</p></div></body></html>") for i in range(6)]
+    pages += [(105, "http://e.example", "<body><div class='page with-sidebar'><div role='main'><p>body</p></div><div class='sidebar'>s</div></div></body>"), (106, "http://f.example", "<body><div class='widget'><p>only this</p></div></body>")]
+    df = spark.createDataFrame(pages + plain + [pages[0]], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    for size in (200, 3):  # one group a host, and several
+        got = {r.page_id: r.text for r in html_extract.html_text(df, group_pages=size).collect()}
+        assert got[3] == "T3\nfirst <3>\nafter break & more é\nsecond 3\none\ntwo"
+        assert got[100].startswith("solo\nf\n") and got[101] == got[102] == "" and got[103] == "plain text" and got[104] == "open inline\nnext"
+        assert got[105] == "body" and got[106] == "only this"
+        assert got[203] == f"H3\n{('body text ' * 20)}3".replace("  ", " ")
+    assert html_extract.html_text(df).count() == df.count()
+    assert html_extract.html_text(df.limit(0)).count() == 0
+
+
+# 10
+
+
+def test_warc(spark, sf):
+    rows = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, "http://a/3", "same"), (7, "u\r\nx", ""), (8, None, None), (9, "http://a/9", "é own"), (9, "http://a/9", "é own"), (None, "n", "no id")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
+    stored = warc.archive(pages)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(stored).collect())
+
+    def digest(t):
+        return base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+
+    assert got == collections.Counter([(1, 4, digest("same"), "revisit", 5), (5, 4, digest("same"), "response", None), (3, 4, digest("same"), "revisit", 5), (7, 0, digest(""), "revisit", 8), (8, 0, digest(""), "response", None), (9, 6, digest("é own"), "response", None), (9, 6, digest("é own"), "revisit", 9), (None, 5, digest("no id"), "response", None)])
+    assert stored.payloads.count() == 4 and stored.payloads.agg(F.sum(F.length("payload"))).first()[0] == 15
+    for r in warc.records(stored).collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
+        assert head.startswith(b"WARC/1.1\r\n") and rest[size:] == b"\r\n\r\n"
+    whole = warc.records(stored, full=True)
+    assert whole.where(F.col("record").cast("string").endswith("\r\n\r\nsame\r\n\r\n")).count() == 3
+    small = warc.read_back(warc.archive(pages, min_revisit_bytes=5))
+    assert {r.record_type for r in small.where("page_id IN (1, 3, 5, 7, 8)").collect()} == {"response"}
+    assert warc.read_back(warc.archive(pages.limit(0))).count() == 0
+    broken = warc.Archive(stored.payloads.withColumn("payload", F.lit(b"other")), stored.headers)
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_back(broken).collect()
+
+
+# SQL and the pipeline
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_sql(spark, sf, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, sf).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_pipeline_against_brute_force(spark, sf, documents, piece_library):
+    import corpus_pipeline
+
+    docs = [r.asDict() for r in documents.collect()]
+    kept = {r.doc_id for r in quality.quality(documents, ["doc_id"]).where("kept").collect()}
+    docs = [d for d in docs if d["doc_id"] in kept]
+    pages, holders = collections.Counter(d["source"] for d in docs), collections.Counter()
+    for d in docs:
+        holders.update({(d["source"], x) for x in d["text"].split("\n") if x.strip()})
+    for d in docs:
+        d["text"] = "\n".join(x for x in d["text"].split("\n") if not (holders[d["source"], x] >= 3 and holders[d["source"], x] > 0.1 * pages[d["source"]]))
+    groups = brute_groups({d["doc_id"]: brute_simhash(d["text"]) for d in docs})
+    docs = [d for d in docs if groups[d["doc_id"]] == d["doc_id"]]
+
+    def toks(t):
+        return "".join(c if not c.isascii() or c.isalnum() else " " for c in "".join(c.lower() if c.isascii() else c for c in t)).split(" ")
+
+    bench = [[w for w in toks(r.text) if w] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaks(d):
+        w = [x for x in toks(d["text"]) if x]
+        grams = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for b in bench:
+            shared = [i for i in range(len(b) - 4) if tuple(b[i : i + 5]) in grams]
+            if 2 * 5 * len(shared) >= len(b) and 2 * sum(n for _, _, n in brute_tiles(b, w, 5)) >= len(b):
+                return True
+        return False
+
+    docs = [d for d in docs if not leaks(d)]
+    want = {(d["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for d in docs for ids in [[*piece_library.encode(d["text"]), 2]]}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def test_stages_on_odd_rows(spark, sf, odd, empty):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            out.collect()
+            assert k == 4 or out.columns == docs.columns
