@@ -85,6 +85,16 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, sizes
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as four planes of bytes, compressed."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def coded(docs: DataFrame, held_out, id_col: str, text: str, s: Settings) -> DataFrame:
     """The corpus as batches of dictionary-coded tokens (a table in the shared folder)."""
 
@@ -101,10 +111,14 @@ def coded(docs: DataFrame, held_out, id_col: str, text: str, s: Settings) -> Dat
                     sizes.append(n)
                 words, sizes = np.concatenate(words), np.concatenate(sizes)
                 held = np.array(batch.column(1).slice(lo, hi - lo).to_pylist(), bool)
-                own, codes = np.unique(words, return_inverse=True)
+                own, codes, often = np.unique(words, return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")  # frequent words get small codes
+                place = np.empty(len(own), np.int64)
+                place[order] = np.arange(len(own))
+                own, codes = own[order], place[codes]
                 counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 32 | turn]), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held]), pa.array([sizes.astype(np.int32)]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([own.view(np.int64)]), pa.array([counts.astype(np.int64)])],
+                    [pa.array([part << 32 | turn]), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held]), pa.array([sizes.astype(np.int32)]), pa.array([packed(codes)]), pa.array([own.view(np.int64)]), pa.array([counts.astype(np.int64)])],
                     names=["batch", "ids", "held", "n_tokens", "codes", "words", "counts"],
                 )
                 turn += 1
@@ -119,7 +133,7 @@ def _batches(batch: pa.RecordBatch):
     for k in range(batch.num_rows):
         held = np.array(batch.column(at["held"])[k].as_py(), bool)
         sizes = batch.column(at["n_tokens"])[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = np.frombuffer(batch.column(at["codes"])[k].as_py(), np.int32)
+        codes = unpacked(batch.column(at["codes"])[k].as_py(), int(sizes.sum()))
         words = batch.column(at["words"])[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
         yield held, sizes, codes, words
 
