@@ -77,8 +77,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
     headers = written(known.select("digest", header.cast("binary").alias("header")), "headers")
 
     # one row for each digest: the keeper's, or any one of its repeated rows
-    chosen = rows.select("id", "digest", "payload").join(keepers.withColumnRenamed("digest", "key"), (F.col("digest") == F.col("key")) & F.col("id").eqNullSafe(F.col("keeper")))
-    once = chosen.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "id").orderBy("id"))).where("turn = 1")
+    # (the window's keys are the join's, so that payloads are shuffled once)
+    slot = F.coalesce("id", F.lit(-(1 << 63))).alias("slot")
+    chosen = rows.select("digest", slot, "payload").join(keepers.select("digest", F.coalesce("keeper", F.lit(-(1 << 63))).alias("slot")), ["digest", "slot"])
+    once = chosen.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "slot").orderBy(F.lit(0)))).where("turn = 1")
     return Archive(written(once.select("digest", "payload"), "payloads"), headers)
 
 
