@@ -11,25 +11,47 @@ from pyspark.sql import functions as F
 
 from hearth.functions.numbers import safe_ratio
 
+#: Parts of equal width that scores between 0 and 1 are cut into.
+BUCKETS = 4096
+
 
 def _by_score(rows: DataFrame, strata: list[str]) -> DataFrame:
     return rows.groupBy(*strata, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
+def _before(by_score: DataFrame, strata: list[str], descending: bool) -> DataFrame:
+    """pos_before and neg_before: the sums over the scores that come before each one.
+
+    Scores are cut into BUCKETS parts of equal width: sums run inside a part, and
+    over the parts' totals, so that no task has to order a whole stratum.
+    """
+    order = F.desc if descending else F.asc
+    rows = by_score.withColumn("_b", F.floor(F.col("p") * BUCKETS))
+    inside = Window.partitionBy(*strata, "_b").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*strata, "_b").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    earlier = Window.partitionBy(*strata).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_ob"), F.coalesce(F.sum("_pos").over(earlier), F.lit(0)).alias("_op"), F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_on"))
+    on = F.col("_b") == F.col("_ob")
+    for i, s in enumerate(strata):
+        on = on & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    run = rows.withColumn("_ip", F.coalesce(F.sum("pos").over(inside), F.lit(0))).withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    return run.join(offsets, on).select(*strata, "p", "pos", "neg", (F.col("_ip") + F.col("_op")).alias("pos_before"), (F.col("_in") + F.col("_on")).alias("neg_before"))
+
+
 def auc(rows: DataFrame, strata: list[str]) -> DataFrame:
     """Area under the ROC curve, ties counting half; null for a stratum of one class."""
-    w = Window.partitionBy(*strata).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    won = _by_score(rows, strata).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = _before(_by_score(rows, strata), strata, False).withColumn("won", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return won.groupBy(*strata).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def curve(rows: DataFrame, strata: list[str]) -> DataFrame:
     """True and false positives at each distinct score, from the highest: the points of the ROC and PR curves."""
-    w = Window.partitionBy(*strata).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*strata)
-    points = _by_score(rows, strata).withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-    points = points.withColumn("_p", F.sum("pos").over(every)).withColumn("_n", F.sum("neg").over(every))
+    points = _before(_by_score(rows, strata), strata, True).withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("fp", F.col("neg_before") + F.col("neg"))
+    totals = rows.groupBy(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)]).agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_n"))
+    on = F.lit(True)
+    for i, s in enumerate(strata):
+        on = on & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    points = points.join(totals, on)
     return points.select(*strata, "p", "pos", "tp", "fp", (F.col("tp") / F.nullif("_p", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("_n", F.lit(0))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
