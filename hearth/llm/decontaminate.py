@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
                         row, k, n, hit, tiles, longest = zip(*got)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + r for r in row])), pa.array([block.ids[x] for x in k], schema_item), *(pa.array(x, pa.int32()) for x in (n, hit, tiles, longest)), pa.array([h / m for h, m in zip(hit, n)])], names=["d", "i", "n_item_tokens", "covered_tokens", "n_tiles", "longest_tile", "coverage"])
 
-        one = docs.select(id_col, text).mapInArrow(run, f"d {kinds[0]}, i {kinds[1]}, {LEAKS}")
+        one = docs.select(id_col, text).mapInArrow(K.tidy(run), f"d {kinds[0]}, i {kinds[1]}, {LEAKS}")
         found = one if found is None else found.union(one)
     return found.withColumnsRenamed({"d": id_col, "i": item})
 
@@ -179,5 +179,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         stays[lo + got[0]] = False
                 yield batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(K.tidy(run), docs.schema)
     return docs

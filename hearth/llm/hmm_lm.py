@@ -124,7 +124,7 @@ def coded(docs: DataFrame, held_out, id_col: str, text: str, s: Settings) -> Dat
                 turn += 1
 
     chosen = docs.select(F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)).alias("held"), text)
-    return written(chosen.mapInArrow(run, CODED), "coded")
+    return written(chosen.mapInArrow(K.tidy(run), CODED), "coded")
 
 
 def _batches(batch: pa.RecordBatch):
@@ -302,7 +302,7 @@ def train(corpus: DataFrame, vocab: DataFrame, s: Settings = Settings()) -> Mode
                 flat = np.concatenate([[total], *(x.ravel() for x in sums)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["place", "value"])
 
-        counts = corpus.select("held", "n_tokens", "codes", "words").mapInArrow(run, "place long, value double")
+        counts = corpus.select("held", "n_tokens", "codes", "words").mapInArrow(K.tidy(run), "place long, value double")
         flat = np.zeros(1 + s.states * (1 + s.states + s.classes))
         for r in counts.groupBy("place").agg(F.sum("value").alias("value")).collect():  # as many rows as the model has numbers
             flat[r.place] = r.value

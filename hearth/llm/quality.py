@@ -103,7 +103,7 @@ def quality(docs: DataFrame, keep: list[str], text: str = "text", rules: Rules =
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep] + made, names=keep + list(m))
 
     kept = docs.select(*others, text)
-    return kept.mapInArrow(run, f"{', '.join(f'`{c}` {dict(kept.dtypes)[c]}' for c in keep)}{', ' if keep else ''}{MEASURES}")
+    return kept.mapInArrow(K.tidy(run), f"{', '.join(f'`{c}` {dict(kept.dtypes)[c]}' for c in keep)}{', ' if keep else ''}{MEASURES}")
 
 
 def filtered(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -115,4 +115,4 @@ def filtered(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Dat
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import written
 
 BLOCK_TOKENS = 1 << 18
@@ -81,7 +82,7 @@ def write_flat(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
         if length:
             yield block(np.concatenate(waiting).tobytes())
 
-    both = written(docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, FILES), "tokens")
+    both = written(docs.select(F.col(id_col).cast("long"), text).mapInArrow(K.tidy(run), FILES), "tokens")
     return both.where("kind = 'tokens'").select("file", "block", "data"), both.where("kind = 'ids'").select("file", "block", "ids"), separator
 
 
@@ -107,7 +108,7 @@ def count(blocks: DataFrame, separator: int, token_bytes: int = 2) -> DataFrame:
             n, k, first, last, inner = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, k, first, last)), pa.array(inner, pa.list_(pa.int64()))], names=["file", "block", "n", "k", "first", "last", "inner"])
 
-    found = blocks.select("file", "block", "data").mapInArrow(scan, "file string, block long, n long, k long, first long, last long, inner array<long>")
+    found = blocks.select("file", "block", "data").mapInArrow(K.tidy(scan), "file string, block long, n long, k long, first long, last long, inner array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("done", F.coalesce(F.sum("k").over(before), F.lit(0)))
     placed = placed.withColumn("open", F.coalesce(F.max(F.col("start") + F.col("last")).over(before) + 1, F.lit(0)))
