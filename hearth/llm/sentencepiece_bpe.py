@@ -31,8 +31,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 MARK = "▁"
-MEMO_CHUNKS = 300_000
+#: Chunks in each of the two generations that a worker remembers, some 200 bytes each; more save time where words repeat.
+MEMO_CHUNKS = 120_000
 
 
 class Bpe:
@@ -64,18 +67,22 @@ class Bpe:
         self.tied = any(self.texts[i].strip(MARK) for k in shared.values() if len(k) > 1 for i in k)
         #: A line feed has no piece, so that no merge reaches across it.
         self.cuts_lines = not any("\n" in t for t in self.ids)
+        #: Pairs of characters that stand side by side in a piece: no merge reaches across any other.
+        self.reached = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.crosses = any(MARK in t.lstrip(MARK) for t in self.ids)
-        self.automaton = ahocorasick.Automaton()
-        for t, i in self.ids.items():
-            self.automaton.add_word(t[::-1], i)
-        self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.shorter: dict[int, int] = {}
         for i in sorted(pieces, key=lambda i: (len(self.texts[i]) > 1, self.rank[i])):
             self._split(i)
+        self.automaton = ahocorasick.Automaton()
+        for i in self.halves:  # pieces that merging can make
+            self.automaton.add_word(self.texts[i][::-1], i)
+        self.automaton.make_automaton()
+        self.lengths = [len(t) for t in self.texts]
+        self.shorter = [self._prefix(t) for t in self.texts]
+        self.spaced = [f" {i}" for i in range(n)]
         self.plain = {str(i): self.texts[i].replace(MARK, " ") for i in pieces} | {str(i): chr(c) for c, i in enumerate(self.bytes[:128])} | {str(self.eos): ""}
-        self.memo = _Memo(self.encode_chunk)
+        self.memo, self.chunks = _Memo(self.encode_chunk), MEMO_CHUNKS
 
     def _split(self, i: int) -> None:
         """The last merge that makes the piece, None for one character; a piece that no merge makes is left out."""
@@ -113,76 +120,75 @@ class Bpe:
             else:
                 end, y, left_first = rank[y], hy[0], True
 
-    def prefix(self, i: int) -> int:
+    def _prefix(self, t: str) -> int:
         """The longest proper prefix that is a piece, or -1."""
-        if (p := self.shorter.get(i)) is None:
-            t = self.texts[i]
-            p = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if self.ids.get(t[:k]) in self.halves), -1)
-            self.shorter[i] = p
-        return p
+        return next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if self.ids.get(t[:k]) in self.halves), -1)
 
     def encode_chunk(self, chunk: str) -> str:
         """The ids of one chunk, each after a space; a chunk without a word mark is a word after one space, or begins a line."""
+        end = len(chunk)
+        while end > 1 and chunk[end - 2 : end] not in self.reached:  # last characters that no piece joins to those before
+            end -= 1
+        if 1 < end < len(chunk):
+            tail = [i for c in chunk[end:] for i in ([self.ids[c]] if c in self.ids else [self.bytes[x] for x in c.encode()])]
+            return self.memo[chunk[:end]] + "".join([self.spaced[i] for i in tail])
         if MARK not in chunk and not chunk.startswith("\n"):
             chunk = MARK + chunk
         if self.tied or MARK * 2 in chunk or self.crosses:
             ids = self.merged(chunk)
         else:
             ids = self.backtracked(chunk)
-        return "".join([f" {i}" for i in ids])
+        spaced = self.spaced
+        return "".join([spaced[i] for i in ids])
 
     def backtracked(self, chunk: str) -> list[int]:
         n = len(chunk)
-        longest = [-1] * n
-        halves = self.halves
-        for end, i in self.automaton.iter(chunk[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 and i in halves:  # longer matches come first
-                longest[at] = i
+        # by end in the reversed chunk; longer matches come first, so they are written last
+        longest = dict(reversed(list(self.automaton.iter(chunk[::-1]))))
+        if len(longest) == n:
+            return self._stretch(longest, n, 0, n)
         out: list[int] = []
         at = 0
         while at < n:  # stretches between characters without a piece
-            if longest[at] < 0:
+            if n - 1 - at not in longest:
                 out += [self.bytes[c] for c in chunk[at].encode()]
                 at += 1
                 continue
             to = at
-            while to < n and longest[to] >= 0:
+            while to < n and n - 1 - to in longest:
                 to += 1
-            out += self._stretch(longest, at, to)
+            out += self._stretch(longest, n, at, to)
             at = to
         return out
 
-    def _stretch(self, longest: list[int], start: int, end: int) -> list[int]:
-        texts, pairs = self.texts, self.pairs
+    def _stretch(self, longest: dict[int, int], n: int, start: int, end: int) -> list[int]:
+        lengths, pairs, shorter = self.lengths, self.pairs, self.shorter
         out: list[int] = []
         failed = 0  # bit i: no way on from start + i
-        at, piece = start, longest[start]
+        at, last, piece = start, -1, longest[n - 1 - start]
         while True:
-            to = at + len(texts[piece])
-            if to <= end and not failed >> (to - start) & 1:
-                if not out:
+            to = at + lengths[piece]
+            if not failed >> (to - start) & 1:
+                if last < 0:
                     fits = True
                 else:
-                    key = out[-1] << 20 | piece
+                    key = last << 20 | piece
                     fits = pairs.get(key)
                     if fits is None:
-                        fits = pairs[key] = self.compatible(out[-1], piece)
-            else:
-                fits = False
-            if fits:
-                out.append(piece)
-                at = to
-                if at == end:
-                    return out
-                piece = longest[at]
-                continue
-            piece = self.prefix(piece)
+                        fits = pairs[key] = self.compatible(last, piece)
+                if fits:
+                    out.append(piece)
+                    if to == end:
+                        return out
+                    at, last, piece = to, piece, longest[n - 1 - to]
+                    continue
+            piece = shorter[piece]
             while piece < 0:
                 failed |= 1 << (at - start)
                 piece = out.pop()
-                at -= len(texts[piece])
-                piece = self.prefix(piece)
+                at -= lengths[piece]
+                last = out[-1] if out else -1
+                piece = shorter[piece]
 
     def merged(self, chunk: str) -> list[int]:
         """Pair-by-pair merging, the best score first and the leftmost of equals."""
@@ -231,11 +237,10 @@ class Bpe:
             return [memo(w) for w in text.split(" ")]
         return [memo(c) for c in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))]
 
-    def trim(self, limit: int = MEMO_CHUNKS) -> None:
-        """Empties what is remembered once it exceeds the limit."""
-        if len(self.memo) > limit:
-            self.memo.clear()
-        if len(self.pairs) > limit:
+    def trim(self) -> None:
+        """Drops the older generation of what is remembered once the younger is full."""
+        self.memo.turn(self.chunks)
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
 
     def encode(self, text: str) -> list[int]:
@@ -284,16 +289,24 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Results by chunk; emptied when it holds too many."""
+    """Results by chunk, in two generations: what is asked for again moves to the younger, so that frequent chunks stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def turn(self, limit: int) -> None:
+        if len(self) > limit:
+            self.older = dict(self)
+            self.clear()
+
 
 _models: dict[str, Bpe] = {}
 
@@ -318,12 +331,13 @@ def _declared(docs: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in keep)
 
 
-def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """keep, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded with an end id, then decoded from the ids."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one file of a fixed size
 
     def run(batches):
         bpe = loaded(shipped.value)
+        bpe.chunks = memo_chunks
         for batch in batches:
             for at, texts in _rows(batch, text):
                 n, coded, decoded = [], [], []
@@ -334,9 +348,8 @@ def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text")
                     coded.append(hashlib.sha256(ids[1:].encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(ids.split()).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in keep] + [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.trim(0)  # an idle worker holds no memory for it
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _declared(docs, keep) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidy(run), _declared(docs, keep) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -348,9 +361,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", o
         for batch in batches:
             for at, texts in _rows(batch, text):
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in keep] + [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=[*keep, out])
-        bpe.trim(0)
-
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _declared(docs, keep) + f"`{out}` array<int>")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidy(run), _declared(docs, keep) + f"`{out}` array<int>")
 
 
 def decode(tokens: DataFrame, model: bytes, keep: list[str], ids: str = "token_ids", out: str = "text") -> DataFrame:
@@ -362,4 +373,4 @@ def decode(tokens: DataFrame, model: bytes, keep: list[str], ids: str = "token_i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([bpe.decode([str(i) for i in x or []]) for x in batch.column(ids).to_pylist()], pa.string())], names=[*keep, out])
 
-    return tokens.select(*keep, ids).mapInArrow(run, _declared(tokens, keep) + f"`{out}` string")
+    return tokens.select(*keep, ids).mapInArrow(K.tidy(run), _declared(tokens, keep) + f"`{out}` string")
