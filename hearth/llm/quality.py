@@ -116,3 +116,34 @@ def filtered(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Dat
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
     return docs.mapInArrow(K.tidy(run), docs.schema)
+
+
+def oracle(rules: Rules = Rules()) -> str:
+    """The result of quality(documents, ["doc_id"]) in DuckDB's SQL, with a column for each n-gram length."""
+    widths = sorted({5, *(n for n, _ in rules.ngrams)})
+    grams = ", ".join(f"CASE WHEN i + {n - 1} <= n THEN array_to_string(list_slice(ws, i, i + {n - 1}), ' ') END AS g{n}" for n in widths)
+    again = ", ".join(f"g{n} IS NOT NULL AND count(g{n}) OVER (PARTITION BY r, g{n}) > 1 AS d{n}" for n in widths)
+    inside = ", ".join(f"max(d{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in widths)
+    chars = ", ".join(f"coalesce(CAST(sum(length(word)) FILTER (c{n}) AS BIGINT), 0)" for n, _ in rules.ngrams)
+    kept = " AND ".join(f"100 * coalesce(shares[{k + 1}], 0) <= {percent} * word_chars" for k, (_, percent) in enumerate(rules.ngrams))
+    shown = ", ".join(f"shares[{k + 1}] AS dup_{n}gram_chars" for k, (n, _) in enumerate(rules.ngrams))
+    none = ", ".join("CAST(0 AS BIGINT)" for _ in rules.ngrams)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+w AS (SELECT r, ws, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM s),
+g AS (SELECT r, i, word, {grams} FROM w),
+a AS (SELECT r, i, word, {again} FROM g),
+c AS (SELECT r, word, {inside} FROM a),
+m AS (SELECT r, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (c5) AS n_repeat_words, [{chars}] AS shares FROM c GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM s),
+k AS (SELECT r, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS size, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM l),
+b AS (SELECT r, count(*) FILTER (size > 0 AND nth > 1) AS n_dup_lines, CAST(coalesce(sum(size) FILTER (nth > 1), 0) AS BIGINT) AS dup_line_chars FROM k GROUP BY r),
+f AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_words, 0) < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_words_percent} * n_words AS base_failed, dup_line_chars, coalesce(shares, [{none}]) AS shares
+  FROM d JOIN b USING (r) LEFT JOIN m USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_chars, {shown},
+       NOT base_failed AND 100 * dup_line_chars <= {rules.line_chars_percent} * word_chars AND 100 * n_symbols <= {rules.symbols_percent} * n_words AND {kept} AS kept
+FROM f
+"""

@@ -38,7 +38,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    rules = quality.Rules()
+    rows = quality.quality(table(spark, sf_dir, "documents"), ["doc_id"], rules=rules)
+    return rows.select(*[c for c in rows.columns if c != "dup_ngram_chars"], *[F.element_at("dup_ngram_chars", i + 1).alias(f"dup_{n}gram_chars") for i, (n, _) in enumerate(rules.ngrams)])
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality, op6_token_counts, op7_hmm_lm, op8_simhash, op9_html_text, op10_warc)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_quality": quality.oracle(), "op10_warc": warc.ORACLE_SQL}

@@ -404,8 +404,9 @@ def test_simhash_links_in_chains_and_clouds(spark):
                 centre = x  # chains wander off
     signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()]
     frame = spark.createDataFrame(signed, "id long, fp long")
-    got = {r.id: r.component for r in frame.join(simhash.linked(frame), "fp").collect()}
-    assert got == brute_groups(fps)
+    want = brute_groups(fps)
+    for large in (64, 2):  # both ways of comparing
+        assert {r.id: r.component for r in frame.join(simhash.linked(frame, hot_bucket=large), "fp").collect()} == want
 
 
 def test_simhash_odd_rows(spark, odd, empty):
@@ -428,13 +429,13 @@ def test_html_text(spark, odd, empty):
     pages = [(i, f"http://a.example/{i}", PAGE.format(title=f"T{i}", first=f"first &lt;{i}&gt;", second=f"second   {i}")) for i in range(7)]
     pages += [(100, "http://b.example/", PAGE.format(title="solo", first="f", second="s")), (101, None, None), (102, "x", ""), (103, "http://c.example", "plain  text"), (104, "http://c.example/2", "<p>open <i>in</i>line<p>next <!-- <p>no</p> -->")]
     plain = [(200 + i, f"http://d.example/{i}", f"<html><body><div id='menu'>M</div><div id='wrap'><h2>H{i}</h2><p>{'body text ' * 20}{i}</p></div><div id='x'><p>Always the same line</p></div></body></html>") for i in range(6)]
-    pages += [(105, "http://e.example", "<body><div class='page with-sidebar'><div role='main'><p>body</p></div><div class='sidebar'>s</div></div></body>"), (106, "http://f.example", "<body><div class='widget'><p>only this</p></div></body>")]
+    pages += [(105, "http://e.example", "<body><div class='page with-sidebar'><div role='main'><p>body</p></div><div class='sidebar'>s</div></div></body>"), (107, "http://g.example", "<head><title>no</title><body><article><p>a < b<p>c"), (106, "http://f.example", "<body><div class='widget'><p>only this</p></div></body>")]
     df = spark.createDataFrame(pages + plain + [pages[0]], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     for size in (200, 3):  # one group a host, and several
         got = {r.page_id: r.text for r in html_extract.html_text(df, group_pages=size).collect()}
         assert got[3] == "T3\nfirst <3>\nafter break & more é\nsecond 3\none\ntwo"
         assert got[100].startswith("solo\nf\n") and got[101] == got[102] == "" and got[103] == "plain text" and got[104] == "open inline\nnext"
-        assert got[105] == "body" and got[106] == "only this"
+        assert got[105] == "body" and got[106] == "only this" and got[107] == "a < b\nc"
         assert got[203] == f"H3\n{('body text ' * 20)}3".replace("  ", " ")
     assert html_extract.html_text(df).count() == df.count()
     assert html_extract.html_text(df.limit(0)).count() == 0
