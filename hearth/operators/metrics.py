@@ -86,12 +86,34 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n")).where("bin IS NOT NULL")
 
 
+def ranked(rows: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """_rank (from 1) and _n: each row's exact place among its key's values, and their number; null values are left out.
+
+    Approximate quantiles cut a key's values into parts; rows are ranked inside a
+    part and moved on by the rows of the parts before, so that a key that holds
+    most rows is not ordered by one task.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    cuts = rows.groupBy(*names).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    dealt = rows.join(cuts, on).drop(*[f"_k{i}" for i in range(len(keys))]).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    sums = dealt.groupBy(*names, F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    key = [f"_k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*key, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy(*key)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value))
+    return dealt.withColumn("_r", inside).join(offsets, on & (F.col("_part") == F.col("_p"))).select(*rows.columns, (F.col("_r") + F.col("_o")).alias("_rank"), "_n")
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """The median and the element at floor(share (n - 1)) in sorted order, found by rank in place of gathered lists."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    at = F.floor(F.lit(share) * (F.col("_n") - 1)) + 1
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("high"))
+    """n, the median, and the element at floor(share (n - 1)) in sorted order."""
+    n, r, v = F.col("_n"), F.col("_rank"), F.col(value)
+    at = F.floor(F.lit(share) * (n - 1)) + 1
+    low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+    return ranked(rows, keys, value).groupBy(*keys).agg(F.count("*").alias("n"), ((F.max(F.when(r == low, v)) + F.max(F.when(r == high, v))) / 2).alias("median"), F.max(F.when(r == at, v)).alias("high"))
 
 
 def by_dimensions(rows: DataFrame, dimensions: list[str], threshold: float = 0.5) -> DataFrame:
