@@ -10,8 +10,9 @@ Not all pairs of a bucket are made.  Equal fingerprints are one node.  In each
 bucket every member is first compared with the least and the greatest one, and
 the components of those links are found.  Then members of the same bucket in
 different components are compared inside the join's condition, so that it puts
-out a row only for a link still missing.  Together these give exactly the
-components of all links.
+out a row only for a link still missing; in a large bucket, where most members
+are one cloud of near copies, only those outside its largest component are
+compared with all.  Together these give exactly the components of all links.
 
 Cases: a null text is an empty one; texts without words have fingerprint zero
 and link like any other; a null doc_id has a fingerprint and takes the component
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import components, written
 
 
@@ -75,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
                 texts = column.slice(at, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(fingerprints_of(texts, width, seed))], names=["id", "fp"])
 
-    return docs.select(id_col, text).mapInArrow(run, "id long, fp long")
+    return docs.select(id_col, text).mapInArrow(K.tidy(run), "id long, fp long")
 
 
 def variant_keys(fp, distance: int):
@@ -93,23 +95,35 @@ def variant_keys(fp, distance: int):
     return F.array(*keys)
 
 
-def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
+def linked(fps: DataFrame, distance: int = 4, hot_bucket: int = 64) -> DataFrame:
     """(fp, component) for each distinct fingerprint of `fps` (columns id, fp); component is the least id reachable."""
 
     def close(a, b):
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
     nodes = fps.groupBy("fp").agg(F.min("id").alias("id"))
+    # a fingerprint is small but has many variants: keep adaptive execution from gathering all of them in a few tasks
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts, F.xxhash64("fp"))  # (by fp itself it would be optimised away)
     keys = F.explode(variant_keys(F.col("fp"), distance)).alias("key")
     variants = nodes.select("fp", keys)
-    groups = variants.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
+    groups = written(variants.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).where("first < last"), "buckets")
     near = close("fp", "first") & (F.col("fp") != F.col("first")) | close("fp", "last") & (F.col("fp") != F.col("last"))
     ends = variants.join(groups.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near).select("fp", F.when(close("fp", "first"), F.col("first")).alias("b1"), F.when(close("fp", "last"), F.col("last")).alias("b2"))
     stars = ends.select(F.col("fp").alias("a"), F.explode(F.array("b1", "b2")).alias("b")).where("a != b").distinct()
     first = written(components(stars), "components")
+
+    # links between components: all members of a bucket meet; in a large one only those outside its largest component meet all
     labelled = nodes.select("fp").join(first, F.col("fp") == first.id, "left").select("fp", F.coalesce("component", "fp").alias("c")).select("fp", "c", keys)
-    a, b = labelled.selectExpr("key", "fp fp1", "c c1"), labelled.selectExpr("key", "fp fp2", "c c2")
-    rest = a.join(b, (a.key == b.key) & (F.col("c1") < F.col("c2")) & close("fp1", "fp2")).selectExpr("c1 a", "c2 b").distinct()
+    large = written(groups.where(F.col("n") > hot_bucket).select("key"), "large")
+    small = labelled.join(large, "key", "left_anti")
+    a, b = small.selectExpr("key", "fp fp1", "c c1"), small.selectExpr("key", "fp fp2", "c c2")
+    rest = a.join(b, (a.key == b.key) & (F.col("c1") < F.col("c2")) & close("fp1", "fp2")).selectExpr("c1 a", "c2 b")
+    inside = written(labelled.join(large, "key"), "members")
+    major = inside.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("major"))
+    minor = inside.join(major, (F.col("key") == F.col("k")) & (F.col("c") != F.col("major"))).selectExpr("key", "fp fp1", "c c1")
+    others = inside.selectExpr("key other", "fp fp2", "c c2")
+    rest = rest.union(minor.join(others, (F.col("key") == F.col("other")) & (F.col("c1") != F.col("c2")) & close("fp1", "fp2")).select(F.least("c1", "c2"), F.greatest("c1", "c2"))).distinct()
     second = components(rest).withColumnRenamed("component", "c2").withColumnRenamed("id", "c1")
     whole = nodes.join(first.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
     whole = whole.join(second, whole.c == second.c1, "left").select("fp", "id", F.coalesce("c2", "c").alias("c"))
