@@ -6,6 +6,7 @@ Vocabularies, headers and patterns are parameters: a caller brings its own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -93,8 +94,7 @@ def extract_text(text: str, how: Extraction, mode: str = "default") -> list[dict
     found: list[dict] = []
 
     def add(kind, m, code, attributes, confidence) -> None:
-        at = max(s for s in starts if s <= m.start())
-        before = text[at : m.start()]
+        before = text[starts[bisect_right(starts, m.start()) - 1] : m.start()]
         found.append({"kind": kind, "text": m.group(0), "char_start": m.start(), "char_end": m.end(), "code": code, "attributes": attributes, "negated": _cue(before, how.negations, how.negation_window), "uncertain": _cue(before, how.hedges, how.hedge_window), "confidence": confidence})
 
     for kind, lexicon in how.lexicons.items():
@@ -103,8 +103,9 @@ def extract_text(text: str, how: Extraction, mode: str = "default") -> list[dict
         taken: list[tuple[int, int]] = []
         for phrase in sorted(lexicon, key=lambda p: (-len(p), p)):  # the longest phrase first; spans once taken stay taken
             for m in _pattern(rf"\b{re.escape(phrase)}\b").finditer(text):
-                if not any(a <= m.start() < b or a < m.end() <= b for a, b in taken):
-                    taken.append(m.span())
+                k = bisect_right(taken, (m.start(), len(text)))  # the spans on both sides of the start
+                if not (k and m.start() < taken[k - 1][1] or k < len(taken) and taken[k][0] < m.end() <= taken[k][1]):
+                    insort(taken, m.span())
                     add(kind, m, lexicon[phrase], {}, 0.88 if len(phrase) > 6 else 0.78)
     for kind, pattern, confidence in how.patterns:
         if kind not in left_out:
