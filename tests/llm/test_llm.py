@@ -139,6 +139,22 @@ def test_substring_dedup_planted(spark, odd, empty):
     substring_dedup.substring_dedup(odd).collect()
 
 
+def test_substring_dedup_short_copy_has_the_least_id(spark):
+    rng = random.Random(7)
+    def prose(n):
+        return [("".join(rng.choices("abcdefgh", k=6))) for _ in range(n)]
+    docs, want = [], []
+    for case in range(60):
+        passage, held, base = prose(51 + case % 3 * 20), 40 + case % 11, 10 * case
+        docs += [(base, prose(30) + passage[:held] + prose(40)), (base + 1, prose(20) + passage + prose(30)), (base + 2, prose(35) + passage + prose(5)), (base + 3, prose(3) + passage[-held:] + prose(60))]
+        want.append((base + 2, 35, base + 1, 20, len(passage)))
+    rows = substring_dedup.substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    covered = collections.defaultdict(set)
+    for r in rows:
+        covered[r.doc_id, r.rep_doc_id] |= set(range(r.start_word, r.end_word)) if r.start_word - r.rep_start_word == r.end_word - r.rep_end_word else set()
+    assert [w for w in want if not set(range(w[1], w[1] + w[4])) <= covered[w[0], w[2]]] == []
+
+
 # 2
 
 
