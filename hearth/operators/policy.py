@@ -26,13 +26,16 @@ def panel(rows: DataFrame, assignments: DataFrame, provider: str, kind: str | No
 
 
 def co_members(members: DataFrame, assignments: DataFrame) -> DataFrame:
-    """For each member: co-members of its kind on its provider's panel, and how many others there are."""
-    at = members.join(assignments, "ref")
-    a = at.select("group_id", "ref", "kind", "provider_id")
-    b = at.select("group_id", F.col("ref").alias("other"), F.col("kind").alias("other_kind"), F.col("provider_id").alias("other_provider"))
-    near = a.join(b, "group_id").where("ref <> other")
-    seen = (F.col("kind") == F.col("other_kind")) & (F.col("provider_id") == F.col("other_provider"))
-    return near.groupBy("ref").agg(F.count_if(seen).alias("n_visible"), F.count_if(~seen).alias("n_hidden"))
+    """For each member: co-members of its kind on its provider's panel, and how many others there are.
+
+    Both come from sums, not from pairs; refs are unique.  A member alone in its group has no row.
+    """
+    at = members.join(assignments, "ref").select("group_id", "ref", "kind", "provider_id")
+    panels = at.groupBy("group_id", "kind", "provider_id").agg(F.count("*").alias("_same"))
+    groups = panels.groupBy("group_id").agg(F.sum("_same").alias("_all"))
+    sums = panels.join(groups, "group_id").where("_all > 1")
+    found = at.join(sums, ["group_id", "kind", "provider_id"])
+    return found.select("ref", (F.col("_same") - 1).alias("n_visible"), (F.col("_all") - F.col("_same")).alias("n_hidden"))
 
 
 def consented(rows: DataFrame, consents: DataFrame, group: str = "group_id") -> DataFrame:

@@ -103,7 +103,12 @@ def panel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.panel(members(spark, sf_dir), _assignments(spark, sf_dir), "P0b", "customer")
 
 
+def co_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.co_members(members(spark, sf_dir), _assignments(spark, sf_dir))
+
+
 def co_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """co_members_all within suppliers and a tenth of the customers, as the query's SQL has it."""
     small = members(spark, sf_dir).where("kind = 'supplier' OR CAST(substring(ref, 2) AS BIGINT) % 10 = 1")
     return policy.co_members(small, _assignments(spark, sf_dir))
 
@@ -199,7 +204,7 @@ _CASES_SQL = "k AS (SELECT o_orderkey AS case_id, 'C' || o_custkey AS ref, o_ord
 
 QUERIES = {
     f.__name__: plain(f)
-    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
+    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, provider_assignment, panel_filter, co_members, co_members_all, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
 }
 ORACLES = {
     "keyword_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x : x = 'and')) AS BIGINT) AS n_and, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS BIGINT) AS n_numbers, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS BIGINT) AS n_mail FROM documents""",
@@ -214,6 +219,8 @@ SELECT label, CAST(position AS INTEGER) AS position, round(sum(w * CAST(x AS DOU
     "provider_assignment": f"WITH {_ASSIGN_SQL} SELECT ref, provider_id FROM assigned",
     "panel_filter": f"WITH {_ASSIGN_SQL} SELECT m.* FROM members m JOIN assigned a USING (ref) WHERE provider_id = 'P0b' AND kind = 'customer'",
     "co_members": f"""WITH {_ASSIGN_SQL}, x AS (SELECT m.*, a.provider_id FROM members m JOIN assigned a USING (ref) WHERE kind = 'supplier' OR CAST(substr(ref, 2) AS BIGINT) % 10 = 1)
+SELECT a.ref, count(*) FILTER (a.kind = b.kind AND a.provider_id = b.provider_id) AS n_visible, count(*) FILTER (NOT (a.kind = b.kind AND a.provider_id = b.provider_id)) AS n_hidden FROM x a JOIN x b ON a.group_id = b.group_id AND a.ref <> b.ref GROUP BY 1""",
+    "co_members_all": f"""WITH {_ASSIGN_SQL}, x AS (SELECT m.*, a.provider_id FROM members m JOIN assigned a USING (ref))
 SELECT a.ref, count(*) FILTER (a.kind = b.kind AND a.provider_id = b.provider_id) AS n_visible, count(*) FILTER (NOT (a.kind = b.kind AND a.provider_id = b.provider_id)) AS n_hidden FROM x a JOIN x b ON a.group_id = b.group_id AND a.ref <> b.ref GROUP BY 1""",
     "consent_gate": f"WITH {_CONSENT_SQL} SELECT group_id, kind, count(*) AS n FROM members WHERE group_id NOT IN (SELECT group_id FROM consents WHERE decision = 'deny') GROUP BY 1, 2",
     "consent_summary": f"WITH {_CONSENT_SQL} SELECT count(*) AS n, count(*) FILTER (decision = 'deny') AS n_declined, round_even(CAST(count(*) FILTER (decision = 'deny') AS DOUBLE) / greatest(count(*), 1), 4) AS decline_rate FROM consents",

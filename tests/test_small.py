@@ -100,3 +100,16 @@ def test_sessions_and_append(spark, tmp_path):
     assert sorted(r.n for r in out.collect()) == [1, 2]
     live.append_batches(stream, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
     assert writers.latest(spark.read.parquet(str(tmp_path / "log")), "ts", "k", 2).count() == 2
+
+
+def test_co_members_of_all_without_pairs(spark, sf):
+    from hearth.plans import exchange
+
+    rows = exchange.QUERIES["co_members_all"](spark, sf)
+    assert rows.count() == spark.read.parquet(f"{sf}/customer.parquet").count() + spark.read.parquet(f"{sf}/supplier.parquet").count()
+    n = 50_000  # as pairs, 2.5e9 rows
+    big = spark.range(n).select(F.concat(F.lit("C"), "id").alias("ref"), F.lit("customer").alias("kind"), F.lit("g").alias("group_id"))
+    one = spark.createDataFrame([("S", "supplier", "g"), ("T", "supplier", "alone")], "ref string, kind string, group_id string")
+    m = big.unionByName(one)
+    got = policy.co_members(m, m.select("ref", F.lit("P").alias("provider_id"))).groupBy("n_visible", "n_hidden").count().collect()
+    assert {tuple(r) for r in got} == {(n - 1, 1, n), (0, n, 1)}
