@@ -34,15 +34,33 @@ def daily_trailing(events: DataFrame, group: str, date: str, days: list[int]) ->
     return events.withColumn("_day", day).join(daily.drop("_n"), [group, "_day"]).drop("_day")
 
 
+def _code_sums(asks: DataFrame, cases: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """(*keys, _d, code, _n): for each asked day and code of its keys, the cases of the `days` days up to it, where there are any."""
+    daily = cases.groupBy(*keys, "code", "_d").agg(F.sum("_n").alias("_n"))
+    asked = asks.select(*keys, "_d").distinct().join(daily.select(*keys, "code").distinct(), keys)
+    both = daily.select(*keys, "code", "_d", "_n", F.lit(False).alias("_ask")).unionByName(asked.select(*keys, "code", "_d", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_ask")))
+    w = Window.partitionBy(*keys, "code").orderBy("_day").rangeBetween(-days, 0)
+    return both.withColumn("_day", day_number(F.col("_d"))).withColumn("_n", F.sum("_n").over(w)).where("_ask AND _n > 0").select(*keys, "_d", "code", "_n")
+
+
 def others_recent(events: DataFrame, cases: DataFrame, days: int, group: str = "group_id", member: str = "ref", date: str = "date") -> DataFrame:
     """For each event: cases of other members of its group in the `days` days up to it, and their distinct codes.
 
-    Cases are summed by group, member, code and day before the range join.
+    Sums by group, code and day less the member's own; events do not meet cases.
     """
-    summed = cases.groupBy(F.col(group).alias("_g"), F.col(member).alias("_m"), "code", F.col(date).alias("_d")).agg(F.count("*").alias("_n"))
-    gap = F.datediff(F.col(date), F.col("_d"))
-    near = events.join(summed, (events[group] == summed["_g"]) & (events[member] != summed["_m"]) & gap.between(0, days), "left")
-    return near.groupBy(*[events[c] for c in events.columns]).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_other_cases"), F.count_distinct("code").alias("n_other_codes"))
+    named = [F.col(group).alias("_g"), F.col(member).alias("_m"), F.to_date(date).alias("_d")]
+    asks = events.select(*named).distinct()
+    summed = cases.select(*named, "code").where("_g IS NOT NULL AND _m IS NOT NULL AND _d IS NOT NULL").groupBy("_g", "_m", "code", "_d").agg(F.count("*").alias("_n"))
+    total = _code_sums(asks, summed, ["_g"], days)
+    own = _code_sums(asks, summed, ["_g", "_m"], days).withColumnRenamed("_n", "_own")
+    known = F.col("code").isNotNull()
+    alls = total.groupBy("_g", "_d").agg(F.sum("_n").alias("_all"), F.count_if(known).alias("_codes"))
+    t = total.select(F.col("_g").alias("_tg"), F.col("_d").alias("_td"), F.col("code").alias("_tc"), "_n")
+    mine = own.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_d") == F.col("_td")) & F.col("code").eqNullSafe(F.col("_tc")))
+    mine = mine.groupBy("_g", "_m", "_d").agg(F.sum("_own").alias("_own"), F.count_if(known & (F.col("_own") == F.col("_n"))).alias("_gone"))
+    less = lambda a, b: F.when(F.col("_m").isNull(), 0).otherwise(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))).cast("long")
+    found = events.withColumns(dict(zip(("_g", "_m", "_d"), named))).join(alls, ["_g", "_d"], "left").join(mine, ["_g", "_m", "_d"], "left")
+    return found.select(*events.columns, less(F.col("_all"), F.col("_own")).alias("n_other_cases"), less(F.col("_codes"), F.col("_gone")).alias("n_other_codes"))
 
 
 def labelled(events: DataFrame, indices: DataFrame, days: int, keywords: list[str], region: Column, window: tuple[str, str], text: Column, date: str = "date", group: str = "group_id") -> DataFrame:

@@ -113,3 +113,16 @@ def test_co_members_of_all_without_pairs(spark, sf):
     m = big.unionByName(one)
     got = policy.co_members(m, m.select("ref", F.lit("P").alias("provider_id"))).groupBy("n_visible", "n_hidden").count().collect()
     assert {tuple(r) for r in got} == {(n - 1, 1, n), (0, n, 1)}
+
+
+def test_others_recent_of_all_events(spark, sf):
+    from hearth.plans import features
+
+    rows = features.QUERIES["other_member_recent_all"](spark, sf)
+    assert rows.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    day = dt.date(2020, 4, 1)
+    cases = [("g", "a", "x", 0), ("g", "a", "y", 90), ("g", "b", "x", 0), ("g", "b", "z", 91), ("g", "b", None, 5), ("h", "c", "x", 0)]
+    cases = spark.createDataFrame([(g, m, c, day - dt.timedelta(n)) for g, m, c, n in cases], "group_id string, ref string, code string, date date")
+    asks = spark.createDataFrame([(1, "g", "a", day), (2, "g", "b", day), (3, "g", "n", day), (4, "h", "c", day), (5, "g", "a", day - dt.timedelta(1)), (6, "g", None, day)], "event_id long, group_id string, ref string, date date")
+    got = {r.event_id: (r.n_other_cases, r.n_other_codes) for r in features.features.others_recent(asks, cases, 90).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (4, 2), 4: (0, 0), 5: (2, 1), 6: (0, 0)}
