@@ -31,11 +31,12 @@ def held_out(rows: DataFrame, key: str, percent: int = 25, seed: str = "") -> Da
     return rows.withColumn("held_out", F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(100)) < percent)
 
 
-def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np.ndarray, site: str = "site_id") -> DataFrame:
+def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np.ndarray, site: str = "site_id", own: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(site, n, n_pos, gradient): each site's logistic gradient, as sums over its rows.
 
     Rows are summed by Arrow batch inside the tasks, so that no site's rows are
     gathered in one place; sites of one class are left out by the caller.
+    own: weights of sites that are not at the shared ones.
     """
     shape = f"{site} string, n long, n_pos long, gradient array<double>"
 
@@ -44,7 +45,7 @@ def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np
             for name, part in frame.groupby(site):
                 x = np.column_stack([np.ones(len(part)), part[features].to_numpy(float)])
                 y = part[label].to_numpy(float)
-                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(x @ (own or {}).get(name, weights), -30, 30)))
                 yield pd.DataFrame({site: [name], "n": [len(part)], "n_pos": [int(y.sum())], "gradient": [(x.T @ (p - y)).tolist()]})
 
     partial = rows.select(F.col(site).cast("string").alias(site), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(label).cast("double").alias(label)).mapInPandas(run, shape)
@@ -56,7 +57,7 @@ def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np
 def federated_fit(rows: DataFrame, features: list[str], label: str, rounds: int = 10, local_steps: int = 5, rate: float = 0.5, learning_rate: float = 1.0, site: str = "site_id") -> tuple[np.ndarray, list[dict]]:
     """A logistic model by federated averaging with warm starts.
 
-    Every round each site takes gradient steps from the shared weights, and the
+    Every round each site takes `local_steps` gradient steps from the shared weights, and the
     sites' weights are averaged by their rows and mixed in at `rate`.  Only a
     vector of each site reaches the driver; sites with one class do not take part.
     """
@@ -65,10 +66,11 @@ def federated_fit(rows: DataFrame, features: list[str], label: str, rounds: int
     for number in range(rounds):
         local: dict[str, np.ndarray] = {}
         weight: dict[str, int] = {}
-        for r in site_gradients(rows, features, label, shared, site).collect():
-            if 0 < r.n_pos < r.n:
-                local[r[site]] = shared - learning_rate * np.array(r.gradient) / r.n
-                weight[r[site]] = r.n
+        for _ in range(local_steps):
+            for r in site_gradients(rows, features, label, shared, site, local).collect():
+                if 0 < r.n_pos < r.n:
+                    local[r[site]] = local.get(r[site], shared) - learning_rate * np.array(r.gradient) / r.n
+                    weight[r[site]] = r.n
         if not local:
             break
         total = sum(weight.values())

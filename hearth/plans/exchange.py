@@ -86,7 +86,7 @@ def weighted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def federated_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sites(spark, sf_dir).select("event_id", "site_id", (F.col("value") / 100).alias("x"), (F.col("event_type") == "click").cast("int").alias("y"))
-    weights, history = federate.federated_fit(rows, ["x"], "y", rounds=3)
+    weights, history = federate.federated_fit(rows, ["x"], "y")
     return spark.createDataFrame([(h["round"], h["sites"], h["rows"], h["norm"]) for h in history], "round int, sites int, n_rows long, norm double")
 
 

@@ -126,3 +126,21 @@ def test_others_recent_of_all_events(spark, sf):
     asks = spark.createDataFrame([(1, "g", "a", day), (2, "g", "b", day), (3, "g", "n", day), (4, "h", "c", day), (5, "g", "a", day - dt.timedelta(1)), (6, "g", None, day)], "event_id long, group_id string, ref string, date date")
     got = {r.event_id: (r.n_other_cases, r.n_other_codes) for r in features.features.others_recent(asks, cases, 90).collect()}
     assert got == {1: (2, 1), 2: (2, 2), 3: (4, 2), 4: (0, 0), 5: (2, 1), 6: (0, 0)}
+
+
+def test_federated_fit_takes_local_steps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [("AB"[i % 2], float(x), int(x + rng.normal() > i % 2)) for i, x in enumerate(rng.normal(size=90))] + [("C", 1.0, 1)] * 5
+    got, history = federate.federated_fit(spark.createDataFrame(data, "site_id string, x double, y int"), ["x"], "y", rounds=2, local_steps=3)
+    shared = np.zeros(2)
+    for _ in range(2):
+        fits = []
+        for s in "AB":
+            x, y, w = np.array([[1, r[1]] for r in data if r[0] == s]), np.array([r[2] for r in data if r[0] == s]), shared.copy()
+            for _ in range(3):
+                w = w - x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y)
+            fits.append(w)
+        shared = shared + 0.5 * (np.mean(fits, 0) - shared)
+    assert np.allclose(got, shared) and history[-1]["sites"] == 2 and history[-1]["rows"] == 90
