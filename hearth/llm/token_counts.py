@@ -1,36 +1,48 @@
 """Token counts by separator scan.
 
 Flat token files hold nothing but token ids, each document's followed by an
-end-of-document id; there is no index of boundaries.  A file is read in blocks.
-In each block numpy searches for the separator in one vectorised comparison;
-documents that start and end inside it are counted at once.  Blocks then pass on
-only their length, their number of separators, and the places of the first and
-last one, some 40 bytes each.  A prefix scan over a file's blocks (running sums
-and a running maximum) gives each block the place of the last separator before
-it, which stitches documents across any number of blocks.
+end-of-document id; there is no index of boundaries.  Files are cut into byte
+ranges (blocks), whatever their size, and each task opens the file, reads its
+ranges and searches each for the separator in one vectorised comparison;
+documents that start and end inside a block are counted at once.  Blocks then
+pass on only their length, their number of separators, and the places of the
+first and last one, some 40 bytes each.  A prefix scan over a file's blocks
+(running sums and a running maximum) gives each block the place of the last
+separator before it, which stitches documents across any number of blocks.
+
+Flat files are written by tasks into the shared folder.  A file's name is that of
+one attempt of a task, and only files named by the attempts that succeeded are
+read, so that a lost executor or a second attempt does no harm.  Files may lie
+wherever pyarrow can open them (local or mounted folders, HDFS, object stores).
 
 Cases: a null or empty text has no tokens and counts zero; repeated rows are
-documents of their own; tokens after a file's last separator are a last document
-marked as not `closed`; an empty table gives an empty result; a document may be
-longer than any number of blocks; other columns are ignored.
+documents of their own; null ids keep their rows; tokens after a file's last
+separator are a last document marked as not `closed`; an empty file has no
+documents; an empty table gives an empty result; a document may be longer than
+any number of blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import scratch_dir, written
 
 BLOCK_TOKENS = 1 << 18
-FILES = "kind string, file string, block long, data binary, ids array<long>"
+#: Bytes of flat file that one task reads.
+TASK_BYTES = 64 << 20
+LISTED = "file string, list long, bytes long, ids array<long>"
 
 _encoders: dict = {}
 
@@ -45,70 +57,76 @@ def encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
-def write_flat(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, int]:
-    """(blocks, manifest, separator): one flat file for each input partition.
+def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if local := re.fullmatch(r"(?:file:/*(?=/))?(/.*)", uri):
+        return pafs.LocalFileSystem(), local[1]
+    return pafs.FileSystem.from_uri(uri)
 
-    blocks has file, block and data (little-endian unsigned 16-bit ids, 32-bit
-    for more than 65,536); manifest has file, block and ids, the documents' ids
+
+def write_flat(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """(files, manifest, separator): one flat file for each input partition, in the shared folder.
+
+    Ids are little-endian unsigned 16-bit numbers, 32-bit for more than 65,536.
+    files has file and bytes; manifest has file, list and ids, the documents' ids
     in the file's order, which say nothing about where they start.
     """
     separator = len(ranks.splitlines())
     kind = np.uint16 if separator < 1 << 16 else np.uint32
-    shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # one file of a fixed size
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(ranks)  # one file of a fixed size
+    folder = f"{scratch_dir(spark)}/flat-{uuid.uuid4().hex}"
 
     def run(batches):
-        coder, file = encoder(shipped.value, pattern), f"part-{TaskContext.get().partitionId():06d}"
-        waiting, length, blocks, lists = [], 0, 0, 0
-
-        def block(data: bytes):
-            return pa.RecordBatch.from_arrays([pa.array(["tokens"]), pa.array([file]), pa.array([blocks]), pa.array([data]), pa.array([None], pa.list_(pa.int64()))], names=["kind", "file", "block", "data", "ids"])
-
-        for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
-            for at in range(0, len(column), 512):
-                for ids in coder.encode_ordinary_batch(column.slice(at, 512).to_pylist(), num_threads=1):
-                    ids.append(separator)
-                    waiting.append(np.array(ids, kind))
-                    length += len(ids)
-                while length >= block_tokens:
-                    flat = np.concatenate(waiting)
-                    cut = length - length % block_tokens
-                    for i in range(0, cut, block_tokens):
-                        yield block(flat[i : i + block_tokens].tobytes())
-                        blocks += 1
-                    waiting, length = [flat[cut:]], length - cut
-            yield pa.RecordBatch.from_arrays([pa.array(["ids"]), pa.array([file]), pa.array([lists]), pa.array([None], pa.binary()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["kind", "file", "block", "data", "ids"])
-            lists += 1
-        if length:
-            yield block(np.concatenate(waiting).tobytes())
-
-    both = written(docs.select(F.col(id_col).cast("long"), text).mapInArrow(K.tidy(run), FILES), "tokens")
-    return both.where("kind = 'tokens'").select("file", "block", "data"), both.where("kind = 'ids'").select("file", "block", "ids"), separator
-
-
-def read_flat(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The blocks of flat token files that lie in a folder (files of less than 2 GB)."""
-    width = token_bytes * block_tokens
-    whole = spark.read.format("binaryFile").load(path).where("length > 0")
-    cut = whole.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), ((F.col("length") - 1) / width).cast("long"))).alias("block"))
-    return cut.select("file", "block", F.expr(f"substring(content, cast(block * {width} as int) + 1, {width})").alias("data"))
-
-
-def count(blocks: DataFrame, separator: int, token_bytes: int = 2) -> DataFrame:
-    """(file, ordinal, n_tokens, closed) of every document in the blocks' files; separators are not counted."""
-    kind = np.uint16 if token_bytes == 2 else np.uint32
+        coder, task = encoder(shipped.value, pattern), TaskContext.get()
+        file = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bin"
+        system, path = _opened(file)
+        system.create_dir(path.rpartition("/")[0])
+        lists = size = 0
+        with system.open_output_stream(path) as out:
+            for batch in batches:
+                column = pc.fill_null(batch.column(1), "")
+                for at in range(0, len(column), 512):
+                    flat: list[int] = []
+                    for ids in coder.encode_ordinary_batch(column.slice(at, 512).to_pylist(), num_threads=1):
+                        flat += ids
+                        flat.append(separator)
+                    size += out.write(np.array(flat, kind).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([lists]), pa.array([None], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["file", "list", "bytes", "ids"])
+                lists += 1
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([-1]), pa.array([size]), pa.array([None], pa.list_(pa.int64()))], names=["file", "list", "bytes", "ids"])
+
+    both = written(docs.select(F.col(id_col).cast("long"), text).mapInArrow(K.tidy(run), LISTED), "manifest")
+    return both.where("list < 0").select("file", "bytes"), both.where("list >= 0").select("file", "list", "ids"), separator
+
+
+def list_flat(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of the flat token files in a folder, of any size; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+def count(files: DataFrame, separator: int, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(file, ordinal, n_tokens, closed) of every document in files (file, bytes); separators are not counted."""
+    kind, width = np.uint16 if token_bytes == 2 else np.uint32, token_bytes * block_tokens
 
     def scan(batches):
         for batch in batches:
-            out = []
-            for data in batch.column(2).to_pylist():
-                ids = np.frombuffer(data, kind)
+            out, name, source = [], None, None
+            for file, block, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if file != name:
+                    system, path = _opened(file)
+                    name, source = file, system.open_input_file(path)
+                ids = np.frombuffer(source.read_at(min(width, size - block * width), block * width), kind)
                 ends = np.flatnonzero(ids == separator)
-                out.append((len(ids), len(ends), int(ends[0]) if len(ends) else None, int(ends[-1]) if len(ends) else None, (np.diff(ends) - 1).tolist()))
-            n, k, first, last, inner = zip(*out) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, k, first, last)), pa.array(inner, pa.list_(pa.int64()))], names=["file", "block", "n", "k", "first", "last", "inner"])
-
-    found = blocks.select("file", "block", "data").mapInArrow(K.tidy(scan), "file string, block long, n long, k long, first long, last long, inner array<long>")
+                out.append((file, block, len(ids), len(ends), int(ends[0]) if len(ends) else None, int(ends[-1]) if len(ends) else None, (np.diff(ends) - 1).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())])], names=["file", "block", "n", "k", "first", "last", "inner"])
+
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+    ranges = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / width))).alias("block"), "bytes")
+    found = ranges.repartition(tasks, "file", "block").sortWithinPartitions("file", "block").mapInArrow(K.tidy(scan), "file string, block long, n long, k long, first long, last long, inner array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("done", F.coalesce(F.sum("k").over(before), F.lit(0)))
     placed = placed.withColumn("open", F.coalesce(F.max(F.col("start") + F.col("last")).over(before) + 1, F.lit(0)))
@@ -119,10 +137,10 @@ def count(blocks: DataFrame, separator: int, token_bytes: int = 2) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(id, file, ordinal, n_tokens) of every row, by way of flat files in the shared folder."""
-    blocks, manifest, separator = write_flat(docs, ranks, pattern, id_col, text, block_tokens)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """(id, file, ordinal, n_tokens) of every row, by way of flat files in the shared folder; file is the name without its folder."""
+    files, manifest, separator = write_flat(docs, ranks, pattern, id_col, text)
+    before = Window.partitionBy("file").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
     listed = manifest.withColumn("base", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0))).select("file", "base", F.posexplode("ids").alias("i", "id"))
     named = listed.select("file", (F.col("base") + F.col("i")).alias("ordinal"), "id")
-    counted = count(blocks, separator, 2 if separator < 1 << 16 else 4)
-    return named.join(counted, ["file", "ordinal"]).select(F.col("id").alias(id_col), "file", "ordinal", "n_tokens")
+    counted = count(files, separator, 2 if separator < 1 << 16 else 4, block_tokens).where("closed")
+    return named.join(counted, ["file", "ordinal"]).select(F.col("id").alias(id_col), F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")
