@@ -50,6 +50,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 # Tag sets of the HTML standard and names that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea select title".split())
@@ -487,19 +489,18 @@ def _alone(page: Page, paths: Paths, root: tuple[int, int]) -> Template:
     return Template(own[t.root], own[t.core] if t.core > 0 else -1, {own[p] for p in t.chrome}, {}, t.names)
 
 
-def html_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", group_pages: int = 200, group_bytes: int = 8 << 20, broadcast_hosts: int = 100_000, task_bytes: int = 64 << 20) -> DataFrame:
+def html_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", group_pages: int = 200, group_bytes: int = 8 << 20, broadcast_hosts: int = 100_000, task_bytes: int = 16 << 20) -> DataFrame:
     """id_col, url, text and n_chars of every page."""
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = rows.withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes")), "hosts")
     parts = F.ceil(F.greatest(F.col("n") / group_pages, F.col("bytes") / group_bytes))
-    large = sizes.select("host", parts.alias("parts"), "bytes").where("parts > 1")
+    large = sizes.select("host", parts.alias("parts")).where("parts > 1")
     # a large host has over group_pages pages or group_bytes, so there are few; beyond the bound they are joined by shuffle
     found = sizes.agg(F.count_if(parts > 1), F.sum("bytes")).first()
     few = found[0] <= broadcast_hosts
-    large = large.drop("bytes")
     dealt = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0)))
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(found[1] or 0) // task_bytes))
 
