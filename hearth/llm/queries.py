@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"], memo_chunks=400_000)
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"], memo_bytes=128 << 20)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

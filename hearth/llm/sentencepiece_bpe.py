@@ -12,20 +12,25 @@ something else.  Each such chunk is encoded exactly:
 * where nothing fits, the position is marked in a bit field of failed positions
   and the last piece is replaced by its next shorter prefix.
 
-Characters without a piece become bytes.  Runs of word marks have pieces that
-share one score, so their order is not total; a chunk with such a run is merged
-pair by pair through a heap instead.
+Characters without a piece become bytes.  Pieces of word marks alone share the
+last score, so they merge after all others, the leftmost pair first: the word
+that ends a run of marks is encoded on its own, and the marks left before it are
+merged from the left over a stack.  A model in which other pieces share a score,
+or reach across words, has no such order and is refused.
 
 Cases: a null or empty text encodes to the end id alone and decodes to an empty
-text; a very long text costs memory in proportion to its length; equal chunks
-are encoded once per worker while they stay in a bounded memory.
+text; repeated rows have a result each; an empty table gives an empty result;
+columns kept beside the result may have any name but the result's own; a very
+long text, or a very long chunk without spaces, costs memory in proportion to its
+length.  Equal chunks are encoded once per worker while they stay in a memory
+bounded in bytes; long chunks are not remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from array import array
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,8 +39,10 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 MARK = "▁"
-#: Chunks in each of the two generations that a worker remembers, some 200 bytes each; more save time where words repeat.
-MEMO_CHUNKS = 120_000
+#: Bytes in each of the two generations of chunks that a worker remembers; more save time where words repeat.
+MEMO_BYTES = 32 << 20
+#: Characters of the longest chunk that is remembered, and what an entry takes besides its text and ids.
+MEMO_LONGEST, MEMO_ENTRY = 64, 250
 
 
 class Bpe:
@@ -64,12 +71,15 @@ class Bpe:
         for i in pieces:
             if len(self.texts[i]) > 1:
                 shared.setdefault(self.rank[i], []).append(i)
-        self.tied = any(self.texts[i].strip(MARK) for k in shared.values() if len(k) > 1 for i in k)
+        marks = [self.rank[i] for i in pieces if not self.texts[i].strip(MARK) and len(self.texts[i]) > 1]
+        if any(self.texts[i].strip(MARK) for k in shared.values() if len(k) > 1 for i in k) or marks and min(marks) < max(self.rank[i] for i in pieces):
+            raise ValueError("the model's pieces have no order: other pieces than runs of word marks share a score")
+        if any(MARK in t.lstrip(MARK) or t.startswith(MARK * 2) and t.strip(MARK) for t in self.ids):
+            raise ValueError("the model's pieces reach across words")
         #: A line feed has no piece, so that no merge reaches across it.
         self.cuts_lines = not any("\n" in t for t in self.ids)
         #: Pairs of characters that stand side by side in a piece: no merge reaches across any other.
         self.reached = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
-        self.crosses = any(MARK in t.lstrip(MARK) for t in self.ids)
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         for i in sorted(pieces, key=lambda i: (len(self.texts[i]) > 1, self.rank[i])):
@@ -82,7 +92,7 @@ class Bpe:
         self.shorter = [self._prefix(t) for t in self.texts]
         self.spaced = [f" {i}" for i in range(n)]
         self.plain = {str(i): self.texts[i].replace(MARK, " ") for i in pieces} | {str(i): chr(c) for c, i in enumerate(self.bytes[:128])} | {str(self.eos): ""}
-        self.memo, self.chunks = _Memo(self.encode_chunk), MEMO_CHUNKS
+        self.memo, self.memo_bytes = _Memo(self.encode_chunk), MEMO_BYTES
 
     def _split(self, i: int) -> None:
         """The last merge that makes the piece, None for one character; a piece that no merge makes is left out."""
@@ -134,41 +144,62 @@ class Bpe:
             return self.memo[chunk[:end]] + "".join([self.spaced[i] for i in tail])
         if MARK not in chunk and not chunk.startswith("\n"):
             chunk = MARK + chunk
-        if self.tied or MARK * 2 in chunk or self.crosses:
-            ids = self.merged(chunk)
+        marks = len(chunk) - len(chunk.lstrip(MARK))
+        if marks > 1:
+            ids = self.backtracked(chunk[marks - 1 :])
+            alone = self.texts[ids[0]] == MARK
+            ids = self.run_of_marks(marks - 1 + alone) + ids[alone:]
         else:
             ids = self.backtracked(chunk)
         spaced = self.spaced
         return "".join([spaced[i] for i in ids])
 
+    def run_of_marks(self, n: int) -> list[int]:
+        """The pieces of n word marks: of all pairs that merge, always the leftmost."""
+        out: list[int] = []
+        for _ in range(n):
+            out.append(1)
+            while len(out) > 1 and MARK * (out[-2] + out[-1]) in self.ids:
+                out[-2:] = [out[-2] + out[-1]]
+        return [self.ids[MARK * k] for k in out]
+
     def backtracked(self, chunk: str) -> list[int]:
         n = len(chunk)
-        # by end in the reversed chunk; longer matches come first, so they are written last
-        longest = dict(reversed(list(self.automaton.iter(chunk[::-1]))))
-        if len(longest) == n:
-            return self._stretch(longest, n, 0, n)
+        matches = self.automaton.iter(chunk[::-1])
+        longest: dict[int, int] | array
+        if n <= 4096:
+            # by end in the reversed chunk; longer matches come first, so they are written last
+            longest = dict(reversed(list(matches)))
+            if len(longest) == n:
+                return self._stretch(longest, n, 0, n)
+            longest = array("i", [longest.get(i, -1) for i in range(n)])
+        else:
+            longest = array("i", [-1]) * n
+            for end, piece in matches:
+                if longest[end] < 0:
+                    longest[end] = piece
         out: list[int] = []
         at = 0
         while at < n:  # stretches between characters without a piece
-            if n - 1 - at not in longest:
+            if longest[n - 1 - at] < 0:
                 out += [self.bytes[c] for c in chunk[at].encode()]
                 at += 1
                 continue
             to = at
-            while to < n and n - 1 - to in longest:
+            while to < n and longest[n - 1 - to] >= 0:
                 to += 1
             out += self._stretch(longest, n, at, to)
             at = to
         return out
 
-    def _stretch(self, longest: dict[int, int], n: int, start: int, end: int) -> list[int]:
+    def _stretch(self, longest: dict[int, int] | array, n: int, start: int, end: int) -> list[int]:
         lengths, pairs, shorter = self.lengths, self.pairs, self.shorter
         out: list[int] = []
-        failed = 0  # bit i: no way on from start + i
+        failed = bytearray((end - start >> 3) + 1)  # bit i: no way on from start + i
         at, last, piece = start, -1, longest[n - 1 - start]
         while True:
             to = at + lengths[piece]
-            if not failed >> (to - start) & 1:
+            if not failed[to - start >> 3] >> (to - start & 7) & 1:
                 if last < 0:
                     fits = True
                 else:
@@ -184,53 +215,18 @@ class Bpe:
                     continue
             piece = shorter[piece]
             while piece < 0:
-                failed |= 1 << (at - start)
+                failed[at - start >> 3] |= 1 << (at - start & 7)
                 piece = out.pop()
                 at -= lengths[piece]
                 last = out[-1] if out else -1
                 piece = shorter[piece]
 
-    def merged(self, chunk: str) -> list[int]:
-        """Pair-by-pair merging, the best score first and the leftmost of equals."""
-        parts: list[str | None] = list(chunk)
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ids, rank = self.ids, self.rank
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                joint = parts[i] + parts[after[i]]
-                if joint in ids:
-                    heapq.heappush(heap, (rank[ids[joint]], i, joint))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, joint = heapq.heappop(heap)
-            if parts[i] is None or after[i] >= n or parts[i] + parts[after[i]] != joint:
-                continue
-            gone = after[i]
-            parts[i], parts[gone] = joint, None
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        out: list[int] = []
-        for p in parts:
-            if p is not None:
-                out += [ids[p]] if p in ids else [self.bytes[c] for c in p.encode()]
-        return out
-
     def parts(self, text: str) -> list[str]:
         """The ids of each chunk of a text, each id after a space; without the end id."""
         if not text:
             return []
         self.trim()
         memo = self.memo.__getitem__
-        if self.crosses:
-            return [memo(MARK + text.replace(" ", MARK))]
         if MARK not in text and "  " not in text and text[0] not in " \n" and text[-1] != " " and " \n" not in text:
             if self.cuts_lines:
                 text = text.replace("\n", " \n")
@@ -239,7 +235,7 @@ class Bpe:
 
     def trim(self) -> None:
         """Drops the older generation of what is remembered once the younger is full."""
-        self.memo.turn(self.chunks)
+        self.memo.turn(self.memo_bytes)
         if len(self.pairs) > 300_000:
             self.pairs.clear()
 
@@ -293,19 +289,23 @@ class _Memo(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.size = make, {}, 0
 
     def __missing__(self, key):
+        if len(key) > MEMO_LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.size += MEMO_ENTRY + 4 * len(key) + len(value)
         return value
 
     def turn(self, limit: int) -> None:
-        if len(self) > limit:
+        if self.size > limit:
             self.older = dict(self)
             self.clear()
+            self.size = 0
 
 
 _models: dict[str, Bpe] = {}
@@ -331,13 +331,13 @@ def _declared(docs: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in keep)
 
 
-def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
+def digests(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """keep, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded with an end id, then decoded from the ids."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one file of a fixed size
 
     def run(batches):
         bpe = loaded(shipped.value)
-        bpe.chunks = memo_chunks
+        bpe.memo_bytes = memo_bytes
         for batch in batches:
             for at, texts in _rows(batch, text):
                 n, coded, decoded = [], [], []
