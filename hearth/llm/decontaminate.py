@@ -77,15 +77,18 @@ class Items:
             heads = np.flatnonzero(new_key | np.append(True, np.diff(rows[order]) != 0))
             places = np.diff(np.append(heads, len(order)))
             firsts = np.flatnonzero(new_key[heads])
-            self.seeds.append((width, keys[order[heads[firsts]]], np.append(firsts, len(heads)), rows[order[heads]], places))
+            may = np.zeros(1 << 22, bool)
+            may[keys[order] >> K.U64(42)] = True
+            self.seeds.append((width, keys[order[heads[firsts]]], np.append(firsts, len(heads)), rows[order[heads]], places, may))
 
     def candidates(self, words: np.ndarray, rows: np.ndarray, coverage: float):
         """(row, item) of the pairs whose shared seeds may cover enough of the item."""
-        for width, keys, ranges, items, places in self.seeds:
+        for width, keys, ranges, items, places, may in self.seeds:
             seen, valid = K.ngram_hash(words, rows, width)
-            at = np.searchsorted(keys, seen)
-            hit = valid & (keys[np.minimum(at, len(keys) - 1)] == seen)
-            met = np.unique(rows[: len(seen)][hit] * len(keys) + at[hit])  # (row, seed)
+            here = np.flatnonzero(valid & may[seen >> K.U64(42)])
+            at = np.searchsorted(keys, seen[here])
+            hit = keys[np.minimum(at, len(keys) - 1)] == seen[here]
+            met = np.unique(rows[here[hit]] * len(keys) + at[hit])  # (row, seed)
             row, seed = met // len(keys), met % len(keys)
             for lo in range(0, len(row), 4096):  # a seed's items, for some seeds of the rows at a time
                 lo, hi = (np.searchsorted(row, row[lo]) if lo else 0), (np.searchsorted(row, row[lo + 4096]) if lo + 4096 < len(row) else len(row))
