@@ -143,4 +143,4 @@ def token_counts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
     listed = manifest.withColumn("base", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0))).select("file", "base", F.posexplode("ids").alias("i", "id"))
     named = listed.select("file", (F.col("base") + F.col("i")).alias("ordinal"), "id")
     counted = count(files, separator, 2 if separator < 1 << 16 else 4, block_tokens).where("closed")
-    return named.join(counted, ["file", "ordinal"]).select(F.col("id").alias(id_col), F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")
+    return named.join(counted.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")
