@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +11,26 @@ from hearth.functions.numbers import safe_ratio
 MATCH = "doc_id long, kind string, outcome string, gold_start int, pred_start int"
 
 
-def greedy(gold: list[tuple], predicted: list[tuple], close) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """(pairs, unmatched gold, unmatched predicted): each gold span takes the first free prediction that is close."""
-    used: set[int] = set()
-    pairs = []
-    for i, g in enumerate(gold):
-        for j, p in enumerate(predicted):
-            if j not in used and close(g, p):
-                used.add(j)
-                pairs.append((i, j))
-                break
-    matched = {i for i, _ in pairs}
-    return pairs, [i for i in range(len(gold)) if i not in matched], [j for j in range(len(predicted)) if j not in used]
+def merged(gold: list[tuple[int, int]], predicted: list[tuple[int, int]], tolerance: int, overlap: bool) -> list[tuple[str, int | None, int | None]]:
+    """(outcome, gold start, predicted start) of two lists of spans, each sorted by start and end.
+
+    One merge: predictions enter a window once a gold span's reach comes to their
+    start, and leave it when matched or when gold spans have gone past them.  A
+    gold span takes the first prediction of the window that is close.
+    """
+    out: list[tuple[str, int | None, int | None]] = []
+    window: list[tuple[int, int]] = []
+    at = 0
+    for start, end in gold:
+        while at < len(predicted) and (predicted[at][0] < end if overlap else predicted[at][0] <= start + tolerance):
+            window.append(predicted[at])
+            at += 1
+        past = [p for p in window if (p[1] <= start if overlap else p[0] < start - tolerance)]
+        out += [("fp", None, p[0]) for p in past]
+        window = [p for p in window if not (p[1] <= start if overlap else p[0] < start - tolerance)]
+        hit = next((k for k, p in enumerate(window) if (p[0] < end if overlap else abs(p[1] - end) <= tolerance)), None)
+        out.append(("fn", start, None) if hit is None else ("tp", start, window.pop(hit)[0]))
+    return out + [("fp", None, p[0]) for p in (*window, *predicted[at:])]
 
 
 def matched(gold: DataFrame, predicted: DataFrame, tolerance: int = 3, overlap: bool = False) -> DataFrame:
@@ -31,25 +39,23 @@ def matched(gold: DataFrame, predicted: DataFrame, tolerance: int = 3, overlap:
     Spans (doc_id, kind, char_start, char_end) match if both ends lie within the
     tolerance, or, with `overlap`, if they overlap.  Matching is greedy in the
     order of gold spans, then of predictions.  A document's spans of one kind are
-    the group that is matched in Python.
+    one row's arrays; many documents go to Python together.
     """
-    both = gold.select("doc_id", "kind", "char_start", "char_end", F.lit(True).alias("is_gold")).unionByName(predicted.select("doc_id", "kind", "char_start", "char_end", F.lit(False).alias("is_gold")))
-
-    def close(g, p) -> bool:
-        if overlap:
-            return p[0] < g[1] and g[0] < p[1]
-        return abs(g[0] - p[0]) <= tolerance and abs(g[1] - p[1]) <= tolerance
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["char_start", "char_end"], kind="stable")
-        g = list(frame[frame.is_gold][["char_start", "char_end"]].itertuples(index=False, name=None))
-        p = list(frame[~frame.is_gold][["char_start", "char_end"]].itertuples(index=False, name=None))
-        pairs, missed, extra = greedy(g, p, close)
-        doc, kind = frame.doc_id.iloc[0], frame.kind.iloc[0]
-        rows = [(doc, kind, "tp", g[i][0], p[j][0]) for i, j in pairs] + [(doc, kind, "fn", g[i][0], None) for i in missed] + [(doc, kind, "fp", None, p[j][0]) for j in extra]
-        return pd.DataFrame(rows, columns=["doc_id", "kind", "outcome", "gold_start", "pred_start"]).astype({"gold_start": "Int32", "pred_start": "Int32"})
-
-    return both.groupBy("doc_id", "kind").applyInPandas(run, MATCH)
+    span = F.struct("char_start", "char_end")
+    both = gold.select("doc_id", "kind", span.alias("g"), F.lit(None).cast("struct<char_start:int,char_end:int>").alias("p")).unionByName(predicted.select("doc_id", "kind", F.lit(None).cast("struct<char_start:int,char_end:int>").alias("g"), span.alias("p")))
+    sides = both.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("g", "p")])
+
+    def run(batches):
+        for batch in batches:
+            docs, kinds, out = batch.column(0), batch.column(1), []
+            for k, (g, p) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                g, p = ([(s["char_start"], s["char_end"]) for s in side] for side in (g, p))
+                out += [(k, *row) for row in merged(g, p, tolerance, overlap)]
+            if out:
+                at, outcome, a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(at)), kinds.take(pa.array(at)), pa.array(outcome), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "kind", "outcome", "gold_start", "pred_start"])
+
+    return sides.mapInArrow(run, MATCH)
 
 
 def scores(outcomes: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,10 +6,11 @@ Vocabularies, headers and patterns are parameters: a caller brings its own.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,64 +77,122 @@ class Extraction:
 
 
 ENTITY = "kind string, text string, char_start int, char_end int, code string, attributes map<string,string>, negated boolean, uncertain boolean, confidence double"
-_TOKEN = re.compile(r"[a-z0-9']+")
+#: Fixed value: what counts as a token before a cue's entity.
+_TOKEN = re.compile(r"\b[\w/]+\b")
 _SENTENCE = re.compile(r"(?<=[.!?]) (?=[A-Z])")
 
 
-def _cue(before: str, cues: tuple[str, ...], n: int) -> bool:
-    """Whether a cue stands in the last n tokens: one word as a token, several as part of the joined window."""
-    tokens = _TOKEN.findall(before.lower())[-n:]
-    joined, own = " ".join(tokens), set(tokens)
-    return any(c in joined if " " in c else c in own for c in cues)
+class Tokens:
+    """The tokens of a text, found once; asks for the last n before a place cost a search."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.sentences = [0, *(m.end() for m in _SENTENCE.finditer(text))]
+        self.starts, self.ends = [], []
+        for m in _TOKEN.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
 
-def extract_text(text: str, how: Extraction, mode: str = "default") -> list[dict]:
-    """The entities of one normalised text, by start (lexicons before patterns at the same place)."""
-    starts = [0, *(m.end() for m in _SENTENCE.finditer(text))]
-    left_out = how.skip.get(mode, ())
-    found: list[dict] = []
+    def before(self, at: int, n: int) -> list[str]:
+        """The last n lower-cased tokens between the sentence's start and a place; a token that the place cuts counts up to it."""
+        first = bisect_left(self.starts, self.sentences[bisect_right(self.sentences, at) - 1])
+        last = bisect_right(self.ends, at)
+        cut = _TOKEN.findall(self.text[self.starts[last] : at]) if last < len(self.starts) and self.starts[last] < at else []
+        found = [self.text[self.starts[k] : self.ends[k]] for k in range(max(first, last - n), last)] + cut
+        return [t.lower() for t in found[-n:]]
 
-    def add(kind, m, code, attributes, confidence) -> None:
-        before = text[starts[bisect_right(starts, m.start()) - 1] : m.start()]
-        found.append({"kind": kind, "text": m.group(0), "char_start": m.start(), "char_end": m.end(), "code": code, "attributes": attributes, "negated": _cue(before, how.negations, how.negation_window), "uncertain": _cue(before, how.hedges, how.hedge_window), "confidence": confidence})
 
-    for kind, lexicon in how.lexicons.items():
-        if kind in left_out:
-            continue
-        taken: list[tuple[int, int]] = []
-        for phrase in sorted(lexicon, key=lambda p: (-len(p), p)):  # the longest phrase first; spans once taken stay taken
-            for m in _pattern(rf"\b{re.escape(phrase)}\b").finditer(text):
-                k = bisect_right(taken, (m.start(), len(text)))  # the spans on both sides of the start
-                if not (k and m.start() < taken[k - 1][1] or k < len(taken) and taken[k][0] < m.end() <= taken[k][1]):
-                    insort(taken, m.span())
-                    add(kind, m, lexicon[phrase], {}, 0.88 if len(phrase) > 6 else 0.78)
-    for kind, pattern, confidence in how.patterns:
-        if kind not in left_out:
-            for m in _pattern(pattern).finditer(text):
-                add(kind, m, None, {k: v for k, v in m.groupdict().items() if v is not None}, confidence)
-    return sorted(found, key=lambda e: e["char_start"])
+def _cued(tokens: list[str], cues: tuple[str, ...]) -> bool:
+    """Whether a cue stands among tokens: one word as a token, several as part of the joined window."""
+    joined = " ".join(tokens)
+    return any(c in joined if " " in c else c in tokens for c in cues)
+
+
+def _lower(text: str) -> str:
+    """Lower case that keeps every character's place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Finder:
+    """All phrases of a lexicon in one pass; among overlapping ones the longest wins, whichever comes first."""
+
+    def __init__(self, lexicon: dict[str, str]):
+        import ahocorasick
+
+        self.codes = {_lower(p): (p, code) for p, code in lexicon.items()}
+        self.automaton = ahocorasick.Automaton()
+        for phrase in self.codes:
+            self.automaton.add_word(phrase, phrase)
+        self.automaton.make_automaton()
+
+    def spans(self, low: str) -> list[tuple[int, int, str]]:
+        """(start, end, phrase) at word bounds, by start."""
+        word = [c.isalnum() or c == "_" for c in low]
+
+        def bound(i: int) -> bool:
+            return (i > 0 and word[i - 1]) != (i < len(low) and word[i])
 
+        met = [(e + 1 - len(p), e + 1, p) for e, p in self.automaton.iter(low)] if self.codes else []
+        taken: list[tuple[int, int, str]] = []
+        for m in sorted((m for m in met if bound(m[0]) and bound(m[1])), key=lambda m: (m[0] - m[1], self.codes[m[2]][0], m[0])):
+            k = bisect_right(taken, (m[0], len(low) + 1, ""))  # the spans on both sides of the start
+            if not (k and m[0] < taken[k - 1][1] or k < len(taken) and taken[k][0] < m[1] <= taken[k][1]):
+                taken.insert(k, m)
+        return taken
 
+
+_finders: dict[tuple, Finder] = {}
 _patterns: dict[str, re.Pattern] = {}
 
 
+def _finder(lexicon: dict[str, str]) -> Finder:
+    key = tuple(lexicon.items())
+    if key not in _finders:
+        _finders[key] = Finder(lexicon)
+    return _finders[key]
+
+
 def _pattern(source: str) -> re.Pattern:
     if source not in _patterns:
         _patterns[source] = re.compile(source, re.I)
     return _patterns[source]
 
 
+def extract_text(text: str, how: Extraction, mode: str = "default") -> list[dict]:
+    """The entities of one normalised text, by start (lexicons before patterns at the same place)."""
+    left_out, window = how.skip.get(mode, ()), Tokens(text)
+    met: list[tuple] = []
+    low = _lower(text) if how.lexicons else ""
+    for kind, lexicon in how.lexicons.items():
+        if kind not in left_out:
+            finder = _finder(lexicon)
+            met += [(start, end, kind, finder.codes[p][1], {}, 0.88 if len(p) > 6 else 0.78) for start, end, p in finder.spans(low)]
+    for kind, pattern, confidence in how.patterns:
+        if kind not in left_out:
+            met += [(*m.span(), kind, None, {k: v for k, v in m.groupdict().items() if v is not None}, confidence) for m in _pattern(pattern).finditer(text)]
+    reach, found = max(how.negation_window, how.hedge_window), []
+    for start, end, kind, code, attributes, confidence in sorted(met, key=lambda m: m[0]):
+        tokens = window.before(start, reach)
+        found.append({"kind": kind, "text": text[start:end], "char_start": start, "char_end": end, "code": code, "attributes": attributes, "negated": _cued(tokens[-how.negation_window :], how.negations), "uncertain": _cued(tokens[-how.hedge_window :], how.hedges), "confidence": confidence})
+    return found
+
+
 def entities(docs: DataFrame, how: Extraction, id_col: str = "doc_id", text: str = "text", mode: str = "default") -> DataFrame:
-    """One row for each entity of each document; patterns are compiled once in a worker."""
+    """One row for each entity of each document; automata and patterns are made once in a worker."""
     columns = [c.split()[0] for c in ENTITY.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.bool_(), pa.float64()]
 
-    def run(frames):
-        for frame in frames:
-            out = [(i, *[e[c] for c in columns]) for i, t in zip(frame["id"], frame["text"]) for e in extract_text(t, how, mode)]
-            yield pd.DataFrame(out, columns=["id", *columns])
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [(k, e) for k, t in enumerate(part.column(1).to_pylist()) for e in extract_text(t, how, mode)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([k for k, _ in found])), *(pa.array([list(e[c].items()) if c == "attributes" else e[c] for _, e in found], t) for c, t in zip(columns, kinds))], names=["id", *columns])
 
     kind = dict(docs.dtypes)[id_col]
-    return normalised(docs, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, {ENTITY}").withColumnRenamed("id", id_col)
+    return normalised(docs, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, {ENTITY}").withColumnRenamed("id", id_col)
 
 
 def phase_of(found: DataFrame, phases: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from hearth.plans import evaluation, exchange, features, surveillance
+from hearth.plans import evaluation, exchange, features, notes, surveillance
 
-PLANS = (surveillance, features, evaluation, exchange)
+PLANS = (surveillance, features, evaluation, exchange, notes)
 CASES = [(name, plan) for plan in PLANS for name in plan.ORACLES]
 
 
