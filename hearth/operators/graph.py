@@ -54,20 +54,21 @@ def cross_kind_clusters(conditions: DataFrame, members: DataFrame, kinds: tuple[
 
     conditions: ref, code, onset, case_id; members: ref, kind, group_id.  The
     index case is the earliest (first kind before second, then ref, then case_id;
-    a null onset comes first); interval_days is from it to the next case.  Counts
-    are combined before the shuffle and only the two earliest cases of a group
-    are ranked, so that no group is gathered in one place.
+    a null onset comes first); interval_days is from it to the next case.  Cases
+    are summed once by member and day; counts and the two earliest both come from
+    these sums (one exchange, reused), and only two rows of a group are ranked, so
+    that no group is gathered in one place.
     """
     cases = conditions.join(members, "ref").withColumn("kind_ord", F.when(F.col("kind") == kinds[0], 0).otherwise(1))
-    counts = cases.groupBy("group_id", "code").agg(
-        F.count_if(F.col("kind") == kinds[0]).alias("n_first"), F.count_if(F.col("kind") == kinds[1]).alias("n_second"), F.count_distinct("ref").alias("n_members")
+    daily = cases.groupBy("group_id", "code", "onset", "ref", "kind", "kind_ord").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id"))
+    place = F.struct("onset", "kind_ord", "ref", "case_id", "kind", "n")
+    counts = daily.groupBy("group_id", "code").agg(
+        F.sum(F.when(F.col("kind") == kinds[0], F.col("n")).otherwise(0)).alias("n_first"), F.sum(F.when(F.col("kind") == kinds[1], F.col("n")).otherwise(0)).alias("n_second"), F.count_distinct("ref").alias("n_members")
     ).where("n_first > 0 AND n_second > 0")
     turn = Window.partitionBy("group_id", "code").orderBy(F.asc_nulls_first("onset"), "kind_ord", "ref", "case_id")
-    two = cases.withColumn("rn", F.row_number().over(turn)).where("rn <= 2").groupBy("group_id", "code").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("ref"))).alias("index_ref"), F.max(F.when(F.col("rn") == 1, F.col("kind"))).alias("index_kind"),
-        F.max(F.when(F.col("rn") == 1, F.col("onset"))).alias("index_onset"), F.max(F.when(F.col("rn") == 2, F.col("onset"))).alias("next_onset"),
-    )
-    return counts.join(two, ["group_id", "code"]).select("group_id", "code", "n_first", "n_second", "n_members", "index_ref", "index_kind", "index_onset", F.datediff("next_onset", "index_onset").alias("interval_days"))
+    two = daily.withColumn("rn", F.row_number().over(turn)).where("rn <= 2").groupBy("group_id", "code").agg(F.min(place).alias("index"), F.max(F.when(F.col("rn") == 2, F.col("onset"))).alias("second"))
+    next_onset = F.when(F.col("index.n") > 1, F.col("index.onset")).otherwise(F.col("second"))
+    return counts.join(two, ["group_id", "code"]).select("group_id", "code", "n_first", "n_second", "n_members", F.col("index.ref").alias("index_ref"), F.col("index.kind").alias("index_kind"), F.col("index.onset").alias("index_onset"), F.datediff(next_onset, F.col("index.onset")).alias("interval_days"))
 
 
 def secondaries(conditions: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:

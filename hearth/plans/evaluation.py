@@ -70,7 +70,7 @@ def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = linkage.blocked_pairs(*_records(spark, sf_dir))
+    pairs = linkage.blocked_pairs(*_records(spark, sf_dir), salts=8)
     return linkage.tiered(linkage.scored(linkage.similarities(pairs, {"st": "street"})))
 
 

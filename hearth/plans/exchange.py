@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,8 @@ from hearth.functions.numbers import digest_bucket
 from hearth.operators import federate, members as member_ops, messages, policy, series, spans, text
 from hearth.plans import dated, plain
 from hearth.plans.views import DAILY_SQL, MEMBERS_SQL, daily_events, members, read
+from hearth.session import scratch_dir
+from hearth.sources.readers import spread
 from hearth.streaming import live
 
 BAGS = {"n_and": "(?i)(?<![A-Za-z])and(?![A-Za-z])", "n_numbers": "[0-9]+", "n_mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
@@ -21,11 +22,11 @@ HOW = text.Extraction(lexicons={"function": {"the": "F1", "of the": "F2", "that"
 
 
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.keyword_counts(read(spark, sf_dir, "documents"), BAGS)
+    return text.keyword_counts(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), BAGS)
 
 
 def _phased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.phased(text.sentences(read(spark, sf_dir, "documents")), "doc_id", HEADERS, TOPICS, opening="OPENING")
+    return text.phased(text.sentences(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")), "doc_id", HEADERS, TOPICS, opening="OPENING")
 
 
 def sentence_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.entities(read(spark, sf_dir, "documents"), HOW)
+    return text.entities(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), HOW)
 
 
 def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +104,8 @@ def panel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.panel(members(spark, sf_dir), _assignments(spark, sf_dir), "P0b", "customer")
 
 
-def co_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.co_members(members(spark, sf_dir), _assignments(spark, sf_dir))
-
-
 def co_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """co_members_all within suppliers and a tenth of the customers, as the query's SQL has it."""
-    small = members(spark, sf_dir).where("kind = 'supplier' OR CAST(substring(ref, 2) AS BIGINT) % 10 = 1")
-    return policy.co_members(small, _assignments(spark, sf_dir))
+    return policy.co_members(members(spark, sf_dir), _assignments(spark, sf_dir))
 
 
 def _consents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +172,9 @@ def trailing_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour windows of events through Structured Streaming."""
     schema = read(spark, sf_dir, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='hearth-')}"
-    name = f"windows_{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/windows-{uuid.uuid4().hex}"
     counts = live.windowed_counts(live.read_files(spark, sf_dir, schema, "events.parquet"), "ts", ["event_type"], "6 hours")
-    done = live.run_once(counts, name, "complete", f"{folder}/{name}")
+    done = live.run_once(counts, f"{folder}/table", "complete", f"{folder}/checkpoint")
     return done.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
@@ -204,7 +198,7 @@ _CASES_SQL = "k AS (SELECT o_orderkey AS case_id, 'C' || o_custkey AS ref, o_ord
 
 QUERIES = {
     f.__name__: plain(f)
-    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, provider_assignment, panel_filter, co_members, co_members_all, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
+    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
 }
 ORACLES = {
     "keyword_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x : x = 'and')) AS BIGINT) AS n_and, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS BIGINT) AS n_numbers, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS BIGINT) AS n_mail FROM documents""",
@@ -218,9 +212,7 @@ ORACLES = {
 SELECT label, CAST(position AS INTEGER) AS position, round(sum(w * CAST(x AS DOUBLE)) / sum(w), 6) AS value FROM v GROUP BY 1, 2""",
     "provider_assignment": f"WITH {_ASSIGN_SQL} SELECT ref, provider_id FROM assigned",
     "panel_filter": f"WITH {_ASSIGN_SQL} SELECT m.* FROM members m JOIN assigned a USING (ref) WHERE provider_id = 'P0b' AND kind = 'customer'",
-    "co_members": f"""WITH {_ASSIGN_SQL}, x AS (SELECT m.*, a.provider_id FROM members m JOIN assigned a USING (ref) WHERE kind = 'supplier' OR CAST(substr(ref, 2) AS BIGINT) % 10 = 1)
-SELECT a.ref, count(*) FILTER (a.kind = b.kind AND a.provider_id = b.provider_id) AS n_visible, count(*) FILTER (NOT (a.kind = b.kind AND a.provider_id = b.provider_id)) AS n_hidden FROM x a JOIN x b ON a.group_id = b.group_id AND a.ref <> b.ref GROUP BY 1""",
-    "co_members_all": f"""WITH {_ASSIGN_SQL}, x AS (SELECT m.*, a.provider_id FROM members m JOIN assigned a USING (ref))
+    "co_members": f"""WITH {_ASSIGN_SQL}, x AS (SELECT m.*, a.provider_id FROM members m JOIN assigned a USING (ref))
 SELECT a.ref, count(*) FILTER (a.kind = b.kind AND a.provider_id = b.provider_id) AS n_visible, count(*) FILTER (NOT (a.kind = b.kind AND a.provider_id = b.provider_id)) AS n_hidden FROM x a JOIN x b ON a.group_id = b.group_id AND a.ref <> b.ref GROUP BY 1""",
     "consent_gate": f"WITH {_CONSENT_SQL} SELECT group_id, kind, count(*) AS n FROM members WHERE group_id NOT IN (SELECT group_id FROM consents WHERE decision = 'deny') GROUP BY 1, 2",
     "consent_summary": f"WITH {_CONSENT_SQL} SELECT count(*) AS n, count(*) FILTER (decision = 'deny') AS n_declined, round_even(CAST(count(*) FILTER (decision = 'deny') AS DOUBLE) / greatest(count(*), 1), 4) AS decline_rate FROM consents",

@@ -36,16 +36,9 @@ def group_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.daily_trailing(_orders(spark, sf_dir).select("event_id", "group_id", "date"), "group_id", "date", [30, 90])
 
 
-def other_member_recent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir)
-    return features.others_recent(o, o.withColumnRenamed("priority", "code"), 90).select("event_id", "n_other_cases", "n_other_codes")
-
-
 def other_member_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """other_member_recent_all for costly orders, urgent cases and 30 days, as the query's SQL has it."""
     o = _orders(spark, sf_dir)
-    urgent = o.where(F.col("priority").startswith("1")).select("group_id", "ref", F.col("priority").alias("code"), "date")
-    return features.others_recent(o.where("price > 300000").select("event_id", "group_id", "ref", "date"), urgent, 30).select("event_id", "n_other_cases", "n_other_codes")
+    return features.others_recent(o, o.withColumnRenamed("priority", "code"), 90).select("event_id", "n_other_cases", "n_other_codes")
 
 
 def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +105,7 @@ signals AS (
 led AS (SELECT s.*, index_date - CAST(earliest AS DATE) AS lead, row_number() OVER (PARTITION BY group_id ORDER BY index_date - CAST(earliest AS DATE) DESC, ord) AS rn, count(*) OVER (PARTITION BY group_id) AS k FROM signals s JOIN idx USING (group_id)),
 best AS (SELECT i.group_id, i.index_date AS confirmed, signal, CAST(earliest AS DATE) AS earliest, CAST(lead AS INTEGER) AS lead_days, coalesce(k, 0) AS n_signals FROM idx i LEFT JOIN led ON led.group_id = i.group_id AND rn = 1)"""
 
-QUERIES = {f.__name__: plain(f) for f in (trailing_activity, group_activity, other_member_recent, other_member_recent_all, label_rules, feature_matrix, contact_tiers, next_event_asof, contact_scores, best_signal, lead_summary)}
+QUERIES = {f.__name__: plain(f) for f in (trailing_activity, group_activity, other_member_recent, label_rules, feature_matrix, contact_tiers, next_event_asof, contact_scores, best_signal, lead_summary)}
 ORACLES = {
     "trailing_activity": """WITH e AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) - DATE '1970-01-01' AS d FROM events),
 daily AS (SELECT user_id, d, count(*) AS n, list(DISTINCT event_type) AS types FROM e GROUP BY 1, 2),
@@ -122,9 +115,7 @@ SELECT event_id, CAST(n7 AS BIGINT) AS n_7d, CAST(n30 AS BIGINT) AS n_30d, CAST(
     "group_activity": f"""WITH {ORDERS_SQL}, daily AS (SELECT group_id, date, count(*) AS n FROM ev GROUP BY 1, 2),
 w AS (SELECT a.group_id, a.date, CAST(coalesce(sum(b.n) FILTER (b.date >= a.date - 30), 0) AS BIGINT) AS n_30d, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n_90d FROM daily a LEFT JOIN daily b ON a.group_id = b.group_id AND b.date BETWEEN a.date - 90 AND a.date - 1 GROUP BY 1, 2)
 SELECT event_id, group_id, date, n_30d, n_90d FROM ev JOIN w USING (group_id, date)""",
-    "other_member_recent": f"""WITH {ORDERS_SQL}, u AS (SELECT group_id, ref, priority AS code, date FROM ev WHERE priority LIKE '1%')
-SELECT e.event_id, count(u.ref) AS n_other_cases, count(DISTINCT u.code) AS n_other_codes FROM ev e LEFT JOIN u ON u.group_id = e.group_id AND u.ref <> e.ref AND e.date - u.date BETWEEN 0 AND 30 WHERE e.price > 300000 GROUP BY 1""",
-    "other_member_recent_all": f"""WITH {ORDERS_SQL}
+    "other_member_recent": f"""WITH {ORDERS_SQL}
 SELECT e.event_id, count(u.ref) AS n_other_cases, count(DISTINCT u.priority) AS n_other_codes FROM ev e LEFT JOIN ev u ON u.group_id = e.group_id AND u.ref <> e.ref AND e.date - u.date BETWEEN 0 AND 90 GROUP BY 1""",
     "label_rules": f"""WITH {ORDERS_SQL}, {INDICES_SQL},
 r AS (SELECT event_id, CASE WHEN coalesce(abs(date - index_date) <= 60, false) THEN 'index_group' WHEN ev.group_id = '5' AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND (lower(priority) LIKE '%urgent%' OR lower(priority) LIKE '%high%') THEN 'region_keyword' ELSE 'none' END AS reason

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hearth.operators import messages, notes, spans, text
 from hearth.plans import plain
 from hearth.plans.views import read
+from hearth.sources.readers import spread
 
 SEXES = [("woman", "female"), ("man", "male"), ("lady", "female"), ("gentleman", "male")]
 UNITS = [("day", 1), ("week", 7), ("month", 30), ("year", 365)]
@@ -37,7 +38,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = 1 + k % 9
     about = F.concat((18 + k % 70).cast("string"), F.lit("-year-old "), pick([s for s, _ in SEXES], k), F.lit(" seen for "), n.cast("string"), F.lit(" "), pick([u for u, _ in UNITS], k), F.when(n > 1, "s").otherwise(""), F.lit(".  "))
     measured = F.concat(F.lit("BP "), (100 + k % 60).cast("string"), F.lit("/"), (60 + k % 30).cast("string"), F.lit(", HR "), (55 + k % 80).cast("string"), F.lit(", RR "), (12 + k % 15).cast("string"), F.lit(", T "), (97 + k % 6).cast("string"), F.lit("."), (k % 10).cast("string"), F.lit(", SpO2 "), (90 + k % 10).cast("string"), F.lit("%.\n"))
-    return read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(about, measured, pick(TICKS, k), F.lit(". "), pick([e for e, _ in ENDS], k)).alias("text"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("doc_id"), F.concat(about, measured, pick(TICKS, k), F.lit(". "), pick([e for e, _ in ENDS], k)).alias("text"))
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:

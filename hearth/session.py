@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions; UTC keeps dates the same everywhere.
@@ -21,3 +23,22 @@ def session(name: str = "hearth", master: str | None = None, **settings: str) ->
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = tempfile.mkdtemp(prefix="hearth-")
+    spark.sparkContext.setCheckpointDir(f"file://{shared}")
+    return f"file://{shared}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of intermediate tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

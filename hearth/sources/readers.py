@@ -39,6 +39,15 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A stored table of fewer splits than cores dealt over the cores by its keys; a larger one as it is.
+
+    For costly work on each row of small files: a file of one row group is one split.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, F.xxhash64(*keys)) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A line-wise JSON log; corrupt lines are left out."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema

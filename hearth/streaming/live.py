@@ -43,11 +43,12 @@ def read_files(spark: SparkSession, folder: str, schema, glob: str, per_trigger:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs all that is there and gives the result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs all that is there and gives the result table: each batch replaces it in complete mode, and adds to it in others."""
+    write = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(write).parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(path)
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
