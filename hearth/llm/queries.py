@@ -22,7 +22,7 @@ def piece_model(path: str | None = None) -> bytes:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +30,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"], memo_bytes=128 << 20)
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), ["doc_id"], memo_bytes=128 << 20)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.Rules()
-    rows = quality.quality(table(spark, sf_dir, "documents"), ["doc_id"], rules=rules)
+    rows = quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], rules=rules)
     return rows.select(*[c for c in rows.columns if c != "dup_ngram_chars"], *[F.element_at("dup_ngram_chars", i + 1).alias(f"dup_{n}gram_chars") for i, (n, _) in enumerate(rules.ngrams)])
 
 
@@ -48,16 +48,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
 
 
 def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return hmm_lm.hmm_scores(table(spark, sf_dir, "documents"), held_out)
+    return hmm_lm.hmm_scores(table(spark, sf_dir, "documents", "doc_id", "text"), held_out)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = tempfile.mkdtemp(prefix="hearth-")
-    spark.sparkContext.setCheckpointDir(f"file://{shared}")
-    return f"file://{shared}"
+from hearth.session import removed, scratch_dir
+from hearth.sources.readers import spread
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,11 +16,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that no later result reads."""
+    for t in tables:
+        removed(t.sparkSession, t.scratch_path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A stored table; with columns, only these, and rows of a table with few splits dealt over the cores by the first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns), columns[0]) if columns else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
 
 
 def hex_digest_base32(hex_digest: Column, digits: int = 40) -> Column:
@@ -60,7 +66,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and every smaller neighbour of u point at the least of them
         under = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(under, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("e.lo", "e.hi").where("lo != hi").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if state == before:
             break
