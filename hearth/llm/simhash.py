@@ -17,7 +17,9 @@ compared with all.  Together these give exactly the components of all links.
 Cases: a null text is an empty one; texts without words have fingerprint zero
 and link like any other; a null doc_id has a fingerprint and takes the component
 of its fingerprint, but is no candidate for the component's name (null if there
-is none); repeated rows give repeated result rows; other columns are ignored.
+is none); repeated rows give repeated result rows; an empty table gives an empty
+result; very long texts cost memory in proportion to their length; other columns
+are ignored, and may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, written
+from .shared import components, dropped, unused, written
 
 
 def fingerprints_of(texts: list[str], width: int, seed: int) -> np.ndarray:
@@ -126,9 +128,12 @@ def linked(fps: DataFrame, distance: int = 4, hot_bucket: int = 64) -> DataFrame
     rest = rest.union(minor.join(others, (F.col("key") == F.col("other")) & (F.col("c1") != F.col("c2")) & close("fp1", "fp2")).select(F.least("c1", "c2"), F.greatest("c1", "c2"))).distinct()
     second = components(rest).withColumnRenamed("component", "c2").withColumnRenamed("id", "c1")
     whole = nodes.join(first.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
-    whole = whole.join(second, whole.c == second.c1, "left").select("fp", "id", F.coalesce("c2", "c").alias("c"))
-    names = whole.groupBy("c").agg(F.min("id").alias("component"))
-    return whole.join(names, "c").select("fp", "component")
+    whole = written(whole.join(second, whole.c == second.c1, "left").select("fp", "id", F.coalesce("c2", "c").alias("c")), "labels")
+    # the least ids are a table of their own, so that adaptive execution can split a label that many fingerprints bear
+    names = written(whole.groupBy("c").agg(F.min("id").alias("component")), "names")
+    out = written(whole.join(names, "c").select("fp", "component"), "groups")
+    dropped(groups, large, inside, first, whole, names)
+    return out
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
@@ -140,9 +145,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs` with the least id of each group, one row for each such id; rows without an id stay."""
+    stays, turn = (unused(name, docs) for name in ("stays", "turn"))
     groups = simhash_groups(docs, id_col, text, **how)
-    stay = groups.where(f"`{id_col}` = component_id").select(F.col(id_col).alias("_stays")).distinct()
-    named = docs.join(stay, docs[id_col] == stay["_stays"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
-    named = named.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(stays)).distinct()
+    named = docs.join(stay, docs[id_col] == stay[stays], "left_semi")
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
+    named = named.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

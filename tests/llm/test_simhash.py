@@ -37,3 +37,10 @@ def test_simhash_odd_rows(spark, odd, empty):
     stay = simhash.one_of_each(odd)
     assert stay.columns == odd.columns and stay.where("doc_id = 5").count() == 1 and stay.where("doc_id IS NULL").count() == 2
     assert simhash.simhash_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_simhash_any_column_name_is_free(spark, empty):
+    docs = spark.createDataFrame([(2, "a b c d e f", 1, 1, 1), (1, "a b c d e f", 2, 2, 2), (3, "quite another text of some words", 3, 3, 3)], "doc_id long, text string, stays int, turn int, component int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [(2, 2, 2), (3, 3, 3)]
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
