@@ -23,38 +23,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 SALTS = 64
 
 
 def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """The input's columns with the cleaned text, then n_lines (before) and n_dropped, both int."""
+    h, drop, salt, kept = (unused(name, docs) for name in ("host", "drop", "salt", "kept"))
     key = F.concat(F.when(F.col(host).isNull(), "-").otherwise("+"), F.coalesce(F.col(host).cast("string"), F.lit("")))
     lines = F.split(F.col(text), "\n", -1)
 
     def digest(line):
         return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
-    shown = docs.select(key.alias("_host"), lines.alias("_lines"))
-    pages = shown.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    inked = F.filter(F.array_distinct("_lines"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    counts = shown.select("_host", F.explode(F.transform(inked, digest)).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    frequent = written(counts.join(pages, "_host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("_host", "_line"), "boilerplate")
-    per_host = frequent.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
+    shown = docs.select(key.alias("host"), lines.alias("lines"))
+    pages = shown.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    inked = F.filter(F.array_distinct("lines"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+    counts = shown.select("host", F.explode(F.transform(inked, digest)).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    frequent = written(counts.join(pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line"), "boilerplate")
+    per_host = frequent.groupBy(F.col("host").alias(h)).agg(F.collect_list("line").alias(drop))
 
-    marked = docs.drop("n_lines", "n_dropped").withColumn("_host", key)
+    marked = docs.drop("n_lines", "n_dropped").withColumn(h, key)
     if frequent.count() <= broadcast_rows:
-        joined = marked.join(F.broadcast(per_host), "_host", "left")
+        joined = marked.join(F.broadcast(per_host), h, "left")
     else:
-        salted = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = marked.withColumn("_salt", F.pmod(F.xxhash64(F.col(text), F.rand(7)), F.lit(SALTS)).cast("int"))
-        joined = marked.join(salted, ["_host", "_salt"], "left")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drop", digest(x))))
+        salted = per_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        plain = [c for c, kind in marked.dtypes if "map" not in kind and "variant" not in kind]  # a row is dealt by what it holds, so that a task run again deals alike
+        joined = marked.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).join(salted, [h, salt], "left")
+    left = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(drop, digest(x))))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    out = joined.withColumn("_kept", kept)
-    own = [F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*own, F.when(F.col(text).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("_kept")).alias("n_dropped"))
+    out = joined.withColumn(kept, left)
+    own = [F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, F.when(F.col(text).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size(kept)).alias("n_dropped"))
 
 
 #: The same in DuckDB's SQL, over documents.

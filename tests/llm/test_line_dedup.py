@@ -13,3 +13,11 @@ def test_line_dedup(spark, odd, empty):
         assert (got[0].n_lines, got[0].n_dropped, got[51].n_lines) == (3, 2, 0)
     assert line_dedup.line_dedup(empty).count() == 0
     assert line_dedup.line_dedup(odd).count() == odd.count()
+
+
+def test_any_column_name_is_free(spark):
+    docs = spark.createDataFrame([(k, f"head\nbody {k}", "h", k, k, k, k, {"a": k}) for k in range(4)], "doc_id int, text string, source string, host int, drop int, salt int, kept int, m map<string,int>")
+    for rows in (200_000, 0):
+        got = line_dedup.line_dedup(docs, broadcast_rows=rows)
+        assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+        assert sorted((r.doc_id, r.text, r.host, r.drop, r.salt, r.kept) for r in got.collect()) == [(k, f"body {k}", k, k, k, k) for k in range(4)]
