@@ -90,3 +90,56 @@ def best_signal(confirmations: DataFrame, signals: list[DataFrame], key: str) ->
 def lead_summary(best: DataFrame) -> DataFrame:
     """Figures over the confirmations that have a signal."""
     return best.agg(F.count("*").alias("n"), F.count("lead_days").alias("n_with_signal"), F.avg("lead_days").alias("mean_lead"), F.median("lead_days").alias("median_lead"), F.min("lead_days").alias("min_lead"), F.max("lead_days").alias("max_lead"))
+
+
+def earliest_before(cases: DataFrame, confirmations: DataFrame, keys: list[str], date: str, signal: str, where: Column) -> DataFrame:
+    """(first key, signal, earliest): the first qualifying case of a confirmation's keys (group and code) before it, however long."""
+    led = cases.where(where).join(confirmations, keys).where(F.col(date) < F.col("confirmed"))
+    return led.groupBy(keys[0]).agg(F.min(date).alias("earliest")).select(keys[0], F.lit(signal).alias("signal"), "earliest")
+
+
+def index_positives(labels: DataFrame, indices: DataFrame) -> DataFrame:
+    """Positives of index groups on other days than the index day: index_id, event_id, lead (days after it), is_post.
+
+    labels: event_id, group_id, date, label; indices: index_id, group_id, index_date.  What lies before the index
+    could not be caught.
+    """
+    at = labels.where("label = 1").join(indices.select("index_id", "group_id", "index_date"), "group_id").where("date <> index_date")
+    lead = F.datediff("date", "index_date")
+    return at.select("index_id", "event_id", lead.alias("lead"), (lead > 0).alias("is_post"))
+
+
+def traced_curve(contacts: DataFrame, positives: DataFrame, thresholds: list[float]) -> DataFrame:
+    """For each threshold: flagged contacts whose next event is a positive after the index (tp) or not (fp), positives not flagged (fn), rates and lead.
+
+    contacts: index_id, next_id, risk.  Positives count for indices that have contacts.  All thresholds come from
+    one pass over the contacts and one over the positives.
+    """
+    post = positives.where("is_post").select("index_id", F.col("event_id").alias("next_id"), "lead")
+    marked = contacts.join(post, ["index_id", "next_id"], "left")
+    hit, risk = F.col("lead").isNotNull(), F.col("risk")
+    sums = marked.agg(*[c.alias(f"{name}{i}") for i, t in enumerate(thresholds) for name, c in (("tp", F.count_if(hit & (risk >= t))), ("fp", F.count_if(~hit & (risk >= t))), ("lead", F.avg(F.when(risk >= t, F.col("lead")))))])
+    best = contacts.groupBy("index_id", "next_id").agg(F.max("risk").alias("risk"))
+    known = post.join(contacts.select("index_id").distinct(), "index_id", "left_semi").distinct()
+    caught = known.join(best, ["index_id", "next_id"], "left").agg(*[(F.count("*") - F.count_if(risk >= t)).alias(f"fn{i}") for i, t in enumerate(thresholds)])
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn"), F.col(f"lead{i}").alias("mean_lead")) for i, t in enumerate(thresholds)])
+    found = sums.crossJoin(caught).select(F.inline(rows))  # one row each
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    found = found.withColumns({"flagged": tp + fp, "sensitivity": tp / F.greatest(tp + fn, F.lit(1)), "precision": tp / F.greatest(tp + fp, F.lit(1))})
+    return found.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("sensitivity"), F.col("precision") + F.col("sensitivity")))
+
+
+def traced_by_index(contacts: DataFrame, positives: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Each index with its contacts by tier, those flagged, and its positives after (and caught) and before it."""
+    flagged = F.col("risk") >= threshold
+    tiers = contacts.groupBy("index_id").agg(F.count("*").alias("n_contacts"), F.count_if(flagged).alias("n_flagged"), *[F.count_if(F.col("tier") == t).alias(f"tier{t}") for t in (1, 2, 3)])
+    sides = positives.groupBy("index_id").agg(F.count_if("is_post").alias("n_post"), F.count_if(~F.col("is_post")).alias("n_pre"))
+    caught = contacts.where(flagged).select("index_id", F.col("next_id").alias("event_id")).distinct().join(positives.where("is_post"), ["index_id", "event_id"], "left_semi").groupBy("index_id").agg(F.count("*").alias("n_caught"))
+    return tiers.join(sides, "index_id", "left").join(caught, "index_id", "left").fillna(0, ["n_post", "n_pre", "n_caught"])
+
+
+def contacts_by_stratum(contacts: DataFrame, strata: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(dimension, stratum, n_indices, n_contacts) of indices in each stratum; strata: index_id and a column for each dimension."""
+    long = strata.select("index_id", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("stratum")) for d in dimensions])))
+    counts = contacts.groupBy("index_id").agg(F.count("*").alias("k"))
+    return long.join(counts, "index_id").groupBy("dimension", "stratum").agg(F.count("*").alias("n_indices"), F.sum("k").alias("n_contacts"))
