@@ -106,3 +106,47 @@ def person(found: DataFrame, as_of: Column, id_col: str = "doc_id") -> DataFrame
 def provenance(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A provenance record for each document: a digest of the whole source text and its length."""
     return docs.select(id_col, F.to_json(F.struct(F.lit("Provenance").alias("resourceType"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sourceDigest"), F.length(F.coalesce(text, F.lit(""))).alias("sourceLength"))).alias("provenance"))
+
+
+def animal_report(cases: DataFrame) -> DataFrame:
+    """A report of an animal case as JSON, with where it goes: the federal service, the state veterinarian, and state health for what can pass to people.
+
+    cases: case_id, animal_id, species, disease, federal, state, zoonotic, onset.
+    """
+    to = F.array_compact(F.array(F.when(F.col("federal"), "aphis"), F.when(F.col("state"), "state_vet"), F.when(F.col("zoonotic"), "state_health")))
+    parts = {
+        "report_metadata": F.struct("case_id", F.lit("Confirmed reportable animal disease").alias("report_type")),
+        "disease": F.struct(F.col("disease").alias("name"), F.col("federal").alias("is_federal_reportable"), F.col("state").alias("is_state_reportable")),
+        "animal": F.struct("animal_id", "species"),
+        "clinical_information": F.struct(F.col("onset").alias("onset_date"), F.lit("confirmed").alias("case_status")),
+        "one_health_context": F.struct(F.col("zoonotic").alias("cross_species_sentinel")),
+        "destinations": to,
+    }
+    return cases.withColumn("report", payload(parts))
+
+
+def animal_acknowledgement(cases: DataFrame, year: int) -> DataFrame:
+    """The agency's receipt: its own case number from the year and the end of ours."""
+    number = F.concat(F.lit(f"USDA-{year}-AZ-"), F.expr("right(case_id, 8)"))
+    return cases.select("*", F.concat(F.lit("ACK-"), "case_id").alias("ack_id"), number.alias("agency_case_id"), F.lit("received_for_review").alias("status"))
+
+
+def reportable(cases: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cases (case_id, disease_id, is_animal) that must be reported for their kind of subject, with the class of their deadline.
+
+    rules: disease_id, human and animal (reportable for either), timeline, notifiable, monitored.
+    """
+    deadline = F.coalesce("timeline", F.when(F.col("notifiable"), "notifiable_24h").when(F.col("monitored"), "monitored_30d").otherwise("five_working_days"))
+    return cases.join(rules, "disease_id").where(F.when(F.col("is_animal"), F.col("animal")).otherwise(F.col("human"))).select(*cases.columns, deadline.alias("deadline"))
+
+
+def detected(who: DataFrame, conditions: DataFrame, with_orders: list[str]) -> DataFrame:
+    """(ref, disease_id): the first of a member's own conditions that has an order set; of its group's if it has no condition at all.
+
+    who: ref, group_id; conditions: ref, group_id, ordinal, disease_id.
+    """
+    first = F.min_by("disease_id", F.when(F.col("disease_id").isin(with_orders), F.col("ordinal")))
+    own = conditions.groupBy("ref").agg(first.alias("own"), F.lit(True).alias("has"))
+    group = conditions.groupBy("group_id").agg(first.alias("near"))
+    found = who.join(own, "ref", "left").join(group, "group_id", "left")
+    return found.select("ref", F.when(F.col("has"), F.col("own")).otherwise(F.col("near")).alias("disease_id")).where("disease_id IS NOT NULL")

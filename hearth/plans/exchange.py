@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions.numbers import digest_bucket
-from hearth.operators import federate, members as member_ops, messages, policy, series, spans, text
+from hearth.operators import federate, members as member_ops, messages, metrics, policy, series, spans, text
 from hearth.plans import dated, plain
 from hearth.plans.views import DAILY_SQL, MEMBERS_SQL, daily_events, members, read
 from hearth.session import scratch_dir
@@ -91,6 +91,15 @@ def federated_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(h["round"], h["sites"], h["rows"], h["norm"]) for h in history], "round int, sites int, n_rows long, norm double")
 
 
+def federated_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC on a quarter of the events, held out, of each site's own model and of the federated one."""
+    rows = _sites(spark, sf_dir).select("event_id", "site_id", (F.col("value") / 100).alias("x"), (F.col("event_id") % 5).alias("z"), (F.col("event_type").isin("click", "view") | (F.col("value") > 80)).cast("int").alias("y"))
+    parted = federate.held_out(rows, "event_id")
+    local = federate.local_fits(parted.where("NOT held_out"), ["x", "z"], "y")
+    scored = federate.site_scores(parted.where("held_out"), ["x", "z"], "y", local, federate.averaged(local))
+    return metrics.auc(scored, ["model", "site"])
+
+
 def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = members(spark, sf_dir)
     return policy.provider_for(m, F.col("group_id"), F.col("ref"), {"0": ["P0a", "P0b", "P0c"], "1": ["P1"], "2": ["P2a", "P2b"]}, "PX").select("ref", "provider_id")
@@ -198,7 +207,7 @@ _CASES_SQL = "k AS (SELECT o_orderkey AS case_id, 'C' || o_custkey AS ref, o_ord
 
 QUERIES = {
     f.__name__: plain(f)
-    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
+    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, federated_sites, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
 }
 ORACLES = {
     "keyword_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x : x = 'and')) AS BIGINT) AS n_and, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS BIGINT) AS n_numbers, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS BIGINT) AS n_mail FROM documents""",

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from hearth.plans import encounters, evaluation, exchange, features, notes, surveillance
+from hearth.plans import access, encounters, evaluation, exchange, features, notes, surveillance
 
-PLANS = (surveillance, features, encounters, evaluation, exchange, notes)
+PLANS = (surveillance, features, encounters, evaluation, exchange, notes, access)
 CASES = [(name, plan) for plan in PLANS for name in plan.ORACLES]
 
 
