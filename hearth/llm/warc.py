@@ -15,8 +15,9 @@ only where whole records are asked for (`records`).
 A group of equal payloads meets in sums combined before the shuffle and in plain
 equality joins, which adaptive execution can split.
 
-Cases: a null payload is an empty one; a null url gives an empty target; a null
-id is smaller than any other and keeps its null; of repeated rows one is the
+Cases: a null payload is an empty one; a null url gives an empty target, and line
+breaks in one are percent-encoded; a null id is smaller than any other and keeps
+its null; every record has an id of its own; of repeated rows one is the
 response and the others revisit it; an empty table gives an empty archive; other
 columns are ignored.
 """
@@ -58,16 +59,19 @@ def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
     small = F.col("n") < min_revisit_bytes
     response = small | (F.col("id").eqNullSafe(F.col("keeper")) & (F.col("turn") == 1))
 
-    def name(c: str) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
+    def name(ident: str, nth: Column) -> Column:
+        """Of one record alone: the page, its payload, and which of the rows that repeat both."""
+        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(ident).cast("string"), F.lit("none")), F.lit(":"), F.substring("digest", 1, 16), F.lit(":"), nth.cast("string"), F.lit(">"))
+
+    target = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
-        F.when(response, _line("WARC-Type", F.lit("response"))).otherwise(F.concat(_line("WARC-Type", F.lit("revisit")), _line("WARC-Refers-To", name("keeper")), _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))),
-        _line("WARC-Record-ID", name("id")),
+        F.when(response, _line("WARC-Type", F.lit("response"))).otherwise(F.concat(_line("WARC-Type", F.lit("revisit")), _line("WARC-Refers-To", name("keeper", F.lit(1))), _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))),
+        _line("WARC-Record-ID", name("id", F.col("turn"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.translate(F.coalesce("url", F.lit("")), "\r\n", "")),
+        _line("WARC-Target-URI", target),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), hex_digest_base32(F.col("sha1")))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", (F.octet_length(http) + F.when(response, F.col("n")).otherwise(0)).cast("string")),
@@ -99,9 +103,9 @@ def read_back(stored: Archive) -> DataFrame:
 
     parsed = stored.headers.select(
         "digest",
-        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Record-ID: <urn:page:([^>]*)>', 1) as bigint)").alias("page_id"),
+        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Record-ID: <urn:page:([^:>]*):', 1) as bigint)").alias("page_id"),
         field("\r\nWARC-Type: ([a-z]+)\r\n").alias("record_type"),
-        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Refers-To: <urn:page:([^>]*)>', 1) as bigint)").alias("refers_to"),
+        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Refers-To: <urn:page:([^:>]*):', 1) as bigint)").alias("refers_to"),
         field("\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n").alias("said_digest"),
         field("\r\n\r\nHTTP/1.1 200 OK\r\n(?:[^\r]*\r\n)*?Content-Length: ([0-9]+)\r\n").cast("long").alias("said_bytes"),
     )

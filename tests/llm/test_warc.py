@@ -23,6 +23,11 @@ def test_warc(spark, sf):
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
         assert head.startswith(b"WARC/1.1\r\n") and rest[size:] == b"\r\n\r\n"
+    heads = [bytes(r.header).decode() for r in stored.headers.collect()]
+    assert len({h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads}) == len(rows)
+    assert any("WARC-Target-URI: u%0D%0Ax\r\n" in h for h in heads)
+    named = {h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads if "WARC-Type: response" in h}
+    assert all(h.split("WARC-Refers-To: ")[1].split("\r\n")[0] in named for h in heads if "WARC-Type: revisit" in h)
     whole = warc.records(stored, full=True)
     assert whole.where(F.col("record").cast("string").endswith("\r\n\r\nsame\r\n\r\n")).count() == 3
     small = warc.read_back(warc.archive(pages, min_revisit_bytes=5))
