@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from hearth.functions.numbers import keyed_uniform
 from hearth.operators.metrics import auc
+from hearth.session import stored
 
 
-def pipeline(features: list[str], kind: str = "logistic", label: str = "y", weight: str | None = "weight") -> Pipeline:
-    """Median imputation, assembly, scaling, and a classifier: logistic, forest, boosted or tree."""
+def pipeline(features: list[str], kind: str = "logistic", label: str = "y", weight: str | None = "weight", **params) -> Pipeline:
+    """Median imputation, assembly, scaling, and a classifier: logistic, forest, boosted or tree; params replace the classifier's own."""
     filled = [f"{f}__filled" for f in features]
     w = {"weightCol": weight} if weight else {}
     made = {
@@ -25,7 +26,7 @@ def pipeline(features: list[str], kind: str = "logistic", label: str = "y", weig
         "boosted": lambda: GBTClassifier(labelCol=label, featuresCol="scaled", maxIter=300, maxDepth=3, stepSize=0.05, seed=42, **w),
         "tree": lambda: DecisionTreeClassifier(labelCol=label, featuresCol="scaled", maxDepth=4, minInstancesPerNode=10, **w),
     }
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="assembled"), StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True), made[kind]()])
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="assembled"), StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True), made[kind]().setParams(**params)])
 
 
 def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
@@ -54,7 +55,7 @@ def with_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: list[str], key: str, kind: str = "logistic", n: int = 5) -> DataFrame:
     """(key, y, fold, p): every row scored by the model that did not see it."""
-    rows = rows.cache()
+    rows = stored(rows, "folds")
     parts = []
     for k in range(n):
         model = pipeline(features, kind).fit(balanced(rows.where(F.col("fold") != k)))
@@ -62,8 +63,8 @@ def out_of_fold(rows: DataFrame, features: list[str], key: str, kind: str = "log
     return reduce(DataFrame.unionByName, parts)
 
 
-def fit(rows: DataFrame, features: list[str], kind: str = "logistic", weighted: bool = True) -> PipelineModel:
-    return pipeline(features, kind, weight="weight" if weighted else None).fit(balanced(rows) if weighted else rows)
+def fit(rows: DataFrame, features: list[str], kind: str = "logistic", weighted: bool = True, **params) -> PipelineModel:
+    return pipeline(features, kind, weight="weight" if weighted else None, **params).fit(balanced(rows) if weighted else rows)
 
 
 def rules(model: PipelineModel) -> str:

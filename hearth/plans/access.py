@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions import dates, numbers, strings
-from hearth.operators import federate, graph, linkage, members as member_ops, messages, policy, series
+from hearth.operators import federate, generate, graph, linkage, members as member_ops, messages, policy, series
 from hearth.plans import exchange, plain
 from hearth.plans.exchange import _ASSIGN_SQL, _CONSENT_SQL, _SITES_SQL
 from hearth.plans.views import DAILY_SQL, MEMBERS_SQL, daily_events, members, read
@@ -319,6 +319,24 @@ def provenance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.provenance(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# synthetic rows
+
+
+def generated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.group_members(generate.groups(spark, 200))
+
+
+def generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of 15 regions over 26 periods, the last four of one of them 5.2 times as high."""
+    return generate.series(spark, 15, 26, spike=(3, 4, 5.2)).withColumn("value", F.round("value", 3))
+
+
+def generated_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    choices = read(spark, sf_dir, "nation").select("n_name", (F.col("n_nationkey") % 3).alias("w"))
+    return generate.weighted_pick(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", choices, "n_name", "w")
+
+
+_U = "((CAST(CAST('0x' || substr(md5({key} || '|42'), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656)"
 _STATUS_CASES = "FROM orders WHERE o_orderstatus = 'F'"
 _CASE = "'CASE-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0')"
 
@@ -327,7 +345,7 @@ QUERIES = {
     for f in (
         envelope_rows, missing_document, site_documents, site_store, log_tail, audit_log, rows_and_summary, table_bundle, dimension_index, catalog_tables, salvaged_records, region_members, point_member, alerts_of_kind, flattened_members, members_by_kind, member_codings, extension_values, member_chart,
         first_groups, identity_matches, intake_duplicates, string_functions, date_functions, number_functions, one_series, last_sums, station_quality, latest_values, site_fetch, routed_rows, role_access, role_rows, pointer_tiers, alerts_for_role, provider_panels, staff_list, masked_members,
-        destination_messages, animal_reports, animal_acks, report_deadlines, order_sets, triage_steps, provenance_records,
+        destination_messages, animal_reports, animal_acks, report_deadlines, order_sets, triage_steps, provenance_records, generated_members, generated_series, generated_picks,
     )
 }
 ORACLES = {
@@ -394,5 +412,11 @@ own AS (SELECT ref, count(*) AS k, min_by(d, o_orderkey) FILTER (d IN ('1', '4')
 SELECT ref, disease_id FROM (SELECT m.ref, CASE WHEN own.k > 0 THEN own.d ELSE grp.d END AS disease_id FROM members m LEFT JOIN own USING (ref) LEFT JOIN grp USING (group_id) WHERE kind = 'customer') WHERE disease_id IS NOT NULL""",
     "triage_steps": """WITH p AS (SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS place FROM events), l AS (SELECT *, lag(place, 1, 1) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM p)
 SELECT event_type, place = before + 1 AS is_legal, count(*) AS n FROM l GROUP BY 1, 2""",
+    "generated_members": f"""WITH g AS (SELECT range AS group_id, CAST(1 + floor({_U.format(key="range || '|a'")} * 4) AS INTEGER) AS p, CAST(floor({_U.format(key="range || '|b'")} * 4) AS INTEGER) AS a FROM range(200))
+SELECT group_id, 'person/' || group_id || '/' || i AS ref, 'person' AS kind FROM g, range(1, 5) r(i) WHERE i <= p UNION ALL SELECT group_id, 'animal/' || group_id || '/' || i, 'animal' FROM g, range(1, 5) r(i) WHERE i <= a""",
+    "generated_series": f"""WITH g AS (SELECT r.range AS region, CAST(p.range AS INTEGER) AS period, round(10.0::DOUBLE * (0.8 + 0.4 * {_U.format(key="r.range || '|' || p.range")}), 3) AS v FROM range(15) r, range(1, 27) p)
+SELECT region, period, round(CASE WHEN region = 3 AND period > 22 THEN v * 5.2 ELSE v END, 3) AS value FROM g""",
+    "generated_picks": f"""WITH n AS (SELECT n_name, sum(n_nationkey % 3) OVER (ORDER BY n_name ROWS UNBOUNDED PRECEDING) AS upto, n_nationkey % 3 AS w FROM nation), t AS (SELECT sum(w) AS total FROM n),
+u AS (SELECT c_custkey, {_U.format(key='c_custkey')} * total AS u FROM customer, t) SELECT c_custkey, min_by(n_name, n_name) FILTER (upto > u) AS n_name FROM u, n GROUP BY 1""",
     "provenance_records": """SELECT doc_id, '{"resourceType":"Provenance","sourceDigest":"' || sha256(coalesce(text, '')) || '","sourceLength":' || length(coalesce(text, '')) || '}' AS provenance FROM documents""",
 }

@@ -97,13 +97,25 @@ MODEL_FEATURES = ["n_chars", "n_lines", "upper_share", "symbol_share"]
 
 def risk_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold AUC, Brier and F1 of the logistic model."""
-    rows = models.folds(_model_rows(spark, sf_dir), "doc_id")
+    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
     scored = models.out_of_fold(rows, MODEL_FEATURES, "doc_id").select(F.col("y").cast("int").alias("y"), "p")
     return metrics.point_metrics(scored, []).crossJoin(metrics.auc(scored, []).select("auc"))
 
 
+def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of each kind of model on the rows of one fold after fitting the others; fewer trees than a real run takes."""
+    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
+    smaller = {"forest": {"numTrees": 40}, "boosted": {"maxIter": 15}}
+    found = []
+    for kind in ("logistic", "forest", "boosted", "tree"):
+        model = models.fit(rows.where("fold <> 0"), MODEL_FEATURES, kind, **smaller.get(kind, {}))
+        scored = models.with_probability(model, rows.where("fold = 0")).select(F.col("y").cast("int").alias("y"), "p")
+        found.append(metrics.auc(scored, []).select(F.lit(kind).alias("kind"), F.round("auc", 4).alias("auc")))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.folds(_model_rows(spark, sf_dir), "doc_id")
+    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
     model = models.fit(rows, MODEL_FEATURES)
     return models.permutation_importance(model, rows.withColumn("y", F.col("y").cast("int")), MODEL_FEATURES, "doc_id", 1)
 
@@ -141,7 +153,7 @@ def _ratio(a: str, b: str) -> str:
     return f"round(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END, 6)"
 
 
-QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, risk_model_metrics, permutation_importance)}
+QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, risk_model_metrics, model_kinds, permutation_importance)}
 ORACLES = {
     "auc_by_stratum": f"WITH {SCORES_SQL} SELECT lang, n_pos, n_neg, round(auc, 6) AS auc FROM ({_auc('lang', 's')})",
     "average_precision": f"WITH {_POINTS_SQL} SELECT lang, round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(sum(pos), 0), 6) AS average_precision FROM pts GROUP BY 1",

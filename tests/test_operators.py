@@ -198,3 +198,69 @@ def test_series(spark):
     assert series.region_series(rows, "k", "b", "t").count() == 0 and series.region_series(rows, "k", "a", "t").count() == 30
     assert {r.k: r.trend for r in series.trend(rows, "k", "t", "v").collect()}["a"] == "rising"
     assert series.air_quality(spark.createDataFrame([(40,), (None,), (400,)], "aqi int"), "aqi").first().category == "Hazardous"
+
+
+def test_local_fits_and_averaging_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.logistic(size=400) > 0.8).astype(int)
+    site = np.where(np.arange(400) % 3 == 0, "A", "B")
+    rows = [(s, float(a), float(b), int(c)) for s, (a, b), c in zip(site, x, y)] + [("C", 1.0, 1.0, 1), ("C", 2.0, 0.0, 1)]
+    df = spark.createDataFrame(rows, "site_id string, a double, b double, y int").repartition(3)
+    local = federate.local_fits(df, ["a", "b"], "y")
+    assert set(local) == {"A", "B"}  # a site of one class has no model
+    for s, (n, w) in local.items():
+        m = site == s
+        z, t = np.column_stack([np.ones(m.sum()), x[m]]), y[m]
+        share = np.where(t == 1, m.sum() / (2 * t.sum()), m.sum() / (2 * (1 - t).sum()))
+        p = 1 / (1 + np.exp(-z @ w))
+        gradient = z.T @ (share * (p - t)) + np.array([0, w[1], w[2]])
+        assert n == m.sum() and np.abs(gradient).max() < 1e-6  # at the minimum of the balanced, ridged loss
+    shared = federate.averaged(local)
+    mean = sum(n * w for n, w in local.values()) / 400
+    assert np.allclose(shared, mean * (1 - 0.5**10))
+    scored = federate.site_scores(df.where("site_id <> 'C'"), ["a", "b"], "y", local, shared)
+    assert scored.groupBy("model").count().count() == 2 and scored.count() == 800
+
+
+def test_notes_against_brute_force(spark):
+    import re
+
+    from hearth.operators import notes
+
+    texts = ["BP 120/80. Fifty-six-year-old man, no dog. Possible TICK bite? HR: 88, T 98.6F for two weeks", "fifty-six year old, 56 year old 7 y/o F", "", None, "Seen w/o mouse or rat since 3 days x ten years. R/o canal water. RR=16 SpO2 97%", "No hiking. Outdoor camp é BP 90 / 60 x", "negative for tick. free of soil dust exposure gardening"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.kind, r.name, r.char_start, r.said, r.value, r.value2, r.negated, r.uncertain) for r in notes.measures(df).collect())
+    want = []
+    for i, t in enumerate(texts):
+        t = " ".join((t or "").split())
+        starts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+(?=[A-Z])", t))]
+
+        def cue(at, cues, n):
+            window = re.findall(r"\b[\w/]+\b", t[max(s for s in starts if s <= at) : at].lower())[-n:]
+            return any(c in " ".join(window) if " " in c else c in window for c in cues)
+
+        for name, pattern, _ in notes.VITALS:
+            want += [(i, "Vital", name, m.start(), m[0], float(m[1]), float(m[2]) if name == "blood_pressure" else None, False, False) for m in re.finditer(pattern, t, re.I)]
+        ages = [(m.start(), m.end(), m[0], notes.NUMBER_WORDS[m[1].lower()] + notes.NUMBER_WORDS.get((m[2] or "").lower(), 0)) for m in re.finditer(notes.WORDED_AGE, t, re.I)]
+        for pattern in notes.AGES:
+            ages += [(m.start(), m.end(), m[0], int(m[1])) for m in re.finditer(pattern, t, re.I) if not any(a <= m.start() < b for a, b, *_ in ages)]
+        want += [(i, "Demographic", "age", a, said, float(v), None, False, False) for a, _, said, v in ages]
+        want += [(i, "Demographic", sex, m.start(), m[0], None, None, False, False) for sex, pattern in notes.SEXES if (m := re.search(pattern, t))]
+        for m in re.finditer(notes.DURATION, t, re.I):
+            n = int(m[1]) if m[1].isdigit() else notes.NUMBER_WORDS[m[1].lower()]
+            want.append((i, "Duration", "duration", m.start(), m[0], float(n), float(n * notes.DAYS[m[2].lower()]), False, False))
+        for name, pattern in notes.EXPOSURES:
+            want += [(i, "Exposure", name, m.start(), m[0], None, None, cue(m.start(), notes.NEGATIONS, 5), cue(m.start(), notes.HEDGES, 6)) for m in re.finditer(pattern, t, re.I)]
+    assert got == sorted(want) and any(w[7] for w in want) and any(w[8] for w in want)
+
+
+def test_every_cue_is_found():
+    from hearth.operators import notes
+
+    for cue in (*notes.NEGATIONS, *notes.HEDGES):
+        how = text.Extraction(lexicons={"k": {"rash": "R"}}, negations=notes.NEGATIONS, hedges=notes.HEDGES)
+        found = text.extract_text(f"Patient seen, {cue} rash", how)[0]
+        assert (found["negated"], found["uncertain"]) == (cue in notes.NEGATIONS, cue in notes.HEDGES)
