@@ -21,6 +21,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def apart(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of its own with the same SQL settings but for these, so that the caller's stay as they are."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in settings.items():
+        own.conf.set(key, value)
+    return own
+
+
+def reopened(table: DataFrame, spark: SparkSession) -> DataFrame:
+    """A written table as a frame of another session."""
+    out = spark.read.schema(table.schema).parquet(table.scratch_path)
+    out.scratch_path = table.scratch_path
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that no later result reads."""
     for t in tables:
