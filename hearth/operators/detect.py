@@ -67,11 +67,7 @@ def prophylactic(conditions: DataFrame, members: DataFrame, codes: list[str], ki
 
 def region_rules(conditions: DataFrame, members: DataFrame, groups: DataFrame, regions: DataFrame, rules: DataFrame) -> DataFrame:
     """Conditions whose code has a rule that allows their region's level: four hops, all equality joins."""
-    return conditions.join(members.select("ref", "group_id"), "ref").join(groups.select("group_id", "region_id"), "group_id").join(regions.select("region_id", "level"), "region_id").join(F.broadcast(rules) if _small(rules) else rules, ["code", "level"])
-
-
-def _small(rules: DataFrame, limit: int = 10_000) -> bool:
-    return rules.limit(limit + 1).count() <= limit
+    return conditions.join(members.select("ref", "group_id"), "ref").join(groups.select("group_id", "region_id"), "group_id").join(regions.select("region_id", "level"), "region_id").join(rules, ["code", "level"])
 
 
 def as_alerts(rows: DataFrame, kind: str, ordinal: int, severity: Column, confidence: Column, summary: Column, count: Column, group: str = "group_id", code: Column | None = None) -> DataFrame:

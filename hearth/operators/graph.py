@@ -78,12 +78,21 @@ def secondaries(conditions: DataFrame, members: DataFrame, clusters: DataFrame)
     return cases.withColumn("ordinal", F.row_number().over(turn) - 1).where("ordinal > 0").drop("index_kind")
 
 
-def at_risk(conditions: DataFrame, members: DataFrame) -> DataFrame:
-    """(group_id, code, ref): members of a group in which somebody has the code, who have not."""
+def at_risk(conditions: DataFrame, members: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(group_id, code, ref): members of a group in which somebody has the code, who have not; for the asked (group_id, code) alone if given."""
     seen = conditions.join(members, "ref").select("group_id", "code", "ref").distinct()
+    if asked is not None:
+        seen = seen.join(asked.select("group_id", "code").distinct(), ["group_id", "code"], "left_semi")
     return seen.select("group_id", "code").distinct().join(members.select("group_id", "ref"), "group_id").join(seen, ["group_id", "code", "ref"], "left_anti")
 
 
+def at_risk_counts(conditions: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_id, code, n_diagnosed, n_at_risk) of every group and code, from sums; members are not listed."""
+    seen = conditions.join(members, "ref").groupBy("group_id", "code").agg(F.count_distinct("ref").alias("n_diagnosed"))
+    sizes = members.groupBy("group_id").agg(F.count_distinct("ref").alias("n"))
+    return seen.join(sizes, "group_id").select("group_id", "code", "n_diagnosed", (F.col("n") - F.col("n_diagnosed")).alias("n_at_risk"))
+
+
 def identity_search(people: DataFrame, name: str, birth: str, address: str, n: int = 5) -> DataFrame:
     """People by weighted matches of name, birth date (year-month for less) and address; capped at .99, the best n."""
     q_name, q_address = name.lower(), address.lower()

@@ -28,6 +28,16 @@ def at_risk_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.at_risk(cases(spark, sf_dir, False), members(spark, sf_dir))
 
 
+def at_risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.at_risk_counts(cases(spark, sf_dir), members(spark, sf_dir))
+
+
+def at_risk_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members at risk of one code in each of two groups."""
+    asked = spark.createDataFrame([("3", "Brand#11"), ("7", "Brand#22")], "group_id string, code string")
+    return graph.at_risk(cases(spark, sf_dir, False), members(spark, sf_dir), asked)
+
+
 def prophylactic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.prophylactic(cases(spark, sf_dir), members(spark, sf_dir), CODES, KINDS)
 
@@ -140,7 +150,7 @@ _GRAPH_SQL = f"""{MEMBERS_SQL},
 vs AS (SELECT 'R' || r_regionkey AS id, 'Region' AS type, r_name AS label FROM region UNION ALL SELECT 'N' || n_nationkey, 'Group', n_name FROM nation UNION ALL SELECT ref, 'Member', kind FROM members),
 es AS (SELECT 'N' || n_nationkey AS source, 'R' || n_regionkey AS target, 'LOCATED_IN' AS kind FROM nation UNION ALL SELECT ref, 'N' || group_id, 'LIVES_IN' FROM members UNION ALL SELECT 'C' || o_custkey, 'P' || substr(o_orderpriority, 1, 1), 'HAS_PRIORITY' FROM orders)"""
 
-QUERIES = {f.__name__: plain(f) for f in (cross_kind_clusters, cluster_secondaries, at_risk_members, prophylactic_groups, graph_stats, graph_export, graph_hops, region_rule_join, vector_anomaly, sentinel_cases, alerts_ranked, worst_per_group, noised_counts, member_kinds)}
+QUERIES = {f.__name__: plain(f) for f in (cross_kind_clusters, cluster_secondaries, at_risk_members, at_risk_counts, at_risk_asked, prophylactic_groups, graph_stats, graph_export, graph_hops, region_rule_join, vector_anomaly, sentinel_cases, alerts_ranked, worst_per_group, noised_counts, member_kinds)}
 ORACLES = {
     "cross_kind_clusters": f"WITH {_CLUSTERS_SQL} SELECT * FROM clusters",
     "cluster_secondaries": f"""WITH {_CLUSTERS_SQL},
@@ -150,6 +160,10 @@ SELECT group_id, code, count(*) AS n_secondary, min(onset) AS first_onset, max(o
 seen AS (SELECT DISTINCT group_id, code, ref FROM cases JOIN members USING (ref))
 SELECT s.group_id, s.code, m.ref FROM (SELECT DISTINCT group_id, code FROM seen) s JOIN members m USING (group_id)
 WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.group_id = s.group_id AND x.code = s.code AND x.ref = m.ref)""",
+    "at_risk_counts": f"""WITH {MEMBERS_SQL}, {cases_sql()}, s AS (SELECT group_id, count(DISTINCT ref) AS n FROM members GROUP BY 1), d AS (SELECT group_id, code, count(DISTINCT ref) AS n_diagnosed FROM cases JOIN members USING (ref) GROUP BY 1, 2)
+SELECT group_id, code, n_diagnosed, n - n_diagnosed AS n_at_risk FROM d JOIN s USING (group_id)""",
+    "at_risk_asked": f"""WITH {MEMBERS_SQL}, {cases_sql(False)}, a(group_id, code) AS (VALUES ('3', 'Brand#11'), ('7', 'Brand#22')), seen AS (SELECT DISTINCT group_id, code, ref FROM cases JOIN members USING (ref) JOIN a USING (group_id, code))
+SELECT s.group_id, s.code, m.ref FROM (SELECT DISTINCT group_id, code FROM seen) s JOIN members m USING (group_id) WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.group_id = s.group_id AND x.code = s.code AND x.ref = m.ref)""",
     "prophylactic_groups": f"WITH {_CLUSTERS_SQL}, {_RISK_SQL} SELECT * FROM risk",
     "graph_stats": f"""WITH {_GRAPH_SQL},
 ends AS (SELECT source AS id FROM es UNION SELECT target FROM es)
