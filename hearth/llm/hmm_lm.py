@@ -2,7 +2,9 @@
 
 Model.  A word's probability given the hidden state is B[state, class(word)] *
 P(word | class).  A word's class is the top bits of its hash, so the trained
-tables have a fixed size (states x classes) however large the vocabulary grows.
+tables have a fixed size (states x classes) however large the vocabulary grows;
+a class is thus a random group of words, in which frequent words weigh most (in
+the README, what the states gain nevertheless).
 P(word | class) comes from counts over all training texts with absolute
 discounting; what is taken off is the class's share for words not seen in
 training, which count as one type of the class.  The end of a text is a token
@@ -368,7 +370,10 @@ def scored(corpus: DataFrame, vocab: DataFrame, model: Model, id_col: str, s: Se
                 )
         return pa.concat_tables(out) if out else pa.table({id_col: pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    return corpus.drop("counts").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(run, f"`{id_col}` long, held_out boolean, {SCORES}")
+    # a task holds few batches, however many there are
+    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * corpus.count())
+    left, right = corpus.drop("counts").repartition(tasks, "batch"), known.repartition(tasks, "of")
+    return left.groupBy("batch").cogroup(right.groupBy("of")).applyInArrow(run, f"`{id_col}` long, held_out boolean, {SCORES}")
 
 
 def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:

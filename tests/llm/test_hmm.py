@@ -66,3 +66,14 @@ def test_hmm_word_shares_sum_to_one():
     model = hmm_lm.Model(np.ones(1), np.ones((1, 1)), np.ones((1, 3)), 16, 3, tokens, distinct, 0.4, ())
     share = 10 ** hmm_lm.word_logs(model, np.array([0, 0, 0]), np.array([7, 3, 0]))
     assert share.sum() == pytest.approx(1.0)
+
+
+def test_states_beat_one_state_on_held_out_texts(spark, documents):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+
+    def per_token(states):
+        rows = hmm_lm.hmm_scores(documents, held_out, s=hmm_lm.Settings(states=states)).where("held_out")
+        return rows.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+
+    four, one = per_token(4), per_token(1)
+    assert four[0] > one[0] > four[1]
