@@ -7,8 +7,9 @@ and so are very short texts and texts full of symbols.
 
 Cases: a null or empty text has no words, zero counts and is rejected (too few
 words); repeated rows are judged one by one; a very long text is one row of one
-batch and costs memory in proportion to its own length; other columns of the
-input pass through untouched.
+batch and costs memory in proportion to its own length; an empty table gives an
+empty result; other columns of the input, whatever their names, pass through
+`filtered` untouched.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ are ignored, and may have any name.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -152,3 +153,163 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **h
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
     named = named.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
     return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+# near copies by similarity: wide fingerprints find candidates, texts decide
+
+
+def wide_fingerprints_of(texts: list[str], width: int) -> np.ndarray:
+    """128 bits of each text from its shingles of `width` words, as two signed 64-bit numbers a row."""
+    from xxhash import xxh3_128_digest as digest
+
+    out = np.zeros((len(texts), 16), np.uint8)
+    for k, text in enumerate(texts):
+        words = text.encode().lower().split()
+        n = len(words) - width + 1
+        if not words:
+            continue
+        flat = b" ".join(words)
+        if n <= 1:
+            out[k] = np.frombuffer(digest(flat), np.uint8)
+            continue
+        ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
+        starts = [0, *(e + 1 for e in ends)]
+        hashes = np.frombuffer(b"".join([digest(flat[s:e]) for s, e in zip(starts, ends[width - 1 :])]), np.uint8).reshape(n, 16)
+        ones = np.zeros(128, np.int64)
+        for at in range(0, n, 65_536):
+            ones += np.unpackbits(hashes[at : at + 65_536], axis=1).sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > n)
+    return out.view(np.int64)
+
+
+def _shingle_sets(column, width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text; all of a text with fewer words."""
+    data, offsets = K.text_buffers(column)
+    data = K.LOWER[data]
+    starts, ends, rows = K.word_spans(data, offsets)
+    words = K.spans_hash(data, starts, ends)
+    cuts = np.searchsorted(rows, np.arange(len(offsets)))
+    sets = []
+    for i, j in zip(cuts, cuts[1:]):
+        own = words[i:j]
+        sets.append(np.unique(K.ngram_hash(own, np.zeros(len(own), np.int64), min(width, max(len(own), 1)))[0]))
+    return sets
+
+
+def alike(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, text_a, text_b) whose shingle sets have this Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                left, right = (_shingle_sets(part.column(c), width) for c in (2, 3))
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+                keep = [n >= similarity * (len(x) + len(y) - n) for n, x, y in zip(both, left, right)]
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(K.tidy(run), "a long, b long")
+
+
+def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_bucket: int = 64) -> DataFrame:
+    """(id, c) of nodes (id, f0, f1) that lie in a component of fingerprints `distance` or fewer bits apart that share a segment but for one bit."""
+
+    def apart(a: str, b: str):
+        return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1")))
+
+    keys = []
+    for half in (0, 1):
+        for place, lo in enumerate(range(0, 64 - segment_bits + 1, segment_bits)):
+            for p in range(segment_bits):
+                mask = ((1 << segment_bits) - 1) & ~(1 << p)
+                tag = ((half * 64 + place) * 64 + p) << 32
+                keys.append(F.shiftrightunsigned(f"f{half}", lo).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag)))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts, F.xxhash64("id"))
+    variants = nodes.select("id", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
+    end = F.struct("id", "f0", "f1")
+    groups = variants.groupBy("key").agg(F.min(end).alias("x"), F.max(end).alias("y"), F.count("*").alias("n")).where("x.id < y.id")
+    groups = written(groups.select(F.col("key").alias("k"), F.col("x.id").alias("x"), F.col("x.f0").alias("x0"), F.col("x.f1").alias("x1"), F.col("y.id").alias("y"), F.col("y.f0").alias("y0"), F.col("y.f1").alias("y1"), "n"), "buckets")
+    to_x, to_y = (apart("f", e) <= distance for e in ("x", "y"))
+    ends = variants.join(groups, (F.col("key") == F.col("k")) & (to_x & (F.col("id") != F.col("x")) | to_y & (F.col("id") != F.col("y"))))
+    stars = ends.select(F.col("id").alias("a"), F.explode(F.array(F.when(to_x, F.col("x")), F.when(to_y, F.col("y")))).alias("b")).where("a != b").distinct()
+    first = written(components(stars), "components")
+
+    labelled = nodes.join(first.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")).select("c", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
+    shared = written(labelled.join(groups.select(F.col("k").alias("key"), "n"), "key"), "members")
+    major = shared.where(F.col("n") > hot_bucket).groupBy("key", "c").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("major"))
+    small = shared.where(F.col("n") <= hot_bucket)
+    minor = shared.where(F.col("n") > hot_bucket).join(major, (F.col("key") == F.col("k")) & (F.col("c") != F.col("major")))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"k{name}"), F.col("c").alias(f"c{name}"), F.col("f0").alias(f"{name}0"), F.col("f1").alias(f"{name}1"))
+
+    close = apart("p", "q") <= distance
+    rest = side(small, "p").join(side(small, "q"), (F.col("kp") == F.col("kq")) & (F.col("cp") < F.col("cq")) & close).select(F.col("cp").alias("a"), F.col("cq").alias("b"))
+    more = side(minor, "p").join(side(shared.where(F.col("n") > hot_bucket), "q"), (F.col("kp") == F.col("kq")) & (F.col("cp") != F.col("cq")) & close).select(F.least("cp", "cq").alias("a"), F.greatest("cp", "cq").alias("b"))
+    # one more run of components over both kinds of links gives the labels without joining on one that many bear
+    found = written(components(first.selectExpr("id a", "component b").union(rest.union(more).distinct())), "candidates")
+    dropped(groups, first, shared)
+    return found.select("id", F.col("component").alias("c"))
+
+
+def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16) -> DataFrame:
+    """The rows of `docs` without near copies: of each group of texts that are alike, those of the least id; rows without an id stay.
+
+    Texts are alike if their `width`-word shingles have a Jaccard similarity of
+    `similarity`.  Equal texts are one node.  Candidates are texts whose 128-bit
+    fingerprints (of `feature_words`-word shingles, which an edit changes less)
+    share a segment but for one bit and lie within `distance` bits; this finds
+    most pairs, not all (README).  In each component of candidates every text is
+    compared with the least id, then what is left with the two least, the four
+    least and so on, until nothing is left: few comparisons where texts are
+    alike, and never all pairs of a group of copies.  Links that the texts
+    confirm make the groups.
+    """
+    stays, turn = (unused(name, docs) for name in ("stays", "turn"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    named = docs.where(F.col(id_col).isNotNull())
+    keyed = named.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2"), plain.alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bits = wide_fingerprints_of(part.column(3).to_pylist(), feature_words)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "h1", "h2", "f0", "f1"])
+
+    every = written(keyed.mapInArrow(K.tidy(run), "id long, h1 long, h2 long, f0 long, f1 long"), "fingerprints")
+    # equal texts are one node, and so are texts of one id
+    prints = written(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "f0", "f1")).alias("p")).select("p.*", "h1", "h2"), "texts")
+    nodes = prints.groupBy("f0", "f1").agg(F.min("id").alias("id"))
+    labels = near_candidates(nodes, distance, segment_bits)
+    # texts of one fingerprint are candidates too
+    grouped = prints.join(nodes.withColumnRenamed("id", "node"), ["f0", "f1"]).join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", "h1", "h2", F.coalesce("c", "node").alias("c"))
+    grouped = written(grouped, "grouped")
+    sizes = written(grouped.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "sizes")
+    open_ = written(grouped.join(sizes, "c"), "open")
+    texts = written(keyed.join(open_.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.min("text").alias("text")), "open_texts")
+    open_ = open_.select("id", "c").distinct()
+    least = prints.select("id").distinct()
+    links, leaders = [], 1
+    while not open_.isEmpty():
+        place = F.row_number().over(Window.partitionBy("c").orderBy("id"))
+        heads = written(open_.withColumn("place", place).where(F.col("place") <= leaders).select("c", F.col("id").alias("b")), "heads")
+        pairs = open_.withColumnRenamed("id", "a").join(heads, "c").where("a > b").select("a", "b")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        links.append(written(alike(both, width, similarity), "links"))
+        left = open_.join(links[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti").join(heads.select(F.col("b").alias("id")), "id", "left_anti")
+        left = written(left, "left")
+        sizes = written(left.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "sizes")
+        open_ = written(left.join(sizes, "c"), "open")
+        dropped(heads)
+        leaders *= 2
+    stay = least
+    if links:
+        gone = components(reduce(DataFrame.union, links)).where("id <> component").select("id")
+        stay = written(least.join(gone, "id", "left_anti"), "stay")
+        dropped(texts, *links)
+    kept = named.join(stay.withColumnRenamed("id", stays), F.col(id_col).cast("long") == F.col(stays), "left_semi")
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
+    kept = kept.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -74,3 +74,27 @@ def repeats(texts, n=51):
         for i in range(len(w) - n + 1):
             held[b" ".join(w[i : i + n])].add(k)
     return [v for v in held.values() if len(v) > 1]
+
+
+def brute_alike(texts, width=5, similarity=0.8):
+    """The least key of each text's group, linked by the Jaccard similarity of word shingles, over all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = words(t)
+        n = min(width, max(len(w), 1))
+        sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    label = {k: k for k in texts}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {k: root(k) for k in texts}

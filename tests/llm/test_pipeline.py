@@ -1,18 +1,16 @@
 import collections
 import hashlib
+import os
 
+import duckdb
 import pytest
-from brute import brute_groups, brute_simhash, brute_tiles
+from brute import brute_alike, brute_tiles
 
 from hearth.llm import quality, queries
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, sf, name):
-    import os
-
-    import duckdb
-
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
@@ -26,14 +24,16 @@ def test_pipeline_against_brute_force(spark, sf, documents, piece_library):
     import corpus_pipeline
 
     docs = [r.asDict() for r in documents.collect()]
-    kept = {r.doc_id for r in quality.quality(documents, ["doc_id"]).where("kept").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    kept = {i for (i,) in con.execute(f"SELECT doc_id FROM ({quality.oracle()}) WHERE kept").fetchall()}
     docs = [d for d in docs if d["doc_id"] in kept]
     pages, holders = collections.Counter(d["source"] for d in docs), collections.Counter()
     for d in docs:
         holders.update({(d["source"], x) for x in d["text"].split("\n") if x.strip()})
     for d in docs:
         d["text"] = "\n".join(x for x in d["text"].split("\n") if not (holders[d["source"], x] >= 3 and holders[d["source"], x] > 0.1 * pages[d["source"]]))
-    groups = brute_groups({d["doc_id"]: brute_simhash(d["text"]) for d in docs})
+    groups = brute_alike({d["doc_id"]: d["text"] for d in docs})
     docs = [d for d in docs if groups[d["doc_id"]] == d["doc_id"]]
 
     def toks(t):

@@ -1,6 +1,6 @@
 import random
 
-from brute import brute_groups, brute_simhash
+from brute import brute_alike, brute_groups, brute_simhash
 
 from hearth.llm import queries, simhash
 
@@ -44,3 +44,33 @@ def test_simhash_any_column_name_is_free(spark, empty):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [(2, 2, 2), (3, 3, 3)]
     assert simhash.simhash_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_one_of_alike_against_all_pairs(spark, documents, texts):
+    kept = {r.doc_id for r in simhash.one_of_alike(documents).collect()}
+    groups = brute_alike(texts)
+    assert kept == set(groups.values()) and len(kept) < len(texts)
+
+
+def test_one_of_alike_on_clouds_chains_and_odd_rows(spark, odd, empty):
+    rng = random.Random(12)
+    def prose(n):
+        return ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    docs = []
+    for g in range(12):
+        base = prose(rng.choice((40, 90, 300)))
+        for c in range(30):  # copies with a few edits each: alike to the first, not always to one another
+            copy = list(base)
+            for k in rng.sample(range(len(base)), rng.randint(0, max(1, len(base) // 60))):
+                copy[k] = prose(1)[0]
+            docs.append((1000 * g + c, " ".join(copy)))
+    docs += [(50_000 + k, " ".join(prose(60))) for k in range(200)]
+    docs += [(60_000, " ".join(["w"] * 50)), (60_001, " ".join(["w"] * 49)), docs[0]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = [r.doc_id for r in simhash.one_of_alike(df).collect()]
+    want = set(brute_alike(dict(docs)).values())
+    assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 0.05 * (len(docs) - len(want))
+    assert simhash.one_of_alike(empty).count() == 0 and simhash.one_of_alike(empty).columns == empty.columns
+    got = simhash.one_of_alike(odd)
+    ids = [r.doc_id for r in got.where("doc_id IS NOT NULL").collect()]
+    assert len(ids) == len(set(ids)) and got.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
