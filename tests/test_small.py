@@ -96,7 +96,7 @@ def test_sessions_and_append(spark, tmp_path):
     rows = spark.createDataFrame([("k", t), ("k", t + dt.timedelta(minutes=5)), ("k", t + dt.timedelta(hours=3))], "k string, ts timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = live.read_files(spark, str(tmp_path / "in"), rows.schema, "*.parquet")
-    out = live.run_once(live.sessions(stream, "ts", ["k"], "10 minutes"), "sessions_test", "complete", str(tmp_path / "c1"))
+    out = live.run_once(live.sessions(stream, "ts", ["k"], "10 minutes"), str(tmp_path / "sessions"), "complete", str(tmp_path / "c1"))
     assert sorted(r.n for r in out.collect()) == [1, 2]
     live.append_batches(stream, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
     assert writers.latest(spark.read.parquet(str(tmp_path / "log")), "ts", "k", 2).count() == 2
@@ -105,7 +105,7 @@ def test_sessions_and_append(spark, tmp_path):
 def test_co_members_of_all_without_pairs(spark, sf):
     from hearth.plans import exchange
 
-    rows = exchange.QUERIES["co_members_all"](spark, sf)
+    rows = exchange.QUERIES["co_members"](spark, sf)
     assert rows.count() == spark.read.parquet(f"{sf}/customer.parquet").count() + spark.read.parquet(f"{sf}/supplier.parquet").count()
     n = 50_000  # as pairs, 2.5e9 rows
     big = spark.range(n).select(F.concat(F.lit("C"), "id").alias("ref"), F.lit("customer").alias("kind"), F.lit("g").alias("group_id"))
@@ -118,7 +118,7 @@ def test_co_members_of_all_without_pairs(spark, sf):
 def test_others_recent_of_all_events(spark, sf):
     from hearth.plans import features
 
-    rows = features.QUERIES["other_member_recent_all"](spark, sf)
+    rows = features.QUERIES["other_member_recent"](spark, sf)
     assert rows.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     day = dt.date(2020, 4, 1)
     cases = [("g", "a", "x", 0), ("g", "a", "y", 90), ("g", "b", "x", 0), ("g", "b", "z", 91), ("g", "b", None, 5), ("h", "c", "x", 0)]
