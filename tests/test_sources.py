@@ -36,6 +36,6 @@ def test_keyed_state_stream(spark, tmp_path):
     for i, batch in enumerate([[("k", 1, "fired")], [("k", 3, "ordered"), ("j", 1, "fired")], [("k", 2, "acknowledged")]]):
         spark.createDataFrame(batch, "key string, seq long, state string").coalesce(1).write.mode("append").parquet(str(folder))
     stream = live.read_files(spark, str(folder), "key string, seq long, state string", "*.parquet")
-    out = live.run_once(live.last_states(stream, "key", "seq", "state"), "states", "update", str(tmp_path / "cp"))
+    out = live.run_once(live.last_states(stream, "key", "seq", "state"), str(tmp_path / "states"), "update", str(tmp_path / "cp"))
     rows = {(r.key, r.n_steps): r.state for r in out.collect()}
     assert rows[("k", 3)] == "ordered" and rows[("j", 1)] == "fired"
