@@ -218,18 +218,16 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
         return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1")))
 
     keys = []
-    for half in (0, 1):
-        for place, lo in enumerate(range(0, 64 - segment_bits + 1, segment_bits)):
-            for p in range(segment_bits):
-                mask = ((1 << segment_bits) - 1) & ~(1 << p)
-                tag = ((half * 64 + place) * 64 + p) << 32
-                keys.append(F.shiftrightunsigned(f"f{half}", lo).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag)))
+    for place, lo in enumerate(range(0, 64 - segment_bits + 1, segment_bits)):
+        for p in range(segment_bits):
+            mask = ((1 << segment_bits) - 1) & ~(1 << p)
+            keys.append(F.shiftrightunsigned("f0", lo).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((place * 64 + p) << 32)))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.repartition(parts, F.xxhash64("id"))
     variants = nodes.select("id", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
-    end = F.struct("id", "f0", "f1")
-    groups = variants.groupBy("key").agg(F.min(end).alias("x"), F.max(end).alias("y"), F.count("*").alias("n")).where("x.id < y.id")
-    groups = written(groups.select(F.col("key").alias("k"), F.col("x.id").alias("x"), F.col("x.f0").alias("x0"), F.col("x.f1").alias("x1"), F.col("y.id").alias("y"), F.col("y.f0").alias("y0"), F.col("y.f1").alias("y1"), "n"), "buckets")
+    found = variants.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x < y")
+    x, y = (nodes.select(F.col("id").alias(e), F.col("f0").alias(f"{e}0"), F.col("f1").alias(f"{e}1")) for e in ("x", "y"))
+    groups = written(found.withColumnRenamed("key", "k").join(x, "x").join(y, "y"), "buckets")
     to_x, to_y = (apart("f", e) <= distance for e in ("x", "y"))
     ends = variants.join(groups, (F.col("key") == F.col("k")) & (to_x & (F.col("id") != F.col("x")) | to_y & (F.col("id") != F.col("y"))))
     stars = ends.select(F.col("id").alias("a"), F.explode(F.array(F.when(to_x, F.col("x")), F.when(to_y, F.col("y")))).alias("b")).where("a != b").distinct()
@@ -253,18 +251,18 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
     return found.select("id", F.col("component").alias("c"))
 
 
-def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16) -> DataFrame:
+def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16, rounds: int = 16) -> DataFrame:
     """The rows of `docs` without near copies: of each group of texts that are alike, those of the least id; rows without an id stay.
 
     Texts are alike if their `width`-word shingles have a Jaccard similarity of
     `similarity`.  Equal texts are one node.  Candidates are texts whose 128-bit
     fingerprints (of `feature_words`-word shingles, which an edit changes less)
-    share a segment but for one bit and lie within `distance` bits; this finds
-    most pairs, not all (README).  In each component of candidates every text is
-    compared with the least id, then what is left with the two least, the four
-    least and so on, until nothing is left: few comparisons where texts are
-    alike, and never all pairs of a group of copies.  Links that the texts
-    confirm make the groups.
+    share a segment of the first 64 bits but for one bit and lie within `distance`
+    bits; this finds most pairs, not all (README).  In each component of candidates
+    every text is compared with the least id.  What is left is grouped by a min-hash
+    of its shingles and compared with the least id of its group, for `rounds` of
+    them: work grows with the texts, never with the pairs of a group of copies.
+    Links that the texts confirm make the groups.
     """
     stays, turn = (unused(name, docs) for name in ("stays", "turn"))
     plain = F.coalesce(F.col(text), F.lit(""))
@@ -288,27 +286,32 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     grouped = written(grouped, "grouped")
     sizes = written(grouped.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "sizes")
     open_ = written(grouped.join(sizes, "c"), "open")
-    texts = written(keyed.join(open_.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.min("text").alias("text")), "open_texts")
-    open_ = open_.select("id", "c").distinct()
+    held = keyed.join(open_.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+    def hashed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                least_hashes = [[K.mix(x ^ K.mix(np.full(1, r + 1, np.uint64))).min().view(np.int64) if len(x) else 0 for r in range(rounds)] for x in _shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least_hashes, pa.list_(pa.int64()))], names=["id", "text", "mins"])
+
+    texts = written(held.mapInArrow(K.tidy(hashed), "id long, text string, mins array<long>"), "open_texts")
+    open_ = written(open_.select("id", "c").distinct().join(texts.select("id", "mins"), "id"), "open")
     least = prints.select("id").distinct()
-    links, leaders = [], 1
-    while not open_.isEmpty():
-        place = F.row_number().over(Window.partitionBy("c").orderBy("id"))
-        heads = written(open_.withColumn("place", place).where(F.col("place") <= leaders).select("c", F.col("id").alias("b")), "heads")
-        pairs = open_.withColumnRenamed("id", "a").join(heads, "c").where("a > b").select("a", "b")
+    links = []
+    for r in range(rounds + 1):
+        at = open_.select(F.col("id").alias("a"), "c", F.col("mins")[r - 1].alias("m") if r else F.lit(0).cast("long").alias("m"))
+        heads = written(at.groupBy("c", "m").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("c", "m", "b"), "heads")
+        pairs = at.join(heads, ["c", "m"]).where("a <> b").select("a", "b")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         links.append(written(alike(both, width, similarity), "links"))
-        left = open_.join(links[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti").join(heads.select(F.col("b").alias("id")), "id", "left_anti")
-        left = written(left, "left")
-        sizes = written(left.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "sizes")
-        open_ = written(left.join(sizes, "c"), "open")
-        dropped(heads)
-        leaders *= 2
-    stay = least
-    if links:
-        gone = components(reduce(DataFrame.union, links)).where("id <> component").select("id")
-        stay = written(least.join(gone, "id", "left_anti"), "stay")
-        dropped(texts, *links)
+        open_, before = written(open_.join(links[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "open"), open_
+        dropped(heads, before)
+        if open_.isEmpty():
+            break
+    gone = components(reduce(DataFrame.union, links)).where("id <> component").select("id")
+    stay = written(least.join(gone, "id", "left_anti"), "stay")
+    dropped(texts, *links)
     kept = named.join(stay.withColumnRenamed("id", stays), F.col(id_col).cast("long") == F.col(stays), "left_semi")
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
     kept = kept.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
