@@ -156,22 +156,25 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int, coverage: float = 0
             if a < free_from:
                 continue
             k = next_free.get(lo, lo)
+            x, alike = int(sides[0][0][a]), True
             while k < to:
                 b = places[k]
                 t = bisect_left(taken, b - n + 1)
                 if t < len(taken) and taken[t] < b + n:  # on to the first place after the tile in the way
                     k = bisect_left(places, taken[t] + n, k, to)
                     continue
-                break
-            next_free[lo] = k
-            if k < to:
-                x, y = int(sides[0][0][a]), int(sides[1][0][b])
+                y = int(sides[1][0][b])
                 if np.array_equal(item[x : x + n], doc[y : y + n]):
-                    out.append((x, y, n))
-                    taken.insert(bisect_left(taken, b), b)
-                    free_from = a + n
-                    sides[0][1][a : a + n] = True
-                    sides[1][1][b : b + n] = True
+                    break
+                k, alike = k + 1, False  # equal by the window's hash alone
+            if alike:
+                next_free[lo] = k
+            if k < to:
+                out.append((x, y, n))
+                taken.insert(bisect_left(taken, b), b)
+                free_from = a + n
+                sides[0][1][a : a + n] = True
+                sides[1][1][b : b + n] = True
         longest = n - 1
     return out
 

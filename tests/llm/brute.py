@@ -7,6 +7,12 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def thue_morse(n, letters="ab"):
+    """n letters and their complement: equal under every polynomial hash modulo 2**64 for n = 2,048."""
+    one = [letters[i.bit_count() & 1] for i in range(n)]
+    return one, [letters[1 - letters.index(x)] for x in one]
+
+
 def brute_tiles(item, doc, m):
     marked_i, marked_j, out = set(), set(), []
     while True:

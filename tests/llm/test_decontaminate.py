@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from brute import brute_tiles
+from brute import brute_tiles, thue_morse
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -17,6 +17,17 @@ def test_greedy_tiles(item, doc):
         assert decontaminate.tiles(a, b, m) == brute_tiles(item, doc, m)
 
 
+def test_words_alike_under_polynomials_are_no_match(spark):
+    one, other = ("".join(x) for x in thue_morse(2048))
+    item = spark.createDataFrame([(1, f"u v w {one} x y z k")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"u v w {other} x y z k"), (2, f"u v w {one} x y z k")], "doc_id long, text string")
+    for block in (1 << 20, 10):
+        assert [r.doc_id for r in decontaminate.leaks(docs, item, block_bytes=block, map_bits=12).collect()] == [2]
+    # windows of 2,048 tokens whose Karp-Rabin hashes agree by construction
+    a, b = (np.array([ord(c) for c in x], np.uint64) for x in thue_morse(2048))
+    assert decontaminate.tiles(a, np.concatenate([b, a]), 5) == [(0, 2048, 2048)]
+
+
 def test_repeated_text_takes_no_quadratic_time():
     import time
 

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pyarrow as pa
+from brute import thue_morse
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,6 +25,17 @@ def test_spans(rows):
     assert [(int(k), bytes(data[i:j])) for k, i, j in zip(r, s, e)] == [(k, w) for k, t in enumerate(rows) for w in (t or "").encode().split(b"\n")]
 
 
+def test_spans_alike_under_polynomials_differ():
+    for n in (64, 512, 1024, 2048, 4096):
+        one, other = ("".join(x) for x in thue_morse(n))
+        data, offsets = K.text_buffers(pa.array([one, other, one]))
+        h = K.spans_hash(data, offsets[:-1], offsets[1:])
+        assert h[0] == h[2] != h[1]
+    data = np.frombuffer(b"x" * 200, np.uint8)
+    ends = np.arange(201)
+    assert len(set(K.spans_hash(data, np.zeros(201, np.int64), ends).tolist())) == 201
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(350)] + [(1000 + i, 1001 + i) for i in range(40)]
