@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, html_extract, line_dedup, quality, sentencepiece_bpe, simhash, substring_dedup, token_counts, vector_codes, warc, whitening
+from . import decontaminate, hmm_lm, html_extract, line_dedup, neighbours, quality, sentencepiece_bpe, simhash, substring_dedup, token_counts, vector_codes, warc, whitening
 from .shared import table
 
 
@@ -68,6 +68,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whitening(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -79,6 +83,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality, op6_token_counts, op7_hmm_lm, op8_simhash, op9_html_text, op10_warc, op12_whitening, op13_vector_codes)
+    for f in (op1_substring_dedup, op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality, op6_token_counts, op7_hmm_lm, op8_simhash, op9_html_text, op10_warc, op11_neighbours, op12_whitening, op13_vector_codes)
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_quality": quality.oracle(), "op10_warc": warc.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
