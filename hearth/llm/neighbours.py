@@ -14,9 +14,9 @@ The sample (`Settings.sample_rows`) and the queries of the calibration
 (`Settings.calibration`) are bounded; the index, the true neighbours and the search
 cover all rows.  Of equal vectors only the k + 1 with the least ids can be among a
 query's k nearest, as ties go to smaller ids, so no others are indexed (every one of
-them is a query where asked for).  Parts are cut into cells of indexed vectors and
-chunks of queries by hash, so that a task holds one cell and one chunk however
-large a part may be.
+them is a query where asked for).  Small parts are searched together, large
+ones are cut into cells by hash, and queries into chunks, so that a task holds one
+cell and one chunk however large a part may be.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows with a null id take no part; of rows that repeat an id the smallest
@@ -59,9 +59,9 @@ class Settings:
     #: Queries whose true neighbours are found, at most, and the share of them that the search must find.
     calibration: int = 256
     recall: float = 0.94
-    #: Indexed vectors and queries that meet in one task, about.
-    cell_rows: int = 8192
-    chunk_rows: int = 2048
+    #: Indexed vectors (small parts together) and queries that meet in one task, about.
+    cell_rows: int = 16384
+    chunk_rows: int = 1024
     seed: int = 11
 
 
@@ -301,38 +301,57 @@ def breadth(model: Router, queries: np.ndarray, q: np.ndarray, part: np.ndarray,
     return min(most, parts), float(reached[min(most, parts) - 1])
 
 
-def search(index: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
-    """(query, id, score) of each query's k nearest in its parts.  index: part, id, vector; asked: parts, id, vector."""
-    asked = asked.select(F.explode("parts").alias("part"), "id", "vector")
-    sizes = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
-    calls = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
-    n = max([*sizes, *calls], default=0) + 1
+def bundled(sizes: dict[int, int], parts: int, rows: int) -> tuple[list[int], list[int]]:
+    """(bundle of each part, cells of each bundle): consecutive parts of `rows` vectors together at most, larger ones alone and cut into cells."""
+    bundle, cells, held = [], [], 0
+    for p in range(parts):
+        n = sizes.get(p, 0)
+        if not cells or held + n > rows:
+            cells.append(max(1, -(-n // rows)))
+            held = 0
+        held += n
+        bundle.append(len(cells) - 1)
+    return bundle, cells
+
+
+def search(index: DataFrame, asked: DataFrame, parts: int, s: Settings) -> DataFrame:
+    """(query, id, score) of each query's k nearest in its parts.  index: part, id, vector; asked: parts, id, vector.
 
-    def share(counts: dict, rows: int) -> Column:
-        return F.array(*[F.lit(-(-counts.get(p, 0) // rows) or 1) for p in range(n)])[F.col("part")]
+    A group is a cell of indexed vectors and a chunk of the queries that look into
+    its parts, and gives k rows a query at most.
+    """
+    sizes = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
+    bundle, cells = bundled(sizes, parts, s.cell_rows)
+    table = F.array(*map(F.lit, bundle))
+    asked = asked.withColumn("bundle", F.explode(F.array_distinct(F.transform("parts", lambda p: F.get(table, p)))))
+    calls = {r.bundle: r["count"] for r in asked.groupBy("bundle").count().collect()}
+    chunks = [-(-calls.get(b, 0) // s.chunk_rows) for b in range(len(cells))]
 
-    def dealt(rows: DataFrame, mine: str, own: Column, other: str, others: Column, salt: int) -> DataFrame:
+    def dealt(rows: DataFrame, mine: str, own: list[int], other: str, others: list[int]) -> DataFrame:
         """Each row in one share of its side, for every share of the other."""
-        return rows.withColumn(mine, F.pmod(F.xxhash64("id", F.lit(salt)), own).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
+        shares, turns = (F.get(F.array(*map(F.lit, x)), F.col("bundle")) for x in (own, others))
+        return rows.where(turns > 0).withColumn(mine, F.pmod(F.xxhash64("id", F.lit(mine)), shares).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), turns - 1)))
 
-    cells, chunks = share(sizes, s.cell_rows), share(calls, s.chunk_rows)
-    keys = ["part", "cell", "chunk"]
-    left = dealt(index, "cell", cells, "chunk", chunks, 1).select(*keys, "id", "vector").groupBy(*keys)
-    right = dealt(asked, "chunk", chunks, "cell", cells, 2).select(*keys, "id", "vector").groupBy(*keys)
-    k = s.k
+    keys, k = ["bundle", "cell", "chunk"], s.k
+    left = dealt(index.withColumn("bundle", F.get(table, F.col("part"))), "cell", cells, "chunk", chunks).select(*keys, "part", "id", "vector").groupBy(*keys)
+    right = dealt(asked, "chunk", chunks, "cell", cells).select(*keys, "parts", "id", "vector").groupBy(*keys)
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, wanted = rows["id"].to_numpy(), queries["id"].to_numpy()
-        a, b = _matrix(queries["vector"]), _matrix(rows["vector"])
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        a, b, part = _matrix(queries["vector"]), _matrix(rows["vector"]), rows["part"].to_numpy()
+        found = [(np.zeros(0, np.int64),) * 2]
         if len(a) and len(b):
-            place = np.argsort(ids)
-            at = place[np.minimum(np.searchsorted(ids, wanted, sorter=place), len(ids) - 1)]
-            q, r = nearest(a, b, k, np.where(ids[at] == wanted, at, -1))
-            score = exact(a, b, q, r)
-            keep = top(q, score, ids[r], k)
-            out = [(wanted[q[keep]], ids[r[keep]], score[keep])]
-        return pa.table(dict(zip(("query", "id", "score"), map(pa.array, out[0]))))
+            looks = np.array(queries["parts"].to_pylist()).reshape(len(a), -1)
+            for p in np.unique(part).tolist():
+                q, r = np.flatnonzero((looks == p).any(1)), np.flatnonzero(part == p)
+                order = np.argsort(ids[r])
+                at = order[np.minimum(np.searchsorted(ids[r], wanted[q], sorter=order), len(r) - 1)]
+                i, j = nearest(a[q], b[r], k, np.where(ids[r][at] == wanted[q], at, -1))
+                found.append((q[i], r[j]))
+        q, r = (np.concatenate(x) for x in zip(*found))
+        score = exact(a, b, q, r)
+        keep = top(q, score, ids[r], k)
+        return pa.table({"query": wanted[q[keep]], "id": ids[r[keep]], "score": score[keep]})
 
     return left.cogroup(right).applyInArrow(run, "query long, id long, score double")
 
@@ -357,7 +376,7 @@ def neighbours(vectors: DataFrame, asked: Callable[[Column], Column], id_col: st
     dropped(near)
     some, queries = _sampled(asking, s.calibration)
     most, recall = breadth(model, queries, *true_parts(index, some, queries, s.k), parts, s.recall) if len(some) else (parts, 1.0)
-    found = search(index, routed(asking, model, most), s)
+    found = search(index, routed(asking, model, most), parts, s)
     turn = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= s.k)
     return best.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score", F.lit(most).alias("searched"), F.lit(parts).alias("parts"), F.lit(recall).alias("measured_recall"))

@@ -74,6 +74,11 @@ def test_parts_are_balanced_and_follow_the_graph():
     assert neighbours.balanced(0, a[:0], b[:0], 2, 1).size == 0
 
 
+def test_bundles():
+    assert neighbours.bundled({0: 3, 1: 4, 2: 9, 3: 25, 4: 1}, 6, 10) == ([0, 0, 1, 2, 3, 3], [1, 1, 3, 1])
+    assert neighbours.bundled({}, 2, 10) == ([0, 0], [1])
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     fine = [(i, [float(i % 5), 1.0]) for i in range(0, 200, 10)]
