@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.functions.numbers import clipped, keyed_uniform, laplace_count, z_score
+from hearth.operators import numbering
 
 ALERT = ["kind", "severity", "confidence", "group_id", "code", "summary", "count", "detector_ord"]
 SEVERITY = {"action": 0, "watch": 1, "info": 2}
@@ -87,6 +88,20 @@ def ranked(*detectors: DataFrame) -> DataFrame:
     return named.orderBy("severity_rank", F.desc("confidence"), "detector_ord", "group_id", "code")
 
 
+def numbered(alerts: DataFrame, natural: str | None = None) -> DataFrame:
+    """Alerts with a dense number in the order of `ranked` as seq, and an alert_id of the kind and that number, of four digits at least.
+
+    natural: the column that keeps the id from the alert's key.
+    """
+    rest = [c for c in ("summary", "count") if c in alerts.columns]
+    order = [F.asc("severity_rank"), F.desc_nulls_last("confidence"), F.asc("detector_ord"), F.asc_nulls_last("group_id"), F.asc_nulls_last("code"), *[F.asc_nulls_last(c) for c in rest]]
+    found = numbering.numbered(alerts, order)
+    digits = F.col("seq").cast("string")
+    named = F.concat(F.lit("ALERT-"), F.substring("kind", 1, 4), F.lit("-"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
+    kept = found.withColumn(natural, F.col("alert_id")) if natural else found
+    return kept.withColumn("alert_id", named)
+
+
 def worst_per_group(alerts: DataFrame) -> DataFrame:
     """The most severe severity of each group and its number of alerts."""
     return alerts.groupBy("group_id").agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("n_alerts"))

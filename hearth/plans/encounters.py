@@ -73,6 +73,11 @@ def alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ranked(clusters, risk, vector, rules, sentinel)
 
 
+def alerts_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts under dense numbers in the order of their ranking."""
+    return detect.numbered(alerts_all(spark, sf_dir), "natural_id").drop("severity_rank")
+
+
 def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tier-1 contacts with their next event and its risk, and labelled positives, of the index groups."""
     indices = feature_plans._indices(spark).select("index_id", "group_id", "index_date")
@@ -141,7 +146,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) A
 vs AS (SELECT event_type, count(*) AS k, avg(n) FILTER (rn <= 4) AS l, avg(n) FILTER (rn > 4) AS r, stddev_samp(n) FILTER (rn > 4) AS sd, CAST(sum(n) FILTER (rn <= 4) AS BIGINT) AS total FROM vr GROUP BY 1),
 vz AS (SELECT *, round((l - r) / nullif(sd, 0), 6) AS z FROM vs WHERE k >= 8)"""
 
-QUERIES = {f.__name__: plain(f) for f in (encounter_features, alerts_all, tracing_curve, tracing_by_index, contact_strata, cross_kind_signal)}
+QUERIES = {f.__name__: plain(f) for f in (encounter_features, alerts_all, alerts_numbered, tracing_curve, tracing_by_index, contact_strata, cross_kind_signal)}
 ORACLES = {
     "encounter_features": _FEATURES_SQL,
     "alerts_all": f"""WITH {s._ALERTS_SQL}, {_VECTOR_SQL}, rules(code, level) AS (VALUES {", ".join(f"('{c}', '{r}')" for c, r in s.RULES)}),
@@ -164,3 +169,5 @@ SELECT 'rural_urban' AS dimension, ru AS stratum, count(*) AS n_indices, CAST(su
     "cross_kind_signal": f"""WITH {MEMBERS_SQL}, {cases_sql(False)}, {INDICES_SQL}
 SELECT i.group_id, 'cross_kind' AS signal, CAST(min(onset) AS VARCHAR) AS earliest FROM idx i JOIN members m ON m.group_id = i.group_id AND m.kind = 'supplier' JOIN cases c ON c.ref = m.ref AND c.code = 'Brand#1' || (CAST(i.group_id AS INTEGER) % 5 + 1) AND c.onset < i.index_date GROUP BY 1""",
 }
+ORACLES["alerts_numbered"] = f"""SELECT kind, severity, confidence, group_id, code, summary, "count", detector_ord, alert_id AS natural_id, seq, 'ALERT-' || substr(kind, 1, 4) || '-' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS alert_id
+FROM (SELECT *, row_number() OVER (ORDER BY severity_rank, confidence DESC NULLS LAST, detector_ord, group_id NULLS LAST, code NULLS LAST, summary NULLS LAST, "count" NULLS LAST) AS seq FROM ({ORACLES['alerts_all']}))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.operators import linkage, metrics, models, trace
+from hearth.operators import linkage, metrics, models, trace, trees
 from hearth.plans import plain
 from hearth.plans.views import read
 
@@ -95,16 +95,20 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_FEATURES = ["n_chars", "n_lines", "upper_share", "symbol_share"]
 
 
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds of the labelled documents, each with its share of both classes."""
+    return models.folds(_model_rows(spark, sf_dir), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "fold")
+
+
 def risk_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold AUC, Brier and F1 of the logistic model."""
-    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
-    scored = models.out_of_fold(rows, MODEL_FEATURES, "doc_id").select(F.col("y").cast("int").alias("y"), "p")
-    return metrics.point_metrics(scored, []).crossJoin(metrics.auc(scored, []).select("auc"))
+    """Out-of-fold counts, AUC, average precision, Brier and F1 of the logistic model, by fold and over all."""
+    rows = models.folds(_model_rows(spark, sf_dir), "doc_id")
+    return models.fold_metrics(models.out_of_fold(rows, MODEL_FEATURES, "doc_id"))
 
 
 def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of each kind of model on the rows of one fold after fitting the others; fewer trees than a real run takes."""
-    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
+    rows = models.folds(_model_rows(spark, sf_dir), "doc_id")
     smaller = {"forest": {"numTrees": 40}, "boosted": {"maxIter": 15}}
     found = []
     for kind in ("logistic", "forest", "boosted", "tree"):
@@ -115,9 +119,39 @@ def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.hashed_folds(_model_rows(spark, sf_dir), "doc_id")
+    """Mean and deviation of the fall of AUC over five repeats for each feature."""
+    rows = _model_rows(spark, sf_dir)
     model = models.fit(rows, MODEL_FEATURES)
-    return models.permutation_importance(model, rows.withColumn("y", F.col("y").cast("int")), MODEL_FEATURES, "doc_id", 1)
+    return models.permutation_importance(model, rows.withColumn("y", F.col("y").cast("int")), MODEL_FEATURES, "doc_id")
+
+
+def _boosted(rows: DataFrame) -> models.PipelineModel:
+    """A boosted model; fewer trees than a real run takes."""
+    return models.fit(rows, MODEL_FEATURES, "boosted", maxIter=15)
+
+
+def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to each document's margin under the boosted model."""
+    rows = _model_rows(spark, sf_dir)
+    return trees.by_feature(trees.attributions(_boosted(rows), rows, "doc_id"), MODEL_FEATURES)
+
+
+def attribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean absolute attribution of each feature."""
+    rows = _model_rows(spark, sf_dir)
+    return trees.mean_attribution(trees.attributions(_boosted(rows), rows, "doc_id"), MODEL_FEATURES)
+
+
+def source_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source the document of the largest margin, with its strongest features."""
+    rows = _model_rows(spark, sf_dir)
+    return trees.top_explained(trees.attributions(_boosted(rows), rows, "doc_id"), read(spark, sf_dir, "documents"), "doc_id", "source", MODEL_FEATURES)
+
+
+def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the interpretable tree, with the documents that each holds for."""
+    rows = _model_rows(spark, sf_dir)
+    return trees.rules(rows, models.fit(rows, MODEL_FEATURES, "tree"), MODEL_FEATURES)
 
 
 def _jw(a: str, b: str) -> str:
@@ -153,7 +187,7 @@ def _ratio(a: str, b: str) -> str:
     return f"round(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END, 6)"
 
 
-QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, risk_model_metrics, model_kinds, permutation_importance)}
+QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, stratified_folds, risk_model_metrics, model_kinds, permutation_importance, tree_attribution, attribution_importance, source_explanations, tree_rules)}
 ORACLES = {
     "auc_by_stratum": f"WITH {SCORES_SQL} SELECT lang, n_pos, n_neg, round(auc, 6) AS auc FROM ({_auc('lang', 's')})",
     "average_precision": f"WITH {_POINTS_SQL} SELECT lang, round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(sum(pos), 0), 6) AS average_precision FROM pts GROUP BY 1",
@@ -171,6 +205,8 @@ SELECT *, {_ratio('tp', 'tp + fn')} AS sensitivity, {_ratio('tp', 'tp + fp')} AS
     "value_histogram": "SELECT CAST(CASE WHEN value < 1 THEN 0 WHEN value < 5 THEN 1 WHEN value < 10 THEN 2 WHEN value < 50 THEN 3 WHEN value < 100 THEN 4 ELSE 5 END AS INTEGER) AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 1000 GROUP BY 1",
     "value_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS k FROM events)
 SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(max(value) FILTER (rn = floor(0.95::DOUBLE * (k - 1)) + 1), 6) AS high FROM r GROUP BY 1""",
+    "stratified_folds": """WITH u AS (SELECT doc_id, quality AS y, (CAST(CAST('0x' || substr(md5(doc_id || '|42'), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / CAST(281474976710656 AS DOUBLE) AS u FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, y, CAST(row_number() OVER (PARTITION BY y ORDER BY u, doc_id) % 5 AS INTEGER) AS fold FROM u""",
     "blocked_pairs": f"WITH {_RECORDS_SQL} SELECT left_id, right_id FROM pairs",
     "record_linkage": f"WITH {_LINKS_SQL} SELECT left_id, right_id, {', '.join(f'round({c}, 5) AS {c}' for c in ('s_last_name', 's_first_name', 's_dob', 's_address', 's_zip', 'raw', 'probability'))}, tier FROM links",
     "linkage_summary": f"WITH {_LINKS_SQL} SELECT tier, count(*) AS n, round(avg(probability), 6) AS mean_probability FROM links GROUP BY 1",
