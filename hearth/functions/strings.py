@@ -86,3 +86,12 @@ def ordered_case(c: Column, rules: list[tuple[str, str]], default: str | None =
         hit = c.rlike(pattern)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return (out if out is not None else F.lit(None)).otherwise(F.lit(default)) if out is not None else F.lit(default)
+
+
+#: Compares by the root locale: case is ignored, accents count and stand beside their letters.
+LOCALE = "UNICODE_CI"
+
+
+def by_locale(c: Column) -> Column:
+    """A string that compares, sorts, groups and joins by locale, without regard to case."""
+    return F.collate(c, LOCALE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.functions.strings import equal_ignoring_case
+from hearth.functions.strings import by_locale, equal_ignoring_case
 
 
 def flatten(groups: DataFrame, group_id: str, arrays: dict[str, tuple[str, str, Column, Column]]) -> DataFrame:
@@ -35,6 +35,11 @@ def in_region(rows: DataFrame, column: str, region: str | None) -> DataFrame:
     return rows.where(equal_ignoring_case(F.col(column), region))
 
 
+def named(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows beside the names that are theirs by locale, without regard to case: an equality join on the collation's keys."""
+    return rows.join(names, by_locale(rows[column]) == by_locale(names[name]))
+
+
 def with_value(rows: DataFrame, column: str, value: str | None) -> DataFrame:
     return rows.where(F.col(column) == value) if value else rows
 
@@ -66,10 +71,10 @@ def search(rows: DataFrame, query: str, columns: list[str], arrays: list[str] =
 
 
 def listing(rows: DataFrame, alerted: DataFrame, group: str, label: str, n: int = 80) -> DataFrame:
-    """Rows of groups with an alert first, then by label; the first n."""
+    """Rows of groups with an alert first, then by label in the locale's order; the first n."""
     marks = alerted.select(F.col(group).alias("_g")).distinct().withColumn("has_alert", F.lit(1))
     joined = rows.join(marks, rows[group] == marks["_g"], "left").drop("_g").withColumn("has_alert", F.coalesce("has_alert", F.lit(0)))
-    return joined.orderBy(F.desc("has_alert"), label).limit(n)
+    return joined.orderBy(F.desc("has_alert"), by_locale(F.col(label)), label).limit(n)
 
 
 def newest_per(rows: DataFrame, key: str, time: str, tie: str, n: int) -> DataFrame:

@@ -15,17 +15,29 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: What operators with state of their own, and sources that take filters, ask of a session.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+PUSHED_FILTERS = {"spark.sql.python.filterPushdown.enabled": "true"}
 
 
 def session(name: str = "hearth", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **STATE_STORE, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def own_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session with the same SQL settings but for these, so that the caller's stay as they are."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

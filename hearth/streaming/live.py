@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -22,21 +23,78 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("window"), *keys).agg(F.count("*").alias("n"))
 
 
-def last_states(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
-    """The last state of each key by sequence number, kept across batches; older rows that come late do not undo it."""
+class KeyedState(StatefulProcessor):
+    """The last state of a key and how often each state was met.
+
+    The last one (place, tie, state, steps) is a value, the states met a map of
+    counts.  A row that comes late counts, but does not undo a later one.  With
+    `idle_ms`, a key whose watermark has passed its last place by so much is closed:
+    a timer says so once more and frees its state.
+    """
+
+    def __init__(self, key: str, idle_ms: int | None = None):
+        self.key, self.idle_ms = key, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "place long, tie long, state string, steps long")
+        self.met = handle.getMapState("met", "state string", "n long")
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        at, value, steps = held.get if held.exists else (-1, None, 0)
-        for frame in frames:
+    def row(self, key, closed: bool) -> pd.DataFrame:
+        place, _, state, steps = self.last.get()
+        return pd.DataFrame({self.key: [key[0]], "state": [state], "place": [place], "n_steps": [steps], "n_states": [sum(1 for _ in self.met.keys())], "closed": [closed]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        place, tie, state, steps = self.last.get() if self.last.exists() else (None, None, None, 0)
+        if place is not None and self.idle_ms is not None and timerValues.getCurrentWatermarkInMs() >= place // 1000 + self.idle_ms:
+            yield self.row(key, True)  # timers run after a batch's rows
+            self.met.clear()
+            place, tie, state, steps = None, None, None, 0
+        counts: dict[str, int] = {}
+        for frame in rows:
             steps += len(frame)
-            top = frame.loc[frame[seq].idxmax()]
-            if top[seq] > at:
-                at, value = int(top[seq]), str(top[state])
-        held.update((at, value, steps))
-        yield pd.DataFrame({key: [k[0]], "state": [value], "n_steps": [steps]})
+            top = frame.loc[frame.sort_values(["at_place", "at_tie"]).index[-1]]
+            if place is None or (top["at_place"], top["at_tie"]) > (place, tie):
+                place, tie, state = int(top["at_place"]), int(top["at_tie"]), str(top["at_state"])
+            for value, n in frame["at_state"].value_counts().items():
+                counts[str(value)] = counts.get(str(value), 0) + int(n)
+        self.last.update((place, tie, state, steps))
+        for value, n in counts.items():
+            held = self.met.getValue((value,)) if self.met.containsKey((value,)) else (0,)
+            self.met.updateValue((value,), (held[0] + n,))
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(place // 1000 + self.idle_ms)
+        yield self.row(key, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield self.row(key, True)
+            self.last.clear()
+            self.met.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_states(events: DataFrame, key: str, time: str, tie: str, state: str, late: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, state, place, n_steps, n_states, closed): the last state of each key that a batch met, by time and tie, and the keys that it closed.
+
+    place is the time in microseconds.  The session needs STATE_STORE.
+    """
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = timed.select(key, time, F.unix_micros(time).alias("at_place"), F.col(tie).cast("long").alias("at_tie"), F.col(state).alias("at_state"))
+    kind = dict(events.dtypes)[key]
+    return rows.groupBy(key).transformWithStateInPandas(KeyedState(key, idle_ms), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "EventTime")
+
 
+def last_states(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
+    """The last state of each key by sequence number, kept across batches; older rows that come late do not undo it.  The session needs STATE_STORE."""
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, state string, n_steps long", "at long, value string, steps long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(key, F.col(seq).cast("long").alias("at_place"), F.lit(0).cast("long").alias("at_tie"), F.col(state).alias("at_state"))
+    found = rows.groupBy(key).transformWithStateInPandas(KeyedState(key), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "None")
+    return found.select(key, "state", "n_steps")
 
 
 def read_files(spark: SparkSession, folder: str, schema, glob: str, per_trigger: int = 1) -> DataFrame:
@@ -51,6 +109,24 @@ def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFr
     return stream.sparkSession.read.parquet(path)
 
 
+def logged(stream: DataFrame, path: str, checkpoint: str, listeners: list[Callable[[DataFrame, int], None]] = (), mode: str = "append") -> DataFrame:
+    """Writes every batch under its own id, then tells the listeners (stored batch, id), and gives the log of all batches, with batch.
+
+    A batch that is run again after a failure replaces what it wrote, so that each
+    row is in the log once; a listener may hear of a batch again and can tell by its id.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        place = f"{path}/batch={batch}"
+        rows.write.mode("overwrite").parquet(place)
+        for tell in listeners:
+            tell(rows.sparkSession.read.schema(rows.schema).parquet(place), batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+
+
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
     """Appends each batch to a log table, for readers of its newest rows."""
     return stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

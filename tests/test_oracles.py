@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from hearth.plans import access, encounters, evaluation, exchange, features, notes, surveillance
+from hearth.plans import access, encounters, evaluation, exchange, extensions, features, notes, surveillance
 
-PLANS = (surveillance, features, encounters, evaluation, exchange, notes, access)
+PLANS = (surveillance, features, encounters, evaluation, exchange, notes, access, extensions)
 CASES = [(name, plan) for plan in PLANS for name in plan.ORACLES]
 
 
@@ -41,7 +41,7 @@ def test_matches_sql(spark, sf, con, name, plan):
     assert canonical(df.columns, df.collect()) == canonical(columns, got.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for p in PLANS for n in p.QUERIES if n not in p.ORACLES and n not in ("permutation_importance",)])
+@pytest.mark.parametrize("name", [n for p in PLANS for n in p.QUERIES if n not in p.ORACLES])
 def test_runs(spark, sf, name):
     query = next(p.QUERIES[name] for p in PLANS if name in p.QUERIES)
     assert query(spark, sf).count() > 0
