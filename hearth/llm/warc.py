@@ -6,14 +6,13 @@ digest of its payload.  Original records are the join of the two.  Of records
 with equal payloads of at least `min_revisit_bytes`, that with the largest id is
 a response and the others are revisits of it; smaller ones are all responses.
 
-Reading verifies: the SHA-256 of every stored payload is taken again and must be
-the key that it stands under, and its SHA-1 and length must agree with each
-record's header; otherwise the query fails.  Length and digest depend on the
-payload alone, so they are taken before the join and payload bytes are shuffled
-only where whole records are asked for (`records`).
+Reading rebuilds every record, header and full payload, parses it from its bytes
+and verifies: the SHA-256 of every stored payload is taken again and must be the
+key that it stands under, and the SHA-1 and length of the payload in each record
+must agree with its header; otherwise the query fails.
 
-A group of equal payloads meets in sums combined before the shuffle and in plain
-equality joins, which adaptive execution can split.
+A group of equal payloads meets in sums combined before the shuffle and in
+equality joins that adaptive execution can split.
 
 Cases: a null payload is an empty one; a null url gives an empty target, and line
 breaks in one are percent-encoded; a null id is smaller than any other and keeps
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hex_digest_base32, written
+from .shared import hex_digest_base32, met, written
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -55,7 +54,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
 
     keepers = facts.groupBy("digest").agg(F.max("id").alias("keeper"))
     turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy("url"))
-    known = facts.withColumn("turn", turn).join(keepers, "digest")
+    known = met(facts.withColumn("turn", turn), keepers, "digest")
     small = F.col("n") < min_revisit_bytes
     response = small | (F.col("id").eqNullSafe(F.col("keeper")) & (F.col("turn") == 1))
 
@@ -93,33 +92,49 @@ def _checked(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("payload", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("a stored payload does not match its digest "), F.col("digest")))))
 
 
+def records(stored: Archive, full: bool = False) -> DataFrame:
+    """(record binary) of every record as a WARC file has it; with `full`, revisits carry their payload too."""
+    joined = stored.headers.join(_checked(stored.payloads), "digest")
+    revisit = F.col("header").cast("string").contains(f"WARC-Type: revisit{CRLF}")
+    body = F.col("payload") if full else F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    return joined.select(F.concat("header", body, F.lit(CRLF.encode() * 2)).alias("record"))
+
+
 def read_back(stored: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record, from the archive alone."""
-    facts = _checked(stored.payloads).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), hex_digest_base32(F.sha1("payload")).alias("payload_digest"))
-    text = F.col("header").cast("string")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record, from whole records rebuilt from the archive.
+
+    A record is parsed from its bytes: the WARC header ends at the first empty line
+    and the HTTP header at the second, and what follows, but for the closing line
+    breaks, is the payload, of which length and SHA-1 are taken.
+    """
+    blank = F.lit(CRLF.encode() * 2)
+    whole = records(stored, full=True)
+    head_end = F.expr("position(X'0D0A0D0A', record)")
+    http_end = F.expr("position(X'0D0A0D0A', record, head_end + 4)")
+    cut = whole.withColumn("head_end", head_end).withColumn("http_end", http_end)
+    begin = F.col("http_end") + 4
+    size = F.octet_length("record") - F.octet_length(blank)
+    parts = cut.select(
+        F.substring("record", F.lit(1), F.col("head_end") + 3).cast("string").alias("head"),
+        F.substring("record", F.col("head_end") + 4, F.col("http_end") - F.col("head_end")).cast("string").alias("http"),
+        F.substring("record", begin, size - begin + 1).alias("payload"),
+    )
 
-    def field(pattern: str) -> Column:
+    def field(text: str, pattern: str) -> Column:
         return F.regexp_extract(text, pattern, 1)
 
-    parsed = stored.headers.select(
-        "digest",
-        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Record-ID: <urn:page:([^:>]*):', 1) as bigint)").alias("page_id"),
-        field("\r\nWARC-Type: ([a-z]+)\r\n").alias("record_type"),
-        F.expr("try_cast(regexp_extract(cast(header as string), '\\r\\nWARC-Refers-To: <urn:page:([^:>]*):', 1) as bigint)").alias("refers_to"),
-        field("\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n").alias("said_digest"),
-        field("\r\n\r\nHTTP/1.1 200 OK\r\n(?:[^\r]*\r\n)*?Content-Length: ([0-9]+)\r\n").cast("long").alias("said_bytes"),
+    facts = parts.select(
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        hex_digest_base32(F.sha1("payload")).alias("payload_digest"),
+        F.expr("try_cast(regexp_extract(head, '\\r\\nWARC-Record-ID: <urn:page:([^:>]*):', 1) as bigint)").alias("page_id"),
+        field("head", "\r\nWARC-Type: ([a-z]+)\r\n").alias("record_type"),
+        F.expr("try_cast(regexp_extract(head, '\\r\\nWARC-Refers-To: <urn:page:([^:>]*):', 1) as bigint)").alias("refers_to"),
+        field("head", "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n").alias("said_digest"),
+        field("http", "\r\nContent-Length: ([0-9]+)\r\n").cast("long").alias("said_bytes"),
     )
     agrees = (F.col("said_digest") == F.col("payload_digest")) & (F.col("said_bytes") == F.col("payload_bytes"))
     bytes_ = F.when(agrees, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record's header does not agree with its payload")))
-    return parsed.join(facts, "digest").select("page_id", bytes_.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-
-
-def records(stored: Archive, full: bool = False) -> DataFrame:
-    """(record binary) of every record as a WARC file has it; with `full`, revisits carry their payload too."""
-    joined = stored.headers.join(_checked(stored.payloads), "digest")
-    revisit = F.col("header").cast("string").contains(f"WARC-Type: revisit{CRLF}")
-    body = F.col("payload") if full else F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select(F.concat("header", body, F.lit(CRLF.encode() * 2)).alias("record"))
+    return facts.select("page_id", bytes_.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def _oracle() -> str:

@@ -5,9 +5,11 @@ import pyarrow as pa
 from brute import thue_morse
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hearth.llm import kernels as K
-from hearth.llm.shared import components
+from hearth.llm.shared import components, met
+from hearth.session import own_session
 
 
 @given(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=8))
@@ -52,3 +54,15 @@ def test_components(spark):
         parent[b] = a
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_joins_with_an_aggregate_split_a_hot_key(spark):
+    own = own_session(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    rows = own.range(0, 60_000, 1, 12).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).cast("long").alias("key"), F.col("id").alias("v"), F.lit("x" * 20).alias("met"))
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"))
+    for how, split in ((met(rows, sums, "key"), True), (rows.join(sums, "key"), False)):
+        assert how.agg(F.sum("n")).first()[0] == 20_080 * 20_080 + 499 * 80 * 80  # columns that clash are kept
+        found = how.select("key", "v", "met", "n")
+        assert found.count() == 60_000
+        found.collect()
+        assert ("skew=true" in found._jdf.queryExecution().executedPlan().toString()) == split
