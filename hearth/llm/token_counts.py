@@ -126,12 +126,14 @@ def count(files: DataFrame, separator: int, token_bytes: int = 2, block_tokens:
     total = files.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
     ranges = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / width))).alias("block"), "bytes")
-    found = ranges.repartition(tasks, "file", "block").sortWithinPartitions("file", "block").mapInArrow(K.tidy(scan), "file string, block long, n long, k long, first long, last long, inner array<long>")
+    # a table, read for the blocks' five numbers, which the scan over a file passes on, and for the lengths inside, which stay with their block
+    found = written(ranges.repartition(tasks, "file", "block").sortWithinPartitions("file", "block").mapInArrow(K.tidy(scan), "file string, block long, n long, k long, first long, last long, inner array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("done", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    placed = found.select("file", "block", "n", "k", "first", "last").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("done", F.coalesce(F.sum("k").over(before), F.lit(0)))
     placed = placed.withColumn("open", F.coalesce(F.max(F.col("start") + F.col("last")).over(before) + 1, F.lit(0)))
-    stitched = F.concat(F.array(F.col("start") + F.col("first") - F.col("open")), "inner")
-    closed = placed.where("k > 0").select("file", F.posexplode(stitched).alias("i", "n_tokens"), "done").select("file", (F.col("done") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
+    heads = placed.where("k > 0").select("file", "done", (F.col("start") + F.col("first") - F.col("open")).alias("n_tokens"), "block")
+    inside = found.select("file", "block", F.posexplode("inner").alias("i", "n_tokens")).join(heads.select("file", "block", "done"), ["file", "block"])
+    closed = heads.select("file", F.col("done").alias("ordinal"), "n_tokens", F.lit(True).alias("closed")).unionByName(inside.select("file", (F.col("done") + F.col("i") + 1).alias("ordinal"), "n_tokens", F.lit(True).alias("closed")))
     ends = placed.groupBy("file").agg(F.sum("k").alias("ordinal"), (F.sum("n") - F.coalesce(F.max(F.col("start") + F.col("last")) + 1, F.lit(0))).alias("n_tokens")).where("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False).alias("closed"))
     return closed.unionByName(ends)
 
