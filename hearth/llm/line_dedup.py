@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused, written
+from .shared import met, unused, written
 
 SALTS = 64
 
@@ -41,7 +41,7 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     pages = shown.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     inked = F.filter(F.array_distinct("lines"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
     counts = shown.select("host", F.explode(F.transform(inked, digest)).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    frequent = written(counts.join(pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line"), "boilerplate")
+    frequent = written(met(counts, pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line"), "boilerplate")
     per_host = frequent.groupBy(F.col("host").alias(h)).agg(F.collect_list("line").alias(drop))
 
     marked = docs.drop("n_lines", "n_dropped").withColumn(h, key)

@@ -64,6 +64,18 @@ def hex_digest_base32(hex_digest: Column, digits: int = 40) -> Column:
     return F.translate(F.upper(F.concat(*groups)), plain, coded)
 
 
+def met(rows: DataFrame, sums: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Rows joined with what an aggregate gives for their keys, so that adaptive execution can split a key that many rows bear.
+
+    An aggregate's rows lie where its keys put them, and a join on the same keys
+    would take them from there, past the exchange that splitting needs.  A hash of
+    the keys as one more key asks for an exchange of both sides.
+    """
+    mark = unused("met", rows, sums)
+    hashed = F.xxhash64(*keys)
+    return rows.withColumn(mark, hashed).join(sums.withColumn(mark, hashed), [*keys, mark], how).drop(mark)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id on an edge; component is the least id reachable.
 
@@ -80,10 +92,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u points at the least of u and its neighbours
         both = now.selectExpr("lo u", "hi v").union(now.selectExpr("hi u", "lo v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.join(least, now.lo == least.u).select(F.col("m").alias("lo"), "hi").where("lo != hi").distinct()
+        large = met(now.withColumnRenamed("lo", "u"), least, "u").select(F.col("m").alias("lo"), "hi").where("lo != hi").distinct()
         # small star: u and every smaller neighbour of u point at the least of them
         under = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(under, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("e.lo", "e.hi").where("lo != hi").distinct()
+        small = met(large, under, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("e.lo", "e.hi").where("lo != hi").distinct()
         last, now = now, written(small, "edges")
         dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, dropped, unused, written
+from .shared import components, dropped, met, unused, written
 
 
 def fingerprints_of(texts: list[str], width: int, seed: int) -> np.ndarray:
@@ -237,7 +237,7 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
     shared = written(labelled.join(groups.select(F.col("k").alias("key"), "n"), "key"), "members")
     major = shared.where(F.col("n") > hot_bucket).groupBy("key", "c").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("major"))
     small = shared.where(F.col("n") <= hot_bucket)
-    minor = shared.where(F.col("n") > hot_bucket).join(major, (F.col("key") == F.col("k")) & (F.col("c") != F.col("major")))
+    minor = met(shared.where(F.col("n") > hot_bucket), major.withColumnRenamed("k", "key"), "key").where("c <> major")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.col("key").alias(f"k{name}"), F.col("c").alias(f"c{name}"), F.col("f0").alias(f"{name}0"), F.col("f1").alias(f"{name}1"))
@@ -251,7 +251,7 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
     return found.select("id", F.col("component").alias("c"))
 
 
-def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16, rounds: int = 16) -> DataFrame:
+def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16, functions: int = 16, at_once: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each group of texts that are alike, those of the least id; rows without an id stay.
 
     Texts are alike if their `width`-word shingles have a Jaccard similarity of
@@ -259,9 +259,10 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     fingerprints (of `feature_words`-word shingles, which an edit changes less)
     share a segment of the first 64 bits but for one bit and lie within `distance`
     bits; this finds most pairs, not all (README).  In each component of candidates
-    every text is compared with the least id.  What is left is grouped by a min-hash
-    of its shingles and compared with the least id of its group, for `rounds` of
-    them: work grows with the texts, never with the pairs of a group of copies.
+    every text is compared with the least id.  What is left is grouped by min-hashes
+    of its shingles, `at_once` of `functions` at a time, and compared with the least
+    ids of its groups: work grows with the texts, never with the pairs of a group
+    of copies.
     Links that the texts confirm make the groups.
     """
     stays, turn = (unused(name, docs) for name in ("stays", "turn"))
@@ -292,17 +293,18 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                least_hashes = [[K.mix(x ^ K.mix(np.full(1, r + 1, np.uint64))).min().view(np.int64) if len(x) else 0 for r in range(rounds)] for x in _shingle_sets(part.column(1), width)]
+                least_hashes = [[K.mix(x ^ K.mix(np.full(1, r + 1, np.uint64))).min().view(np.int64) if len(x) else 0 for r in range(functions)] for x in _shingle_sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least_hashes, pa.list_(pa.int64()))], names=["id", "text", "mins"])
 
     texts = written(held.mapInArrow(K.tidy(hashed), "id long, text string, mins array<long>"), "open_texts")
     open_ = written(open_.select("id", "c").distinct().join(texts.select("id", "mins"), "id"), "open")
     least = prints.select("id").distinct()
     links = []
-    for r in range(rounds + 1):
-        at = open_.select(F.col("id").alias("a"), "c", F.col("mins")[r - 1].alias("m") if r else F.lit(0).cast("long").alias("m"))
-        heads = written(at.groupBy("c", "m").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("c", "m", "b"), "heads")
-        pairs = at.join(heads, ["c", "m"]).where("a <> b").select("a", "b")
+    for r in range(-at_once, functions, at_once):
+        keys = F.array(*[F.struct(F.lit(k).alias("f"), F.col("mins")[k].alias("m")) for k in range(r, min(r + at_once, functions))]) if r >= 0 else F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).cast("long").alias("m")))
+        at = open_.select(F.col("id").alias("a"), "c", F.inline(keys))
+        heads = written(at.groupBy("c", "f", "m").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("c", "f", "m", "b"), "heads")
+        pairs = at.join(heads, ["c", "f", "m"]).where("a <> b").select("a", "b").distinct()
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         links.append(written(alike(both, width, similarity), "links"))
         open_, before = written(open_.join(links[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "open"), open_
