@@ -18,8 +18,11 @@ Slots.  What a template tag holds besides is a slot.  A slot is chrome if most o
 its characters are links (a menu), if its fill is the same on several pages
 (adverts and notices from a pool), or if the words are the template's own.  All
 other slots are extracted.  Of pages with one `article` (or `main`), only that is
-extracted, and an `article` loses only what its tags and names say to be menu,
-footer, advert, notice, form or comment.
+extracted.  An `article` loses what tags, or names made of nothing but such words,
+say to be menu, footer, advert, notice, form or comment; what only hints at it (an
+`aside`, "related-work") goes if the template finds it to be links or a fill that
+repeats, and stays if it varies between pages.  A box in an article that says the
+same on nine in ten of three pages or more goes without any name.
 
 Lists of tags and names mark chrome that pages cannot tell apart, and are all
 there is for a host with a single page.  They yield to the template: where names
@@ -70,6 +73,9 @@ OUT_NAMES = frozenset(
 WEAK_NAMES = frozenset("alert alerts banner banners disclaimer discussion feedback form legal login overlay promotion rail reply replies respond search skip subscription".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that only say where or how a box stands: names of these and of the above hint at nothing else.
+PLACE_NAMES = frozenset("area article articles bar block body bottom box btn button buttons card cards col column container content entries entry group header heading holder icon icons inline inner item items left link links list main media module more news outer page pages panel post posts reader readers right row section site slot story stories strip text thread title top unit user users wrap wrapper zone".split())
+BOXES = frozenset("aside div section".split())
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOPS = re.compile(r">|=\s*([\"'])")
@@ -104,13 +110,31 @@ class Page:
     order: list[int] = field(default_factory=list)
     #: (path of the enclosing tag, why it is marked or empty, text, characters in links), in page order.
     blocks: list[tuple[int, str, str, int]] = field(default_factory=list)
+    #: The paths in articles whose tag or name only hints at chrome ("hint" is then the mark of their blocks).
+    hints: set[int] = field(default_factory=set)
+
+
+def _told(names: str, tag: str, reason: str) -> str:
+    """What a tag's names add to the reason for taking it out of an article."""
+    for name in BESIDE.sub(" ", names).split():
+        parts = {p.lower() for p in NAME_PARTS.findall(name)}
+        told = parts - WEAK_NAMES
+        if not told & COMMENT_NAMES and (tag == "article" or not told & OUT_NAMES):
+            continue
+        if not parts <= OUT_NAMES | PLACE_NAMES:
+            reason = reason or "hint"
+        elif told & COMMENT_NAMES:
+            reason = "comment"
+        elif reason in ("", "hint"):
+            reason = "name"
+    return reason
 
 
 def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, str, str]:
     """(reason or empty, name for the path, tag by its role) of a start tag."""
     reason, name, role = "", tag, tag
     if tag in OUT_TAGS or tag in ("header", "label") and not in_article:
-        reason = "tag"
+        reason = "hint" if in_article and tag == "aside" else "tag"
     if not attributes or attributes.isspace():
         return reason, name, role
     for m in ATTRIBUTE.finditer(attributes):
@@ -120,19 +144,20 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, str, str]
                 name += ("." if kind == "class" else "#") + first[0]
             if tag in ("html", "body", "main"):
                 continue
-            parts = {p.lower() for p in NAME_PARTS.findall(BESIDE.sub(" ", value))}
             if in_article:
-                parts -= WEAK_NAMES
+                reason = _told(value, tag, reason)
+                continue
+            parts = {p.lower() for p in NAME_PARTS.findall(BESIDE.sub(" ", value))}
             if parts & COMMENT_NAMES:
                 reason = "comment"
-            elif tag != "article" and (parts & OUT_NAMES or "header" in parts and not in_article and not parts & {"article", "post", "entry", "content"}):
+            elif tag != "article" and (parts & OUT_NAMES or "header" in parts and not parts & {"article", "post", "entry", "content"}):
                 reason = reason or "name"
         elif kind == "role" and value.lower() == "main":
             role = "main"
         elif kind == "itemprop" and value == "articleBody":
             role = "article"
         elif kind == "role" and value.lower() in OUT_ROLES or kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and HIDDEN.search(value):
-            reason = reason or "name"
+            reason = "name" if reason == "hint" else reason or "name"
     return reason, role if role in ("article", "main") else name, role
 
 
@@ -169,7 +194,7 @@ def parse(html: str, paths: Paths) -> Page:
             linked = 0
 
     def close(depth: int) -> None:
-        if any(s[0] in BLOCK or s[2] for s in stack[depth:]):
+        if any(s[0] in BLOCK or s[2] != stack[k - 1][2] for k, s in enumerate(stack[depth:], depth)):
             flush()
         for s in stack[depth:]:
             places[s[0]].pop()
@@ -232,13 +257,15 @@ def parse(html: str, paths: Paths) -> Page:
         reason, name, role = _marked(tag, attributes, inside)
         holds = role in ("article", "main")
         # an article inside something taken out by its name only (a page-wide wrapper) is none the less an article
-        if holds and not reason and why == "name":
+        if holds and not reason and why in ("name", "hint"):
             kept = ""
         else:
-            kept = reason if reason == "comment" else why or reason
-        if bool(kept) != bool(why):
+            kept = reason if reason == "comment" or why == "hint" and reason else why or reason
+        if kept != why:
             flush()
         path = paths.child(above, name, role)
+        if kept == reason == "hint":
+            page.hints.add(path)
         page.order.append(path)
         places[tag].append(len(stack))
         stack.append((tag, path, kept, inside or holds))
@@ -257,7 +284,7 @@ def common_names(pages: list[Page], paths: Paths) -> tuple[list[Page], Paths]:
     for p in range(1, len(paths.parent)):
         tag = re.split("[.#]", paths.name[p], maxsplit=1)[0]
         place.append(merged.child(place[paths.parent[p]], paths.name[p] if on[paths.name[p]] > 1 else tag, paths.tag[p]))
-    return [Page([place[p] for p in page.order], [(place[b[0]], *b[1:]) for b in page.blocks]) for page in pages], merged
+    return [Page([place[p] for p in page.order], [(place[b[0]], *b[1:]) for b in page.blocks], {place[p] for p in page.hints}) for page in pages], merged
 
 
 @dataclass
@@ -327,6 +354,8 @@ class Template:
     #: Template words by path.
     words: dict[int, set[str]]
     names: bool
+    #: Chrome slots of the core and what lies in them; None where one page stands alone and hints are all there is.
+    inner: set[int] | None = None
 
 
 def own_words(pages: list[Page]) -> dict[int, set[str]]:
@@ -357,7 +386,7 @@ def _fixed(block: tuple, words: dict[int, set[str]], tag: str) -> bool:
 
 def named_root(page: Page, paths: Paths) -> tuple[int, int]:
     """(main or 0, article or 0): the page's only main, and only outermost article, with text that is not marked."""
-    held = {path for path, reason, _, _ in page.blocks if not reason}
+    held = {path for path, reason, _, _ in page.blocks if reason in ("", "hint")}
     for path in list(held):
         while path and paths.parent[path] not in held:
             path = paths.parent[path]
@@ -398,7 +427,7 @@ def deduce(pages: list[Page], paths: Paths, root: tuple[int, int] = (0, 0)) -> T
             new = sum(len(w) for w in said.split() if w not in here) if here else len(said)
             if reason == "name" and 2 * linked < len(said):
                 named[path] += new
-            if reason:
+            if reason and not (many and reason == "hint"):
                 continue
             text[path] += len(said)
             links[path] += linked
@@ -428,7 +457,41 @@ def deduce(pages: list[Page], paths: Paths, root: tuple[int, int] = (0, 0)) -> T
             pool = sum(k for k in fills[path].values() if k > 1) if many and path in once else 0
             if menu or 2 * pool > sum(fills[path].values()) and 2 * text[path] < text[0]:
                 chrome.add(path)
-    return Template(top, core, chrome, words, named[0] <= 2 * varies[0])
+    inner = inner_chrome(pages, paths, core, template, once, text, links) if many and core > 0 else None
+    return Template(top, core, chrome, words, named[0] <= 2 * varies[0], inner)
+
+
+def inner_chrome(pages: list[Page], paths: Paths, core: int, template: set[int], once: set[int], text: list[int], links: list[int]) -> set[int]:
+    """The chrome slots in an article, and all that lies in them."""
+    deep = [False] * len(paths.parent)
+    for path in range(1, len(deep)):
+        deep[path] = path == core or deep[paths.parent[path]]
+    fills: dict[int, Counter] = defaultdict(Counter)  # all that a path holds on a page, as a hash made from the leaves up
+    for page in pages:
+        said: dict[int, list[str]] = defaultdict(list)
+        for path, reason, block, _ in page.blocks:
+            if deep[path] and reason in ("", "hint"):
+                said[path].append(block)
+        below: dict[int, int] = defaultdict(int)
+        for path in sorted({p for p in page.order if deep[p]}, reverse=True):
+            if path in said or path in below:
+                fill = hash((path, tuple(said.get(path, ())), below.get(path, 0)))
+                fills[path][fill] += 1
+                below[paths.parent[path]] += fill
+    hints = set().union(*(page.hints for page in pages))
+    out: set[int] = set()
+    for path in range(core + 1, len(deep)):
+        if not deep[path]:
+            continue
+        on, pool = sum(fills[path].values()), sum(k for k in fills[path].values() if k > 1)
+        if paths.parent[path] in out:
+            out.add(path)
+        elif path in template and path in hints:
+            if 2 * links[path] >= text[path] or 2 * pool > on:
+                out.add(path)
+        elif path in once and paths.tag[path] in BOXES and len(pages) > 2 and len(fills[path]) == 1 and 10 * on >= 9 * len(pages) and 2 * text[path] < text[core]:
+            out.add(path)
+    return out
 
 
 def extract(page: Page, t: Template, paths: Paths) -> str:
@@ -450,10 +513,12 @@ def extract(page: Page, t: Template, paths: Paths) -> str:
         out, outside, heads = [], [], 0
         for block in page.blocks:
             path, reason, said, _ = block
+            under, deep = where(path)
+            if reason == "hint":
+                reason = "" if deep and t.inner is not None else "name"
             if reason and (names or reason != "name"):
                 continue
-            under, deep = where(path)
-            if deep or under and path not in t.chrome and not _fixed(block, t.words, paths.tag[path]):
+            if deep and not (names and t.inner and path in t.inner) or not deep and under and path not in t.chrome and not _fixed(block, t.words, paths.tag[path]):
                 out.append(said)
                 heads += paths.tag[path] == "h1"
             elif not under and paths.tag[path] == "h1" and not out and path not in t.chrome and not _fixed(block, t.words, "h1"):
@@ -484,7 +549,7 @@ def _alone(page: Page, paths: Paths, root: tuple[int, int]) -> Template:
     place = {p: i for i, p in enumerate(own)}
     few = Paths()
     few.parent, few.tag = [place[paths.parent[p]] for p in own], [paths.tag[p] for p in own]
-    small = Page([place[p] for p in page.order], [(place[b[0]], *b[1:]) for b in page.blocks])
+    small = Page([place[p] for p in page.order], [(place[b[0]], *b[1:]) for b in page.blocks], {place[p] for p in page.hints})
     t = deduce([small], few, (place[root[0]], place[root[1]]))
     return Template(own[t.root], own[t.core] if t.core > 0 else -1, {own[p] for p in t.chrome}, {}, t.names)
 

@@ -1,8 +1,10 @@
+from html.parser import HTMLParser
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hearth.llm import html_extract
+from hearth.llm import html_extract, queries
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{x}}</style><script>var a="</p><article>no";</script></head><body class="has-sidebar">
@@ -62,6 +64,67 @@ def test_html_names_yield_to_the_template():
     assert html_extract.extract_group(pages)[0] == "a" * 50 + "\na"
 
 
+def test_html_template_decides_inside_an_article():
+    links = "".join(f"<li><a href='/{x}'>{x} of the day</a>" for x in ("Read", "Watch"))
+
+    def page(i, c):
+        own = ("<section class='related-work'><h2>Related work</h2><p>Others, like " + c * 30 + "</p></section>") if i % 2 else ""
+        own += f"<div class='comment-section-analysis'><p>What readers said of {c * 25}</p></div><aside class='pull'>Quoth <b>{c * 9}</b> twice</aside>"
+        chrome = f"<div class=q7><p>Join our list today.</p></div><aside><ul>{links}</ul></aside><div class='related-posts'>{c} too</div><div class='promo-google'>{('Tea', 'Pie')[i % 2]}</div><div id='reader-comments'><p>{c} nice</p></div>"
+        return f"<body><article><h1>{c}</h1><p>{c * 60}</p>{own}<p>{c * 50}</p>{chrome}</article></body>"
+
+    pages = [page(i, c) for i, c in enumerate("abcdef")]
+    got = html_extract.extract_group(pages)
+    for i, (c, text) in enumerate(zip("abcdef", got)):
+        related = f"Related work\nOthers, like {c * 30}\n" if i % 2 else ""
+        assert text == f"{c}\n{c * 60}\n{related}What readers said of {c * 25}\nQuoth {c * 9} twice\n{c * 50}"
+    alone = html_extract.extract_group(pages[:1])[0]  # one page: hints are all there is, and what no name tells stays
+    assert "Quoth" not in alone and "of the day" not in alone and "Join our list" in alone and "nice" not in alone
+
+
+def test_html_equal_boxes_of_few_pages_stay():
+    pages = [f"<body><article><h1>{c}</h1><p>{c * 60}</p>{'<div class=box><p>Recipe for bread</p></div>' * (c in 'abc')}</article></body>" for c in "abcdef"]
+    assert [("bread" in t) for t in html_extract.extract_group(pages)] == [True] * 3 + [False] * 3
+
+
+class Article(HTMLParser):
+    """The blocks of a page's article, read by the standard library's parser, without its adverts."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.ads, self.blocks = 0, 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.ads += tag == "div" and (self.ads > 0 or ("class", "ad") in attrs)
+        self.depth += tag == "article"
+        if tag in ("p", "h1", "br", "div"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "div"):
+            self.blocks.append([])
+        self.ads -= tag == "div" and self.ads > 0
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth and not self.ads:
+            self.blocks[-1].append(data)
+
+
+def test_html_query_against_a_plain_reading(spark, sf):
+    def plain(html):
+        reader = Article()
+        reader.feed(html or "")
+        reader.close()
+        return "\n".join(filter(None, (" ".join("".join(b).split()) for b in reader.blocks)))
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = sorted((p.page_id, p.url, plain(p.html)) for p in pages)
+    got = queries.op9_html_text(spark, sf).collect()
+    assert sorted((r.page_id, r.url, r.text) for r in got) == want
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_html_near_copies_lose_nothing():
     pages = [f"<body><div class=w><h1>Same title</h1><p>One and the same paragraph but for {c}.</p></div>" for c in "abcdef"]
     assert html_extract.extract_group(pages)[0] == "Same title\nOne and the same paragraph but for a."
