@@ -50,17 +50,26 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running_sums(values: Column) -> Column:
+    """The sums of an array's first, first two, ... numbers, in as many passes as the size has binary digits: each adds what stands 1, 2, 4, ... places before."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)
+
+    def add(sums: Column, step: Column) -> Column:
+        back = F.pow(F.lit(2), step).cast("int")
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, add))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<said, start, end>> of all matches, in order; offsets count characters from 0."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-
-    def placed(said: Column, gaps: Column) -> Column:
-        def before(i: Column) -> Column:
-            return F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(said, 1, i), F.lit(0), lambda a, x: a + F.length(x))
+    between = F.split(text, pattern, -1)
 
-        return F.transform(said, lambda s, i: once(before(i), lambda at: F.struct(s.alias("said"), at.alias("start"), (at + F.length(s)).alias("end"))))
+    def placed(said: Column) -> Column:
+        lengths = F.zip_with(said, F.slice(between, 1, F.size(said)), lambda s, gap: F.length(gap) + F.length(s))
+        return F.zip_with(said, once(lengths, running_sums), lambda s, end: F.struct(s.alias("said"), (end - F.length(s)).alias("start"), end.alias("end")))
 
-    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda said: F.when(F.size(said) == 0, F.array().cast("array<struct<said:string,start:int,end:int>>")).otherwise(once(between, lambda gaps: placed(said, gaps))))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda said: F.when(F.size(said) == 0, F.array().cast("array<struct<said:string,start:int,end:int>>")).otherwise(placed(said)))
 
 
 def cued(text: Column, breaks: Column, start: Column, cues: tuple[str, ...], n: int) -> Column:

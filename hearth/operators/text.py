@@ -128,10 +128,12 @@ class Finder:
 
     def spans(self, low: str) -> list[tuple[int, int, str]]:
         """(start, end, phrase) at word bounds, by start."""
-        word = [c.isalnum() or c == "_" for c in low]
+
+        def word(i: int) -> bool:
+            return 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
 
         def bound(i: int) -> bool:
-            return (i > 0 and word[i - 1]) != (i < len(low) and word[i])
+            return word(i - 1) != word(i)
 
         met = [(e + 1 - len(p), e + 1, p) for e, p in self.automaton.iter(low)] if self.codes else []
         taken: list[tuple[int, int, str]] = []

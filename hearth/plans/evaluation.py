@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.operators import linkage, metrics, models, trace, trees
 from hearth.plans import plain
 from hearth.plans.views import read
+from hearth.session import scratch_dir
+from hearth.sources.writers import load_model, save_model
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +122,14 @@ def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
+def saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probabilities that a model gives after it was written and read again."""
+    rows = _model_rows(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(models.fit(rows, MODEL_FEATURES), path)
+    return models.with_probability(load_model(path), rows).select("doc_id", "p")
+
+
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of the fall of AUC over five repeats for each feature."""
     rows = _model_rows(spark, sf_dir)
@@ -187,7 +199,7 @@ def _ratio(a: str, b: str) -> str:
     return f"round(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END, 6)"
 
 
-QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, stratified_folds, risk_model_metrics, model_kinds, permutation_importance, tree_attribution, attribution_importance, source_explanations, tree_rules)}
+QUERIES = {f.__name__: plain(f) for f in (auc_by_stratum, average_precision, curve_points, metrics_by_dimension, calibration, confusion, threshold_curve, value_histogram, value_percentiles, blocked_pairs, record_linkage, linkage_summary, best_links, stratified_folds, risk_model_metrics, model_kinds, saved_model_scores, permutation_importance, tree_attribution, attribution_importance, source_explanations, tree_rules)}
 ORACLES = {
     "auc_by_stratum": f"WITH {SCORES_SQL} SELECT lang, n_pos, n_neg, round(auc, 6) AS auc FROM ({_auc('lang', 's')})",
     "average_precision": f"WITH {_POINTS_SQL} SELECT lang, round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(sum(pos), 0), 6) AS average_precision FROM pts GROUP BY 1",

@@ -89,6 +89,22 @@ def note_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.scores(spans.matched(gold, found), ["kind"])
 
 
+def note_overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities against themselves with places moved by doc_id modulo 6: matched if they overlap."""
+    found = note_entities(spark, sf_dir).select("doc_id", "kind", "char_start", "char_end")
+    by = (F.col("doc_id") % 6).cast("int")
+    gold = found.withColumns({"char_start": F.col("char_start") + by, "char_end": F.col("char_end") + by})
+    return spans.scores(spans.matched(gold, found, overlap=True), ["kind"])
+
+
+def note_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simple gold annotation: longest phrases first, cues within so many characters before."""
+    lexicons: dict[str, dict[str, str]] = {}
+    for r in _lexicon(spark).collect():  # a vocabulary
+        lexicons.setdefault(r.kind, {})[r.phrase] = r.code
+    return text.gold(_notes(spark, sf_dir), lexicons, notes.NEGATIONS, notes.HEDGES)
+
+
 def note_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities under .8, with a reviewer's decision where there is one."""
     found = note_entities(spark, sf_dir)
@@ -130,7 +146,7 @@ _RESOURCE_SQL = """r AS (SELECT *, CASE kind WHEN 'condition' THEN 'Condition' W
 j AS (SELECT *, '{"resourceType":"' || rt || '","code":"' || code || '"' || CASE WHEN rt = 'Condition' THEN ',"verificationStatus":"' || CASE WHEN negated THEN 'refuted' WHEN uncertain THEN 'provisional' ELSE 'confirmed' END || '"' ELSE '' END
   || CASE WHEN kind = 'symptom' THEN ',"valueBoolean":' || CASE WHEN negated THEN 'false' ELSE 'true' END ELSE '' END || ',"provenance":{"authorship":"ai-extracted","confidence":' || confidence || ',"text":"' || text || '","char_start":' || char_start || ',"char_end":' || char_end || '}}' AS resource FROM r)"""
 
-QUERIES = {f.__name__: plain(f) for f in (lexicon_terms, note_measures, note_entities, note_persons, note_bundles, note_authorship, note_span_scores, note_low_confidence)}
+QUERIES = {f.__name__: plain(f) for f in (lexicon_terms, note_measures, note_entities, note_persons, note_bundles, note_authorship, note_span_scores, note_overlap_scores, note_gold, note_low_confidence)}
 ORACLES = {
     "lexicon_terms": """SELECT * FROM (VALUES ('coccidioidomycosis (valley fever)', 'condition', 'C1', 'Coccidioidomycosis (Valley fever)'), ('coccidioidomycosis', 'condition', 'C1', 'Coccidioidomycosis (Valley fever)'), ('valley fever', 'condition', 'C1', 'Coccidioidomycosis (Valley fever)'),
 ('cocci', 'condition', 'C1', 'Coccidioidomycosis (Valley fever)'), ('coxiellosis (q fever)', 'condition', 'C2', 'Coxiellosis (Q fever)'), ('coxiellosis', 'condition', 'C2', 'Coxiellosis (Q fever)'), ('q fever', 'condition', 'C2', 'Coxiellosis (Q fever)'),
@@ -143,5 +159,11 @@ ORACLES = {
     "note_span_scores": f"""WITH {_ENTITY_SQL}, o AS (SELECT kind, kind <> 'symptom' OR doc_id % 2 = 0 AS gold, doc_id % 5 < 4 AS near FROM e),
 c AS (SELECT kind, count(*) FILTER (gold AND near) AS tp, count(*) FILTER (NOT (gold AND near)) AS fp, count(*) FILTER (gold AND NOT near) AS fn FROM o GROUP BY ROLLUP (kind))
 SELECT kind, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c""",
+    "note_overlap_scores": f"""WITH {_ENTITY_SQL}, o AS (SELECT kind, doc_id % 6 < length(text) AS near FROM e),
+c AS (SELECT kind, count(*) FILTER (near) AS tp, count(*) FILTER (NOT near) AS fp, count(*) FILTER (NOT near) AS fn FROM o GROUP BY ROLLUP (kind))
+SELECT kind, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c""",
+    "note_gold": f"""WITH {_ENTITY_SQL}, x AS (SELECT e.doc_id, e.kind, code, char_start, char_end, lower(age || '-year-old ' || word || ' seen ' || dur || '. BP ' || sys || '/' || dia || ', HR ' || hr || ', RR ' || rr || ', T ' || temp || ', SpO2 ' || spo2 || '%. ' || tick || '. ' || tail) AS low FROM e JOIN t USING (doc_id)),
+w AS (SELECT *, low[greatest(char_start - 29, 1):char_start] AS n30, low[greatest(char_start - 49, 1):char_start] AS n50 FROM x)
+SELECT doc_id, kind, code, char_start, char_end, {' OR '.join(f"strpos(n30, '{c}') > 0" for c in notes.NEGATIONS)} AS negated, {' OR '.join(f"strpos(n50, '{c}') > 0" for c in notes.HEDGES)} AS uncertain FROM w""",
     "note_low_confidence": f"WITH {_ENTITY_SQL} SELECT kind, CASE WHEN doc_id % 4 = 0 THEN 'kept' ELSE 'pending' END AS decision, count(*) AS n FROM e WHERE confidence < 0.8 GROUP BY 1, 2",
 }

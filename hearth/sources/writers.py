@@ -28,6 +28,10 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def bundle(tables: dict[str, DataFrame]) -> DataFrame:
     """All tables as (table, row) with each row as JSON."""
     parts = [df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in tables.items()]

@@ -1,11 +1,13 @@
 """Functions that no registered query uses, each on a few rows."""
 
 import datetime as dt
+import hashlib
+import re
 
 from pyspark.sql import functions as F
 
 from hearth.functions import dates, numbers, strings
-from hearth.operators import detect, federate, generate, graph, members, messages, models, policy, text
+from hearth.operators import detect, federate, generate, graph, members, messages, models, notes, policy, text
 from hearth.sources import readers, writers
 from hearth.streaming import live
 
@@ -84,6 +86,8 @@ def test_model_saved_and_catalog(spark, tmp_path):
     assert models.tree_importance(model, ["a", "b"])[0][0] == "a"
     writers.save_model(model, str(tmp_path / "m"))
     assert (tmp_path / "m" / "metadata").exists()
+    again = models.with_probability(writers.load_model(str(tmp_path / "m")), rows).select("id", "p").collect()
+    assert sorted(again) == sorted(models.with_probability(model, rows).select("id", "p").collect())
     assert {r.fold for r in models.hashed_folds(rows, "id").collect()} <= set(range(5))
     readers.register(spark, {"small_rows": rows})
     assert spark.table("small_rows").count() == 24
@@ -144,3 +148,13 @@ def test_federated_fit_takes_local_steps(spark):
             fits.append(w)
         shared = shared + 0.5 * (np.mean(fits, 0) - shared)
     assert np.allclose(got, shared) and history[-1]["sites"] == 2 and history[-1]["rows"] == 90
+
+
+def test_many_matches_and_digests_against_plain_python(spark):
+    texts = ["", "none", "a1b22", *("x" * (n % 3) + "".join(f"{k}{'yz' * (k % 4)}q" for k in range(n)) for n in range(1, 40))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", notes.matches(F.col("t"), "[0-9]+").alias("m"), numbers.digest_bucket(F.col("t"), 97).alias("b"), numbers.digest_bucket(F.col("t"), 1 << 27).alias("c")).collect()
+    for r in got:
+        assert [tuple(m) for m in r.m] == [(m[0], m.start(), m.end()) for m in re.finditer("[0-9]+", r.t)]
+        digest = int(hashlib.sha256(r.t.encode()).hexdigest(), 16)
+        assert (r.b, r.c) == (digest % 97, digest % (1 << 27))
