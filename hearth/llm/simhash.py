@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, dropped, met, unused, written
+from .shared import components, dropped, merged, met, unused, written
 
 
 def fingerprints_of(texts: list[str], width: int, seed: int) -> np.ndarray:
@@ -112,27 +112,27 @@ def linked(fps: DataFrame, distance: int = 4, hot_bucket: int = 64) -> DataFrame
     variants = nodes.select("fp", keys)
     groups = written(variants.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).where("first < last"), "buckets")
     near = close("fp", "first") & (F.col("fp") != F.col("first")) | close("fp", "last") & (F.col("fp") != F.col("last"))
-    ends = variants.join(groups.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near).select("fp", F.when(close("fp", "first"), F.col("first")).alias("b1"), F.when(close("fp", "last"), F.col("last")).alias("b2"))
+    ends = variants.join(merged(groups.withColumnRenamed("key", "k")), (F.col("key") == F.col("k")) & near).select("fp", F.when(close("fp", "first"), F.col("first")).alias("b1"), F.when(close("fp", "last"), F.col("last")).alias("b2"))
     stars = ends.select(F.col("fp").alias("a"), F.explode(F.array("b1", "b2")).alias("b")).where("a != b").distinct()
     first = written(components(stars), "components")
 
     # links between components: all members of a bucket meet; in a large one only those outside its largest component meet all
-    labelled = nodes.select("fp").join(first, F.col("fp") == first.id, "left").select("fp", F.coalesce("component", "fp").alias("c")).select("fp", "c", keys)
+    labelled = nodes.select("fp").join(merged(first), F.col("fp") == first.id, "left").select("fp", F.coalesce("component", "fp").alias("c")).select("fp", "c", keys)
     large = written(groups.where(F.col("n") > hot_bucket).select("key"), "large")
-    small = labelled.join(large, "key", "left_anti")
+    small = labelled.join(merged(large), "key", "left_anti")
     a, b = small.selectExpr("key", "fp fp1", "c c1"), small.selectExpr("key", "fp fp2", "c c2")
-    rest = a.join(b, (a.key == b.key) & (F.col("c1") < F.col("c2")) & close("fp1", "fp2")).selectExpr("c1 a", "c2 b")
-    inside = written(labelled.join(large, "key"), "members")
+    rest = a.join(merged(b), (a.key == b.key) & (F.col("c1") < F.col("c2")) & close("fp1", "fp2")).selectExpr("c1 a", "c2 b")
+    inside = written(labelled.join(merged(large), "key"), "members")
     major = inside.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("major"))
-    minor = inside.join(major, (F.col("key") == F.col("k")) & (F.col("c") != F.col("major"))).selectExpr("key", "fp fp1", "c c1")
+    minor = inside.join(merged(major), (F.col("key") == F.col("k")) & (F.col("c") != F.col("major"))).selectExpr("key", "fp fp1", "c c1")
     others = inside.selectExpr("key other", "fp fp2", "c c2")
-    rest = rest.union(minor.join(others, (F.col("key") == F.col("other")) & (F.col("c1") != F.col("c2")) & close("fp1", "fp2")).select(F.least("c1", "c2"), F.greatest("c1", "c2"))).distinct()
+    rest = rest.union(minor.join(merged(others), (F.col("key") == F.col("other")) & (F.col("c1") != F.col("c2")) & close("fp1", "fp2")).select(F.least("c1", "c2"), F.greatest("c1", "c2"))).distinct()
     second = components(rest).withColumnRenamed("component", "c2").withColumnRenamed("id", "c1")
-    whole = nodes.join(first.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
-    whole = written(whole.join(second, whole.c == second.c1, "left").select("fp", "id", F.coalesce("c2", "c").alias("c")), "labels")
+    whole = nodes.join(merged(first.withColumnRenamed("id", "fp")), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
+    whole = written(whole.join(merged(second), whole.c == second.c1, "left").select("fp", "id", F.coalesce("c2", "c").alias("c")), "labels")
     # the least ids are a table of their own, so that adaptive execution can split a label that many fingerprints bear
     names = written(whole.groupBy("c").agg(F.min("id").alias("component")), "names")
-    out = written(whole.join(names, "c").select("fp", "component"), "groups")
+    out = written(whole.join(merged(names), "c").select("fp", "component"), "groups")
     dropped(groups, large, inside, first, whole, names)
     return out
 
@@ -141,7 +141,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """id_col, fingerprint (16 hexadecimal digits) and component_id of every row."""
     fps = written(fingerprints(docs, id_col, text, width, seed), "fingerprints")
     names = linked(fps, distance)
-    return fps.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return fps.join(merged(names), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -149,7 +149,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **h
     stays, turn = (unused(name, docs) for name in ("stays", "turn"))
     groups = simhash_groups(docs, id_col, text, **how)
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(stays)).distinct()
-    named = docs.join(stay, docs[id_col] == stay[stays], "left_semi")
+    named = docs.join(merged(stay), docs[id_col] == stay[stays], "left_semi")
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
     named = named.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
     return named.unionByName(docs.where(F.col(id_col).isNull()))
@@ -227,14 +227,14 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
     variants = nodes.select("id", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
     found = variants.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x < y")
     x, y = (nodes.select(F.col("id").alias(e), F.col("f0").alias(f"{e}0"), F.col("f1").alias(f"{e}1")) for e in ("x", "y"))
-    groups = written(found.withColumnRenamed("key", "k").join(x, "x").join(y, "y"), "buckets")
+    groups = written(found.withColumnRenamed("key", "k").join(merged(x), "x").join(merged(y), "y"), "buckets")
     to_x, to_y = (apart("f", e) <= distance for e in ("x", "y"))
-    ends = variants.join(groups, (F.col("key") == F.col("k")) & (to_x & (F.col("id") != F.col("x")) | to_y & (F.col("id") != F.col("y"))))
+    ends = variants.join(merged(groups), (F.col("key") == F.col("k")) & (to_x & (F.col("id") != F.col("x")) | to_y & (F.col("id") != F.col("y"))))
     stars = ends.select(F.col("id").alias("a"), F.explode(F.array(F.when(to_x, F.col("x")), F.when(to_y, F.col("y")))).alias("b")).where("a != b").distinct()
     first = written(components(stars), "components")
 
-    labelled = nodes.join(first.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")).select("c", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
-    shared = written(labelled.join(groups.select(F.col("k").alias("key"), "n"), "key"), "members")
+    labelled = nodes.join(merged(first.withColumnRenamed("component", "c")), "id", "left").withColumn("c", F.coalesce("c", "id")).select("c", "f0", "f1", F.explode(F.array(*keys)).alias("key"))
+    shared = written(labelled.join(merged(groups.select(F.col("k").alias("key"), "n")), "key"), "members")
     major = shared.where(F.col("n") > hot_bucket).groupBy("key", "c").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("major"))
     small = shared.where(F.col("n") <= hot_bucket)
     minor = met(shared.where(F.col("n") > hot_bucket), major.withColumnRenamed("k", "key"), "key").where("c <> major")
@@ -243,8 +243,8 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
         return rows.select(F.col("key").alias(f"k{name}"), F.col("c").alias(f"c{name}"), F.col("f0").alias(f"{name}0"), F.col("f1").alias(f"{name}1"))
 
     close = apart("p", "q") <= distance
-    rest = side(small, "p").join(side(small, "q"), (F.col("kp") == F.col("kq")) & (F.col("cp") < F.col("cq")) & close).select(F.col("cp").alias("a"), F.col("cq").alias("b"))
-    more = side(minor, "p").join(side(shared.where(F.col("n") > hot_bucket), "q"), (F.col("kp") == F.col("kq")) & (F.col("cp") != F.col("cq")) & close).select(F.least("cp", "cq").alias("a"), F.greatest("cp", "cq").alias("b"))
+    rest = side(small, "p").join(merged(side(small, "q")), (F.col("kp") == F.col("kq")) & (F.col("cp") < F.col("cq")) & close).select(F.col("cp").alias("a"), F.col("cq").alias("b"))
+    more = side(minor, "p").join(merged(side(shared.where(F.col("n") > hot_bucket), "q")), (F.col("kp") == F.col("kq")) & (F.col("cp") != F.col("cq")) & close).select(F.least("cp", "cq").alias("a"), F.greatest("cp", "cq").alias("b"))
     # one more run of components over both kinds of links gives the labels without joining on one that many bear
     found = written(components(first.selectExpr("id a", "component b").union(rest.union(more).distinct())), "candidates")
     dropped(groups, first, shared)
@@ -283,11 +283,11 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     nodes = prints.groupBy("f0", "f1").agg(F.min("id").alias("id"))
     labels = near_candidates(nodes, distance, segment_bits)
     # texts of one fingerprint are candidates too
-    grouped = prints.join(nodes.withColumnRenamed("id", "node"), ["f0", "f1"]).join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", "h1", "h2", F.coalesce("c", "node").alias("c"))
+    grouped = prints.join(merged(nodes.withColumnRenamed("id", "node")), ["f0", "f1"]).join(merged(labels.withColumnRenamed("id", "node")), "node", "left").select("id", "h1", "h2", F.coalesce("c", "node").alias("c"))
     grouped = written(grouped, "grouped")
     sizes = written(grouped.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "sizes")
-    open_ = written(grouped.join(sizes, "c"), "open")
-    held = keyed.join(open_.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    open_ = written(grouped.join(merged(sizes), "c"), "open")
+    held = keyed.join(merged(open_.select("id", "h1", "h2")), ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
     def hashed(batches):
         for batch in batches:
@@ -297,24 +297,24 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least_hashes, pa.list_(pa.int64()))], names=["id", "text", "mins"])
 
     texts = written(held.mapInArrow(K.tidy(hashed), "id long, text string, mins array<long>"), "open_texts")
-    open_ = written(open_.select("id", "c").distinct().join(texts.select("id", "mins"), "id"), "open")
+    open_ = written(open_.select("id", "c").distinct().join(merged(texts.select("id", "mins")), "id"), "open")
     least = prints.select("id").distinct()
     links = []
     for r in range(-at_once, functions, at_once):
         keys = F.array(*[F.struct(F.lit(k).alias("f"), F.col("mins")[k].alias("m")) for k in range(r, min(r + at_once, functions))]) if r >= 0 else F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).cast("long").alias("m")))
         at = open_.select(F.col("id").alias("a"), "c", F.inline(keys))
         heads = written(at.groupBy("c", "f", "m").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("c", "f", "m", "b"), "heads")
-        pairs = at.join(heads, ["c", "f", "m"]).where("a <> b").select("a", "b").distinct()
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs = at.join(merged(heads), ["c", "f", "m"]).where("a <> b").select("a", "b").distinct()
+        both = pairs.join(merged(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))), "a").join(merged(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))), "b")
         links.append(written(alike(both, width, similarity), "links"))
-        open_, before = written(open_.join(links[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "open"), open_
+        open_, before = written(open_.join(merged(links[-1].select(F.col("a").alias("id")).distinct()), "id", "left_anti"), "open"), open_
         dropped(heads, before)
         if open_.isEmpty():
             break
     gone = components(reduce(DataFrame.union, links)).where("id <> component").select("id")
-    stay = written(least.join(gone, "id", "left_anti"), "stay")
+    stay = written(least.join(merged(gone), "id", "left_anti"), "stay")
     dropped(texts, *links)
-    kept = named.join(stay.withColumnRenamed("id", stays), F.col(id_col).cast("long") == F.col(stays), "left_semi")
+    kept = named.join(merged(stay.withColumnRenamed("id", stays)), F.col(id_col).cast("long") == F.col(stays), "left_semi")
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
     kept = kept.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -74,3 +74,23 @@ def test_one_of_alike_on_clouds_chains_and_odd_rows(spark, odd, empty):
     got = simhash.one_of_alike(odd)
     ids = [r.doc_id for r in got.where("doc_id IS NOT NULL").collect()]
     assert len(ids) == len(set(ids)) and got.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
+
+
+def test_no_join_passes_its_side_through_the_driver(spark, documents, tmp_path, monkeypatch):
+    """Small enough for a broadcast, but the sides grow with the input."""
+    from hearth.llm import shared
+
+    plans = []
+    plainly = shared.written
+
+    def heard(df, name):
+        out = plainly(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    for module in (shared, simhash):
+        monkeypatch.setattr(module, "written", heard)
+    for found in (simhash.simhash_groups(documents), simhash.one_of_alike(documents)):
+        found.collect()
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
