@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.operators import detect, encounters, trace
-from hearth.plans import plain
+from hearth.plans import plain, small_tasks
 from hearth.plans import features as feature_plans
 from hearth.plans import surveillance as s
 from hearth.plans.features import INDICES_SQL, ORDERS_SQL
@@ -146,7 +146,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) A
 vs AS (SELECT event_type, count(*) AS k, avg(n) FILTER (rn <= 4) AS l, avg(n) FILTER (rn > 4) AS r, stddev_samp(n) FILTER (rn > 4) AS sd, CAST(sum(n) FILTER (rn <= 4) AS BIGINT) AS total FROM vr GROUP BY 1),
 vz AS (SELECT *, round((l - r) / nullif(sd, 0), 6) AS z FROM vs WHERE k >= 8)"""
 
-QUERIES = {f.__name__: plain(f) for f in (encounter_features, alerts_all, alerts_numbered, tracing_curve, tracing_by_index, contact_strata, cross_kind_signal)}
+QUERIES = {f.__name__: plain(f) for f in (encounter_features, tracing_curve, tracing_by_index, contact_strata, cross_kind_signal)} | {f.__name__: plain(small_tasks(*s.CASE_TABLES)(f)) for f in (alerts_all, alerts_numbered)}
 ORACLES = {
     "encounter_features": _FEATURES_SQL,
     "alerts_all": f"""WITH {s._ALERTS_SQL}, {_VECTOR_SQL}, rules(code, level) AS (VALUES {", ".join(f"('{c}', '{r}')" for c, r in s.RULES)}),

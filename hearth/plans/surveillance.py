@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.operators import detect, graph, members as member_ops
-from hearth.plans import dated, plain
+from hearth.plans import dated, plain, small_tasks
 from hearth.plans.views import DAILY_SQL, KINDS, MEMBERS_SQL, MONTHLY_SQL, cases, cases_sql, daily_events, members, monthly_orders, read
 
 CODES = [f"Brand#{i}{j}-{s}" for i in range(1, 6) for j in range(1, 6) for s in (1, 2, 3)]
@@ -150,7 +150,10 @@ _GRAPH_SQL = f"""{MEMBERS_SQL},
 vs AS (SELECT 'R' || r_regionkey AS id, 'Region' AS type, r_name AS label FROM region UNION ALL SELECT 'N' || n_nationkey, 'Group', n_name FROM nation UNION ALL SELECT ref, 'Member', kind FROM members),
 es AS (SELECT 'N' || n_nationkey AS source, 'R' || n_regionkey AS target, 'LOCATED_IN' AS kind FROM nation UNION ALL SELECT ref, 'N' || group_id, 'LIVES_IN' FROM members UNION ALL SELECT 'C' || o_custkey, 'P' || substr(o_orderpriority, 1, 1), 'HAS_PRIORITY' FROM orders)"""
 
-QUERIES = {f.__name__: plain(f) for f in (cross_kind_clusters, cluster_secondaries, at_risk_members, at_risk_counts, at_risk_asked, prophylactic_groups, graph_stats, graph_export, graph_hops, region_rule_join, vector_anomaly, sentinel_cases, alerts_ranked, worst_per_group, noised_counts, member_kinds)}
+#: Sorts and sums over all cases.
+_BY_CASE = (cross_kind_clusters, cluster_secondaries, at_risk_members, at_risk_counts, at_risk_asked, prophylactic_groups, region_rule_join, alerts_ranked, worst_per_group)
+CASE_TABLES = ("lineitem", "orders")
+QUERIES = {f.__name__: plain(f) for f in (graph_stats, graph_export, graph_hops, vector_anomaly, sentinel_cases, noised_counts, member_kinds)} | {f.__name__: plain(small_tasks(*CASE_TABLES)(f)) for f in _BY_CASE}
 ORACLES = {
     "cross_kind_clusters": f"WITH {_CLUSTERS_SQL} SELECT * FROM clusters",
     "cluster_secondaries": f"""WITH {_CLUSTERS_SQL},

@@ -158,3 +158,16 @@ def test_many_matches_and_digests_against_plain_python(spark):
         assert [tuple(m) for m in r.m] == [(m[0], m.start(), m.end()) for m in re.finditer("[0-9]+", r.t)]
         digest = int(hashlib.sha256(r.t.encode()).hexdigest(), 16)
         assert (r.b, r.c) == (digest % 97, digest % (1 << 27))
+
+
+def test_small_tasks_read_little_at_any_size(spark, sf, tmp_path):
+    from hearth.plans import encounters, small_tasks, surveillance
+
+    big = spark.range(3_000_000).select("id", F.md5(F.col("id").cast("string")).alias("x"))
+    big.coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(str(tmp_path / "t.parquet"))
+    read = small_tasks("t")(lambda s, d: s.read.parquet(f"{d}/t.parquet"))(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() > spark.read.parquet(str(tmp_path / "t.parquet")).rdd.getNumPartitions()
+    assert int(read.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, plan in (("cross_kind_clusters", surveillance), ("worst_per_group", surveillance), ("at_risk_asked", surveillance), ("alerts_numbered", encounters)):
+        assert plan.QUERIES[name](spark, sf).sparkSession.conf.get("spark.sql.files.maxPartitionBytes") == "8m"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "8m"
