@@ -10,6 +10,7 @@ Both tell their schema from the table that they are given.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Row, SparkSession
@@ -95,7 +96,84 @@ class GroupFit:
             yield self.n, [*self.names, "constant"], found.tolist()
 
 
+@dataclass
+class Told(AnalyzeResult):
+    """What `analyze` found, for the workers: the columns to sum, the one to fit last."""
+
+    names: tuple[str, ...] = ()
+
+
+class GroupSums:
+    """Sums of products for a fit, for each partition of the table; the first column names the group.
+
+    A group may be dealt over many partitions: group_solved adds their sums.
+    """
+
+    BLOCK = 4096
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, target: AnalyzeArgument) -> Told:
+        if not rows.isTable:
+            raise ValueError("group_sums takes a table")
+        said, (first, *rest) = _constant(target, "the column to fit"), rows.dataType.fields
+        names = [f.name for f in rest if isinstance(f.dataType, NumericType)]
+        if said not in names:
+            raise ValueError(f"no numeric column {said}")
+        names.remove(said)
+        sums = [StructField(c, ArrayType(DoubleType())) for c in ("products", "moments")]
+        return Told(StructType([StructField(first.name, first.dataType), StructField("n", LongType()), StructField("features", ArrayType(StringType())), *sums]), names=(*names, said))
+
+    def __init__(self, told: Told) -> None:
+        self.names, self.at, self.key, self.n, self.held = told.names, None, None, 0, []
+        self.sums = np.zeros((len(self.names), len(self.names) + 1))
+
+    def add(self) -> None:
+        if self.held:
+            x = np.array(self.held, np.float64)
+            features = np.column_stack([x[:, :-1], np.ones(len(x))])
+            self.sums += features.T @ np.column_stack([features, x[:, -1]])
+            self.n, self.held = self.n + len(x), []
+
+    def eval(self, row: Row, target: str):
+        if self.at is None:
+            self.key, self.at = row[0], [row.__fields__.index(c) for c in self.names]
+        values = [row[i] for i in self.at]
+        if None not in values:
+            self.held.append(values)
+            if len(self.held) >= self.BLOCK:
+                self.add()
+
+    def terminate(self):
+        self.add()
+        if self.n:
+            yield self.key, self.n, [*self.names[:-1], "constant"], self.sums[:, :-1].ravel().tolist(), self.sums[:, -1].tolist()
+
+
+class GroupSolved:
+    """The fit of each partition of rows of group_sums, a row for each part of a group; as from group_fit."""
+
+    @staticmethod
+    def analyze(sums: AnalyzeArgument) -> AnalyzeResult:
+        if not sums.isTable or [f.name for f in sums.dataType.fields][1:] != ["n", "features", "products", "moments"]:
+            raise ValueError("group_solved takes rows of group_sums")
+        return AnalyzeResult(StructType([StructField("n", LongType()), StructField("features", ArrayType(StringType())), StructField("coefficients", ArrayType(DoubleType()))]))
+
+    def __init__(self) -> None:
+        self.n, self.names, self.products, self.moments = 0, None, 0.0, 0.0
+
+    def eval(self, row: Row):
+        k = len(row["features"])
+        self.names, self.n = row["features"], self.n + row["n"]
+        self.products, self.moments = self.products + np.array(row["products"]).reshape(k, k), self.moments + np.array(row["moments"])
+
+    def terminate(self):
+        if self.n:
+            yield self.n, self.names, np.linalg.lstsq(self.products, self.moments, rcond=None)[0].tolist()
+
+
 def register(spark: SparkSession) -> None:
-    """note_entities and group_fit as functions of the session's SQL."""
+    """note_entities, group_fit, group_sums and group_solved as functions of the session's SQL."""
     spark.udtf.register("note_entities", udtf(NoteEntities))
     spark.udtf.register("group_fit", udtf(GroupFit))
+    spark.udtf.register("group_sums", udtf(GroupSums))
+    spark.udtf.register("group_solved", udtf(GroupSolved))

@@ -46,9 +46,9 @@ def matched(gold: DataFrame, predicted: DataFrame, tolerance: int = 3, overlap:
     sides = both.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("g", "p")])
 
     def run(batches):
-        for batch in batches:
-            docs, kinds, out = batch.column(0), batch.column(1), []
-            for k, (g, p) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+            docs, kinds, out = part.column(0), part.column(1), []
+            for k, (g, p) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
                 g, p = ([(s["char_start"], s["char_end"]) for s in side] for side in (g, p))
                 out += [(k, *row) for row in merged(g, p, tolerance, overlap)]
             if out:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions.numbers import digest_bucket
 from hearth.operators import federate, members as member_ops, messages, metrics, policy, series, spans, text
-from hearth.plans import dated, plain
+from hearth.plans import dated, few_rows, plain
 from hearth.plans.views import DAILY_SQL, MEMBERS_SQL, daily_events, members, read
 from hearth.session import scratch_dir
 from hearth.sources.readers import spread
@@ -207,8 +207,9 @@ _CASES_SQL = "k AS (SELECT o_orderkey AS case_id, 'C' || o_custkey AS ref, o_ord
 
 QUERIES = {
     f.__name__: plain(f)
-    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, span_scores, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, federated_sites, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
+    for f in (keyword_counts, sentence_phases, phase_counts, lexicon_spans, document_bundles, authorship, site_partition, site_counters, site_manifest, fan_out, weighted_vectors, federated_model, federated_sites, provider_assignment, panel_filter, co_members, consent_gate, consent_summary, lab_reports, submissions, case_payloads, workflow_state, recent_orders, member_listing, member_search, event_trend, trailing_means, streamed_windows)
 }
+QUERIES["span_scores"] = plain(few_rows(span_scores))
 ORACLES = {
     "keyword_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x : x = 'and')) AS BIGINT) AS n_and, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS BIGINT) AS n_numbers, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS BIGINT) AS n_mail FROM documents""",
     "sentence_phases": f"WITH {_PHASES_SQL} SELECT doc_id, CAST(sentence_no AS INTEGER) AS sentence_no, phase, confidence, md5(sentence) AS sentence_md5 FROM ph",

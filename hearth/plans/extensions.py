@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hearth.functions import paths, tables
 from hearth.functions.strings import by_locale
 from hearth.operators import lookup, members as member_ops, notes, text
-from hearth.plans import exchange, plain
+from hearth.plans import exchange, few_rows, plain
 from hearth.plans import notes as note_plans
 from hearth.plans.exchange import _SITES_SQL
 from hearth.plans.views import read
@@ -112,11 +112,13 @@ def note_entities_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_fit_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line through discount and price of each return flag's line items, fitted by a table function with the flag as its partition."""
+    """The line through discount and price of each return flag's line items: a table function sums each flag's rows in as many parts as shuffles have, another fits the sums."""
     own = own_session(spark)
     tables.register(own)
-    read(own, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity")).createOrReplaceTempView("items")
-    found = own.sql("SELECT * FROM group_fit(TABLE(SELECT * FROM items) PARTITION BY (l_returnflag), 'price')")
+    parts = int(own.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).cast("string").alias("part")
+    read(own, sf_dir, "lineitem").select("l_returnflag", part, (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity")).createOrReplaceTempView("items")
+    found = own.sql("SELECT * FROM group_solved(TABLE(SELECT * FROM group_sums(TABLE(SELECT * FROM items) PARTITION BY (l_returnflag, part), 'price')) PARTITION BY (l_returnflag))")
     return found.select("n", F.round(F.col("coefficients")[0], 5).alias("slope"), F.round(F.col("coefficients")[1], 4).alias("constant"))
 
 
@@ -150,7 +152,7 @@ def collated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_ops.named(words, "word", others, "name").select("word", F.col("name").cast("string").alias("name"))
 
 
-QUERIES = {f.__name__: plain(f) for f in (phrase_hits, priority_lookup, keyed_states, replayed_log, site_store_fetch, note_entities_by_sql, group_fit_by_sql, fallback_paths, collated_order, collated_names)}
+QUERIES = {"phrase_hits": plain(few_rows(phrase_hits))} | {f.__name__: plain(f) for f in (priority_lookup, keyed_states, replayed_log, site_store_fetch, note_entities_by_sql, group_fit_by_sql, fallback_paths, collated_order, collated_names)}
 _WORDS_SQL = "words AS (SELECT DISTINCT regexp_extract(text, '^([A-Za-zÀ-ÖØ-öø-ÿ]+)', 1) AS word FROM documents WHERE regexp_extract(text, '^([A-Za-zÀ-ÖØ-öø-ÿ]+)', 1) <> '')"
 _SHAPES_SQL = """s AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CAST(json_object('message', json_object('body', json_object('text', text))) AS VARCHAR)
   WHEN 1 THEN CAST(json_object('body', json_object('text', text), 'message', role) AS VARCHAR) WHEN 2 THEN CAST(json_object('text', text, 'body', json_array(turn)) AS VARCHAR) ELSE 'no JSON ' || role END AS j FROM conversations),
