@@ -171,3 +171,37 @@ def test_small_tasks_read_little_at_any_size(spark, sf, tmp_path):
     for name, plan in (("cross_kind_clusters", surveillance), ("worst_per_group", surveillance), ("at_risk_asked", surveillance), ("alerts_numbered", encounters)):
         assert plan.QUERIES[name](spark, sf).sparkSession.conf.get("spark.sql.files.maxPartitionBytes") == "8m"
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "8m"
+
+
+def test_group_sums_over_many_parts_fit_like_one_group(spark):
+    from hearth.functions import tables
+    from hearth.session import own_session
+
+    own = own_session(spark)
+    tables.register(own)
+    rows = [("g", str(i % 3), float(i), 3.0 * i + 2 if i % 7 else None) for i in range(10_000)] + [("h", None, 1.0, 1.0)]
+    own.createDataFrame(rows, "g string, part string, x double, y double").createOrReplaceTempView("parts")
+    sums = own.sql("SELECT * FROM group_sums(TABLE(parts) PARTITION BY (g, part), 'y')")
+    assert sums.count() == 4
+    got = own.sql("SELECT * FROM group_solved(TABLE(SELECT * FROM group_sums(TABLE(parts) PARTITION BY (g, part), 'y')) PARTITION BY (g))")
+    assert {r.n: [round(c, 4) for c in r.coefficients] for r in got.collect()} == {sum(i % 7 > 0 for i in range(10_000)): [3.0, 2.0], 1: [0.5, 0.5]}
+
+
+def test_generated_rows_follow_given_tables(spark, sf):
+    from hearth.plans import access, notes as note_plans
+
+    count = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "supplier", "part")}
+    assert access.QUERIES["generated_members"](spark, sf).select("group_id").distinct().count() == count["customer"]
+    assert access.QUERIES["generated_series"](spark, sf).count() == 26 * count["supplier"]
+    assert {r.document: r.n for r in access.QUERIES["missing_document"](spark, sf).collect()} == {"present": count["supplier"], "missing": 0}
+    assert note_plans.QUERIES["lexicon_terms"](spark, sf).select("code").distinct().count() > 3
+
+
+def test_notes_are_dealt_by_the_size_of_their_table(spark, sf, monkeypatch):
+    from hearth.plans import exchange, extensions, notes as note_plans
+
+    monkeypatch.setattr(note_plans, "STORED", 1 << 10)
+    rows = note_plans._notes(spark, sf)
+    assert rows.rdd.getNumPartitions() > 8 and rows.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    for query in (exchange.QUERIES["span_scores"], extensions.QUERIES["phrase_hits"]):
+        assert query(spark, sf).sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"
