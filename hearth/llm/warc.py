@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hex_digest_base32, met, written
+from .shared import dropped, hex_digest_base32, met, written
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -84,7 +84,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
     slot = F.coalesce("id", F.lit(-(1 << 63))).alias("slot")
     chosen = rows.select("digest", slot, "payload").join(keepers.select("digest", F.coalesce("keeper", F.lit(-(1 << 63))).alias("slot")), ["digest", "slot"])
     once = chosen.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "slot").orderBy(F.lit(0)))).where("turn = 1")
-    return Archive(written(once.select("digest", "payload"), "payloads"), headers)
+    payloads = written(once.select("digest", "payload"), "payloads")
+    dropped(facts)
+    return Archive(payloads, headers)
 
 
 def _checked(payloads: DataFrame) -> DataFrame:

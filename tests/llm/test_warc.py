@@ -1,11 +1,13 @@
 import base64
 import collections
+import glob
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from hearth.llm import warc
+from hearth.llm import queries, warc
 
 
 def test_warc(spark, sf):
@@ -36,3 +38,19 @@ def test_warc(spark, sf):
     broken = warc.Archive(stored.payloads.withColumn("payload", F.lit(b"other")), stored.headers)
     with pytest.raises(Exception, match="does not match its digest"):
         warc.read_back(broken).collect()
+
+
+def test_query_leaves_no_shuffles_of_its_tables(spark, sf):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffles():
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = shuffles()
+    rows = queries.op10_warc(spark, sf)
+    for _ in range(50):  # files are deleted in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert rows.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
