@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearth.session import stored
+
 
 def in_sites(rows: DataFrame, selectors: dict[str, Column]) -> DataFrame:
     """Each row once for every site whose selector holds (sites may overlap)."""
@@ -31,27 +33,28 @@ def held_out(rows: DataFrame, key: str, percent: int = 25, seed: str = "") -> Da
     return rows.withColumn("held_out", F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(100)) < percent)
 
 
-def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np.ndarray, site: str = "site_id", own: dict[str, np.ndarray] | None = None) -> DataFrame:
+#: How many rows one stands for.
+TIMES = "_times"
+
+
+def site_gradients(rows: DataFrame, features: list[str], label: str, weights: np.ndarray, site: str = "site_id", own: dict[str, np.ndarray] | None = None, times: str | None = None) -> DataFrame:
     """(site, n, n_pos, gradient): each site's logistic gradient, as sums over its rows.
 
-    Rows are summed by Arrow batch inside the tasks, so that no site's rows are
-    gathered in one place; sites of one class are left out by the caller.
-    own: weights of sites that are not at the shared ones.
+    Sums are combined before the shuffle, so that no site's rows are gathered in
+    one place; sites of one class are left out by the caller.
+    own: weights of sites that are not at the shared ones; times: how many rows one stands for.
     """
-    shape = f"{site} string, n long, n_pos long, gradient array<double>"
+    name, n = F.col(site).cast("string"), F.col(times) if times else F.lit(1)
+    x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
+    y = F.col(label).cast("double")
 
-    def run(frames):
-        for frame in frames:
-            for name, part in frame.groupby(site):
-                x = np.column_stack([np.ones(len(part)), part[features].to_numpy(float)])
-                y = part[label].to_numpy(float)
-                p = 1 / (1 + np.exp(-np.clip(x @ (own or {}).get(name, weights), -30, 30)))
-                yield pd.DataFrame({site: [name], "n": [len(part)], "n_pos": [int(y.sum())], "gradient": [(x.T @ (p - y)).tolist()]})
+    def at(i: int) -> Column:
+        return reduce(lambda acc, kv: F.when(name == kv[0], float(kv[1][i])).otherwise(acc), (own or {}).items(), F.lit(float(weights[i])))
 
-    partial = rows.select(F.col(site).cast("string").alias(site), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(label).cast("double").alias(label)).mapInPandas(run, shape)
-    long = partial.select(site, "n", "n_pos", F.posexplode("gradient").alias("i", "g"))
-    sums = long.groupBy(site, "i").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
-    return sums.groupBy(site).agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos"), F.transform(F.sort_array(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("gradient"))
+    score = reduce(lambda a, b: a + b, [v * at(i) for i, v in enumerate(x)])
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
+    miss = rows.select(name.alias(site), n.alias("_n"), y.alias("_y"), (p - y).alias("_miss"), *[v.alias(f"_x{i}") for i, v in enumerate(x)])
+    return miss.groupBy(site).agg(F.sum("_n").cast("long").alias("n"), F.sum(F.col("_n") * F.col("_y")).cast("long").alias("n_pos"), F.array(*[F.sum(F.col("_n") * F.col("_miss") * F.col(f"_x{i}")) for i in range(len(x))]).alias("gradient"))
 
 
 def federated_fit(rows: DataFrame, features: list[str], label: str, rounds: int = 10, local_steps: int = 5, rate: float = 0.5, learning_rate: float = 1.0, site: str = "site_id") -> tuple[np.ndarray, list[dict]]:
@@ -60,14 +63,18 @@ def federated_fit(rows: DataFrame, features: list[str], label: str, rounds: int
     Every round each site takes `local_steps` gradient steps from the shared weights, and the
     sites' weights are averaged by their rows and mixed in at `rate`.  Only a
     vector of each site reaches the driver; sites with one class do not take part.
+    Rows are stored once, equal ones as one with their number, as every step passes
+    over all of them.
     """
+    ready = rows.select(F.col(site).cast("string").alias(site), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(label).cast("double").alias(label))
+    distinct = stored(ready.groupBy(site, *features, label).agg(F.count("*").alias(TIMES)), "sites")
     shared = np.zeros(len(features) + 1)
     history = []
     for number in range(rounds):
         local: dict[str, np.ndarray] = {}
         weight: dict[str, int] = {}
         for _ in range(local_steps):
-            for r in site_gradients(rows, features, label, shared, site, local).collect():
+            for r in site_gradients(distinct, features, label, shared, site, local, TIMES).collect():
                 if 0 < r.n_pos < r.n:
                     local[r[site]] = local.get(r[site], shared) - learning_rate * np.array(r.gradient) / r.n
                     weight[r[site]] = r.n

@@ -205,3 +205,24 @@ def test_notes_are_dealt_by_the_size_of_their_table(spark, sf, monkeypatch):
     assert rows.rdd.getNumPartitions() > 8 and rows.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     for query in (exchange.QUERIES["span_scores"], extensions.QUERIES["phrase_hits"]):
         assert query(spark, sf).sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"
+
+
+def test_steps_of_a_federated_fit_read_equal_rows_once(spark, monkeypatch):
+    seen = []
+    plain = federate.site_gradients
+
+    def noted(rows, *how):
+        seen.append(rows.count())
+        return plain(rows, *how)
+
+    monkeypatch.setattr(federate, "site_gradients", noted)
+    data = [("s", i % 4 / 2, i % 3 % 2) for i in range(600)] + [("t", i % 4 / 2, i % 2) for i in range(40)]
+    federate.federated_fit(spark.createDataFrame(data, "site_id string, x double, y int"), ["x"], "y", rounds=1, local_steps=2)
+    assert seen == [12, 12]
+
+
+def test_models_read_stored_features(spark, sf):
+    from hearth.plans import evaluation
+
+    plan = evaluation._model_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RegExpReplace" not in plan and "regexp_replace" not in plan
