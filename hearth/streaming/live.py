@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -26,10 +26,11 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str
 class KeyedState(StatefulProcessor):
     """The last state of a key and how often each state was met.
 
-    The last one (place, tie, state, steps) is a value, the states met a map of
-    counts.  A row that comes late counts, but does not undo a later one.  With
-    `idle_ms`, a key whose watermark has passed its last place by so much is closed:
-    a timer says so once more and frees its state.
+    All of it is one value (place, tie, state, steps, timer, counts of the states met
+    as JSON), read and written once for each key of a batch.  A row that comes late
+    counts, but does not undo a later one.  With `idle_ms`, a key whose watermark has
+    passed its last place by so much is closed: a timer says so once more and frees
+    its state.
     """
 
     def __init__(self, key: str, idle_ms: int | None = None):
@@ -37,42 +38,37 @@ class KeyedState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "place long, tie long, state string, steps long")
-        self.met = handle.getMapState("met", "state string", "n long")
+        self.last = handle.getValueState("last", "place long, tie long, state string, steps long, timer long, met string")
 
-    def row(self, key, closed: bool) -> pd.DataFrame:
-        place, _, state, steps = self.last.get()
-        return pd.DataFrame({self.key: [key[0]], "state": [state], "place": [place], "n_steps": [steps], "n_states": [sum(1 for _ in self.met.keys())], "closed": [closed]})
+    def row(self, key, place: int, state: str, steps: int, met: dict[str, int], closed: bool) -> Row:
+        return Row(**{self.key: key[0], "state": state, "place": place, "n_steps": steps, "n_states": len(met), "closed": closed})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        place, tie, state, steps = self.last.get() if self.last.exists() else (None, None, None, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        place, tie, state, steps, timer, met = self.last.get() or (None, None, None, 0, None, None)
+        counts: dict[str, int] = json.loads(met) if met else {}
         if place is not None and self.idle_ms is not None and timerValues.getCurrentWatermarkInMs() >= place // 1000 + self.idle_ms:
-            yield self.row(key, True)  # timers run after a batch's rows
-            self.met.clear()
-            place, tie, state, steps = None, None, None, 0
-        counts: dict[str, int] = {}
-        for frame in rows:
-            steps += len(frame)
-            top = frame.loc[frame.sort_values(["at_place", "at_tie"]).index[-1]]
-            if place is None or (top["at_place"], top["at_tie"]) > (place, tie):
-                place, tie, state = int(top["at_place"]), int(top["at_tie"]), str(top["at_state"])
-            for value, n in frame["at_state"].value_counts().items():
-                counts[str(value)] = counts.get(str(value), 0) + int(n)
-        self.last.update((place, tie, state, steps))
-        for value, n in counts.items():
-            held = self.met.getValue((value,)) if self.met.containsKey((value,)) else (0,)
-            self.met.updateValue((value,), (held[0] + n,))
-        if self.idle_ms is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(place // 1000 + self.idle_ms)
-        yield self.row(key, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            yield self.row(key, True)
+            yield self.row(key, place, state, steps, counts, True)  # timers run after a batch's rows
+            place, tie, state, steps, counts = None, None, None, 0, {}
+        for r in rows:
+            steps += 1
+            if place is None or (r.at_place, r.at_tie) > (place, tie):
+                place, tie, state = r.at_place, r.at_tie, r.at_state
+            if r.at_state is not None:
+                counts[r.at_state] = counts.get(r.at_state, 0) + 1
+        due = place // 1000 + self.idle_ms if self.idle_ms is not None else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.last.update((place, tie, state, steps, due, json.dumps(counts)))
+        yield self.row(key, place, state, steps, counts, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held:
+            place, _, state, steps, _, met = held
+            yield self.row(key, place, state, steps, json.loads(met), True)
             self.last.clear()
-            self.met.clear()
 
     def close(self) -> None:
         pass
@@ -86,14 +82,14 @@ def keyed_states(events: DataFrame, key: str, time: str, tie: str, state: str, l
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = timed.select(key, time, F.unix_micros(time).alias("at_place"), F.col(tie).cast("long").alias("at_tie"), F.col(state).alias("at_state"))
     kind = dict(events.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(KeyedState(key, idle_ms), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "EventTime")
+    return rows.groupBy(key).transformWithState(KeyedState(key, idle_ms), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "EventTime")
 
 
 def last_states(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
     """The last state of each key by sequence number, kept across batches; older rows that come late do not undo it.  The session needs STATE_STORE."""
     kind = dict(events.dtypes)[key]
     rows = events.select(key, F.col(seq).cast("long").alias("at_place"), F.lit(0).cast("long").alias("at_tie"), F.col(state).alias("at_state"))
-    found = rows.groupBy(key).transformWithStateInPandas(KeyedState(key), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "None")
+    found = rows.groupBy(key).transformWithState(KeyedState(key), f"{key} {kind}, state string, place long, n_steps long, n_states long, closed boolean", "Update", "None")
     return found.select(key, "state", "n_steps")
 
 

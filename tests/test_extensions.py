@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hearth.functions import paths, tables
@@ -110,3 +111,28 @@ def test_names_by_locale(spark):
     assert names.where(by_locale(F.col("name")) == "éTUDE").count() == 2
     listed = members.listing(names.withColumn("g", F.col("name")), spark.createDataFrame([("zoo",)], "g string"), "g", "name", 3)
     assert [r.name for r in listed.collect()] == ["zoo", "éclair", "ETUDE"]
+
+
+def test_a_key_s_state_is_read_and_written_once_a_batch():
+    calls = []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append("update")
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    state = live.KeyedState("who", DAY)
+    state.init(Handle())
+    rows = [Row(at_place=10_000_000 * i, at_tie=i, at_state="xy"[i % 2]) for i in range(100)]
+    (out,) = state.handleInputRows(("a",), iter(rows), None)
+    assert (out.state, out.n_steps, out.n_states) == ("y", 100, 2)
+    assert calls == ["get", "registerTimer", "update"]
