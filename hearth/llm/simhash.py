@@ -26,11 +26,12 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -251,6 +252,102 @@ def near_candidates(nodes: DataFrame, distance: int, segment_bits: int, hot_buck
     return found.select("id", F.col("component").alias("c"))
 
 
+#: Places that the shingles of all texts are counted in, to tell frequent ones.
+PLACES = 1 << 18
+SKETCH_BITS = 256
+
+
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return (K.mix(shingles) % np.uint64(PLACES)).astype(np.int64)
+
+
+def frequent_places(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """For each place whether far more texts than on average have a shingle there; the driver is given those places only."""
+
+    def run(batches):
+        counts = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for shingles in _shingle_sets(batch.column(0).slice(at, 256), width):
+                    np.add.at(counts, _places(shingles), 1)
+        met_ = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met_), pa.array(counts[met_])], names=["place", "n"])
+
+    counts = written(docs.select(text).mapInArrow(K.tidy(run), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), "places")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    out = np.zeros(PLACES, bool)
+    out[[r.place for r in counts.where(F.col("n") > max(4 * total / PLACES, 32)).select("place").collect()]] = True
+    dropped(counts)
+    return out
+
+
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """So many of a set's shingles, rare ones first, that any set of this similarity shares one of as many of its own; all sets without shingles share 0."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64)
+    often = frequent[_places(shingles)]
+    return np.concatenate([shingles[~often], shingles[often]])[: n - ceil(similarity * n - 1e-9 * n) + 1].view(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash: two sets' sketches differ in no more bits than the sets in shingles."""
+    odd = np.bincount((K.mix(~shingles) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def missed_links(docs: DataFrame, sets: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of ids in different components of `links` (a, b) so that all components of alike texts are found.
+
+    docs: id, h1, h2, text; sets: id, h1, h2, n, prefix, sketch of each distinct text.
+    Sets of this similarity share a shingle of their prefixes, so pairs are made
+    where texts of different components meet there, each with one side outside the
+    bucket's largest component, and kept if sizes, sketches and the number of
+    shingles that their prefixes share allow the similarity.
+    The texts decide: first on one pair for each two components, then on all pairs
+    of those still apart.
+    """
+    first = components(links)
+    parts = sets.join(merged(first), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "n", (F.col("n") - F.size("prefix")).alias("rest"), "sketch", "prefix")
+    parts = written(parts, "labelled")
+    keys = parts.select("c", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+    keys = written(keys, "keys")
+    shared = written(parts.select("id", "c", "n", "rest", "sketch", F.explode("prefix").alias("key")).join(merged(keys), "key"), "shared")
+    major = written(shared.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major")), "major")
+    minor = shared.join(merged(major), "key").where("c <> major")
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"k{name}"), F.col("id").alias(f"i{name}"), F.col("c").alias(f"c{name}"), F.col("n").alias(f"n{name}"), F.col("rest").alias(f"r{name}"), *[F.col("sketch")[j].alias(f"{name}{j}") for j in range(SKETCH_BITS // 64)], *more)
+
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"q{j}"))) for j in range(SKETCH_BITS // 64)])
+    both = F.col("np") + F.col("nq")
+    # sets of similarity s share s / (1 + s) of their summed sizes at least, and differ in the rest
+    least = both * similarity / (1 + similarity) - 1e-6
+    may = (F.least("np", "nq") >= similarity * F.greatest("np", "nq") - 1e-6) & (differ <= both - 2 * least)
+    once = (F.col("cq") == F.col("major")) | (F.col("cp") < F.col("cq"))
+    met_ = side(minor, "p", "major").join(merged(side(shared, "q")), (F.col("kp") == F.col("kq")) & (F.col("cp") != F.col("cq")) & once & may)
+    ends = [F.struct(F.col(f"c{e}").alias("c"), F.col(f"i{e}").alias("id")) for e in "pq"]
+    pairs = met_.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"), (differ / F.greatest(both, F.lit(1))).alias("far"), (F.ceil(least) - F.greatest("rp", "rq")).alias("need")).selectExpr("x.c cx", "x.id a", "y.c cy", "y.id b", "far", "need")
+    # of two sets' shared shingles all but as many as one of them holds after its prefix lie in both prefixes: each is a row here
+    pairs = found = written(pairs.groupBy("cx", "a", "cy", "b").agg(F.min("far").alias("far"), F.min("need").alias("need"), F.count("*").alias("n")).where("n >= need").select("cx", "a", "cy", "b", "far"), "pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.join(merged(sets.select("id", "h1", "h2").join(merged(members), "id", "left_semi")), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "text")
+    texts = written(texts, "pair_texts")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("id").alias(e), F.col("text").alias(f"text_{e}")) for e in "ab")
+        return written(alike(some.join(merged(a), "a").join(merged(b), "b"), width, similarity), "links")
+
+    near = confirmed(pairs.groupBy("cx", "cy").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"))
+    joined = near.join(merged(pairs.select("a", "b", "cx", "cy")), ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+    now = written(components(joined), "components")
+    for e in "xy":
+        pairs = pairs.join(merged(now.select(F.col("id").alias(f"c{e}"), F.col("component").alias(f"now_{e}"))), f"c{e}", "left").withColumn(f"now_{e}", F.coalesce(f"now_{e}", f"c{e}"))
+    rest = confirmed(pairs.where("now_x <> now_y").select("a", "b"))
+    dropped(parts, keys, shared, major, found, texts, now)
+    return near.union(rest)
+
+
 def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, feature_words: int = 2, distance: int = 26, segment_bits: int = 16, functions: int = 16, at_once: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each group of texts that are alike, those of the least id; rows without an id stay.
 
@@ -258,11 +355,11 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     `similarity`.  Equal texts are one node.  Candidates are texts whose 128-bit
     fingerprints (of `feature_words`-word shingles, which an edit changes less)
     share a segment of the first 64 bits but for one bit and lie within `distance`
-    bits; this finds most pairs, not all (README).  In each component of candidates
-    every text is compared with the least id.  What is left is grouped by min-hashes
-    of its shingles, `at_once` of `functions` at a time, and compared with the least
-    ids of its groups: work grows with the texts, never with the pairs of a group
-    of copies.
+    bits.  In each component of candidates every text is compared with the least
+    id.  What is left is grouped by min-hashes of its shingles, `at_once` of
+    `functions` at a time, and compared with the least ids of its groups: work grows
+    with the texts, never with the pairs of a group of copies.  This finds most
+    links; `missed_links` adds what the groups of all links still lack.
     Links that the texts confirm make the groups.
     """
     stays, turn = (unused(name, docs) for name in ("stays", "turn"))
@@ -270,16 +367,22 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     named = docs.where(F.col(id_col).isNotNull())
     keyed = named.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2"), plain.alias("text"))
 
+    frequent = frequent_places(keyed, "text", width)
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 bits = wide_fingerprints_of(part.column(3).to_pylist(), feature_words)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "h1", "h2", "f0", "f1"])
+                sets = _shingle_sets(part.column(3), width)
+                sizes, sketches, prefixes = pa.array([len(x) for x in sets], pa.int32()), [sketch(x) for x in sets], [prefix(x, similarity, frequent) for x in sets]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), sizes, pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h1", "h2", "f0", "f1", "n", "sketch", "prefix"])
 
-    every = written(keyed.mapInArrow(K.tidy(run), "id long, h1 long, h2 long, f0 long, f1 long"), "fingerprints")
+    every = written(keyed.mapInArrow(K.tidy(run), "id long, h1 long, h2 long, f0 long, f1 long, n int, sketch array<long>, prefix array<long>"), "fingerprints")
     # equal texts are one node, and so are texts of one id
-    prints = written(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "f0", "f1")).alias("p")).select("p.*", "h1", "h2"), "texts")
+    sets = written(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "f0", "f1", "n", "sketch", "prefix")).alias("p")).select("p.*", "h1", "h2"), "texts")
+    dropped(every)
+    prints = sets.select("id", "f0", "f1", "h1", "h2")
     nodes = prints.groupBy("f0", "f1").agg(F.min("id").alias("id"))
     labels = near_candidates(nodes, distance, segment_bits)
     # texts of one fingerprint are candidates too
@@ -311,9 +414,10 @@ def one_of_alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         dropped(heads, before)
         if open_.isEmpty():
             break
+    links.append(missed_links(keyed, sets, reduce(DataFrame.union, links), width, similarity))
     gone = components(reduce(DataFrame.union, links)).where("id <> component").select("id")
     stay = written(least.join(merged(gone), "id", "left_anti"), "stay")
-    dropped(texts, *links)
+    dropped(texts, *links[:-1])
     kept = named.join(merged(stay.withColumnRenamed("id", stays)), F.col(id_col).cast("long") == F.col(stays), "left_semi")
     order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
     kept = kept.withColumn(turn, order).where(F.col(turn) == 1).drop(turn)

@@ -94,3 +94,42 @@ def test_no_join_passes_its_side_through_the_driver(spark, documents, tmp_path,
         found.collect()
         plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_one_of_alike_loses_no_link(spark):
+    """Chains whose ends are not alike, few edits in short and long texts, phrases that all texts hold: the groups are those of all pairs."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+
+    often, docs = prose(30), []
+    for g in range(150):
+        base = (often if g % 3 == 0 else []) + prose(rng.choice((20, 45, 60, 120, 240)))
+        for c in range(rng.choice((2, 3, 6))):
+            docs.append((100 * g + c, " ".join(base)))
+            for k in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice((0.02, 0.025))))):
+                base[k] = prose(1)[0]
+    docs += [(90_000, "few words"), (90_001, " "), (90_002, "\n"), (7, "another text of an id that is there")]
+    docs = [(i + (i == 7) * 80_000, t) for i, t in docs]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in simhash.one_of_alike(df).collect())
+    assert kept == sorted(set(brute_alike(dict(docs)).values()))
+
+
+def test_prefixes_of_alike_sets_meet_and_sketches_allow_them():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    frequent = rng.random(simhash.PLACES) < 0.3
+    for n in (1, 2, 4, 5, 9, 50, 333):
+        for _ in range(50):
+            x = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+            y = np.concatenate([x[: max(1, n - rng.integers(0, n // 5 + 1))], rng.integers(1, 1 << 63, rng.integers(0, n // 5 + 1), dtype=np.uint64)])
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert np.isin(simhash.prefix(x, 0.8, frequent), simhash.prefix(y, 0.8, frequent)).any()
+            bits = np.unpackbits((simhash.sketch(x) ^ simhash.sketch(y)).view(np.uint8)).sum()
+            assert bits <= len(x) + len(y) - 2 * both
